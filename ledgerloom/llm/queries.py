@@ -5,17 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import media, pieces
+from ledgerloom.llm import media, packing, pieces, quality
 from ledgerloom.llm.runtime import documents
 
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+BPE_RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), BPE, BPE_RANKS)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return pieces.encode_pieces(documents(spark, sf_dir), PIECES, keep_ids=False)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_media, op4_packing, op9_sentencepiece, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
