@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import media, packing, pieces, quality
+from ledgerloom.llm import iblt, media, packing, pieces, quality, secret_scan
 from ledgerloom.llm.runtime import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,10 +17,18 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
+def op3_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BPE, BPE_RANKS)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf_dir), PIECES, keep_ids=False)
 
@@ -29,5 +37,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_packing, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_iblt, op4_packing, op8_secrets, op9_sentencepiece, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
