@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import iblt, line_dedup, media, packing, pieces, quality, secret_scan
+from ledgerloom.llm import iblt, jaccard, line_dedup, media, packing, pieces, quality, secret_scan
 from ledgerloom.llm.runtime import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BPE, BPE_RANKS)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
 
@@ -41,5 +45,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_iblt, op4_packing, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_iblt, op4_packing, op6_jaccard, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
