@@ -1,13 +1,65 @@
-"""Corpus preparation: quality, line deduplication, near duplicates, secrets, packing."""
+"""Corpus preparation: quality, line deduplication, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on what the stage before it kept.  All but the
+last return the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import jaccard, line_dedup, packing, quality, queries, secret_scan
+from ledgerloom.llm.runtime import materialize
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted quality is 1; rows that share a doc_id share its decision only by text."""
+    scores = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_hash=True)
+    bad = scores.where("predicted = 0").select(F.col("doc_id").alias("b_id"), "text_hash").distinct()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.b_id) & (own == bad.text_hash), "left_anti")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated chunks of lines; a document that has nothing left goes."""
+    left = line_dedup.deduplicated(docs)
+    left = left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return left.where("text IS NULL OR n_chars > 0")
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component (one row of it); all documents without words."""
+    groups = jaccard.component_ids(docs)
+    gone = groups.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("g_id")).distinct()
+    return docs.join(gone, docs.doc_id == gone.g_id, "left_anti")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every found span replaced by a mark."""
+    found = secret_scan.redacted(docs)
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in the packed sequences."""
+    return packing.pack_documents(docs, queries.BPE, queries.BPE_RANKS)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("line_dedup", without_repeated_lines),
+    ("near_duplicates", without_near_duplicates),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+#: The stages are not expressible in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

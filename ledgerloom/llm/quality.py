@@ -81,13 +81,15 @@ N_STATISTICS = len(statistics(""))
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and the statistics ``x`` of every document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float64)
             flat = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, N_STATISTICS, dtype=np.int32), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), flat], ["doc_id", "text_hash", "x"])
 
-    return arrow_map(id_and_text(docs), run, "doc_id long, x array<double>")
+    return arrow_map(id_and_text(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, x array<double>")
 
 
 @dataclass
@@ -173,15 +175,16 @@ def fit(stats: DataFrame, labels: DataFrame, penalty: float = 1e-3) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+def scored(docs: DataFrame, labels: DataFrame, keep_hash: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; ``keep_hash`` adds xxhash64 of the text."""
     stats = materialize(document_statistics(docs), "statistics")
     model = fit(stats, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_rows(batch)))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(model.score(_rows(batch)))], ["doc_id", "text_hash", "score"])
 
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    return arrow_map(stats, run, "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    columns = ["doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")]
+    return arrow_map(stats, run, "doc_id long, text_hash long, score double").select(*columns, *["text_hash"] * keep_hash)

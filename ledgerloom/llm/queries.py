@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import iblt, jaccard, line_dedup, media, packing, pieces, quality, secret_scan
+from ledgerloom.llm import iblt, jaccard, line_dedup, media, packing, pieces, quality, secret_scan, url_lists, warc
 from ledgerloom.llm.runtime import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,27 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP2_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM payloads
+),
+named AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) % 32, 1)), '') AS payload_digest
+    FROM digests
+),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM firsts
+"""
+
+
 def op3_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(documents(spark, sf_dir))
 
@@ -25,6 +47,70 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BPE, BPE_RANKS)
 
 
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """Captures with a fetch day: the table has none, so the page id gives a day of 2024."""
+    return pages.select("page_id", "url", F.expr("date_add(DATE'2024-01-01', cast(page_id % 366 AS int))").alias("fetched"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the pages: for each host up to five entries, days and actions from its MD5."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("key")).where("key IS NOT NULL").distinct()
+    digit = "cast(conv(substr(md5(key), {}, {}), 16, 10) AS int)"
+    entries = hosts.select("key", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    return entries.where(f"{digit.format('i + 1', 1)} % 3 > 0").select(
+        "key",
+        F.expr(f"date_add(DATE'2023-12-15', {digit.format('i * 3 + 6', 3)} % 400)").alias("day"),
+        F.expr(f"if({digit.format('i + 1', 1)} % 3 = 1, 'add', 'remove')").alias("action"),
+    )
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_lists.evaluate(dated_captures(pages), dated_entries(pages))
+
+
+OP5_SQL = r"""
+WITH captures AS (
+    SELECT page_id, lower(url) AS url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS TIMESTAMP) AS fetched,
+        nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host,
+        regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment
+    FROM pages
+),
+picks AS (
+    SELECT host AS key, CAST('0x' || substr(md5(host), i + 1, 1) AS INT) AS pick,
+        CAST('0x' || substr(md5(host), i * 3 + 6, 3) AS INT) AS shift
+    FROM (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL), (SELECT unnest(range(0, 5)) AS i)
+),
+states AS (
+    SELECT key, CAST(DATE '2023-12-15' + CAST(shift % 400 AS INT) AS TIMESTAMP) AS since, bool_or(pick % 3 = 1) AS listed
+    FROM picks WHERE pick % 3 > 0 GROUP BY ALL
+),
+changes AS (
+    SELECT * FROM (SELECT *, lag(listed) OVER (PARTITION BY key ORDER BY since) AS was FROM states)
+    WHERE listed <> coalesce(was, false)
+),
+spans AS (
+    SELECT key, since, until FROM (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM changes) WHERE listed
+),
+labels AS (SELECT *, string_split(host, '.') AS parts FROM captures WHERE host IS NOT NULL),
+asked AS (
+    SELECT DISTINCT page_id, url, fetched, key FROM (
+        SELECT page_id, url, fetched, array_to_string(list_slice(parts, CAST(i AS INT), len(parts)), '.') AS key
+        FROM labels, LATERAL (SELECT unnest(range(1, greatest(len(parts), 2))) AS i)
+        UNION ALL SELECT page_id, url, fetched, host || '/' || segment FROM labels WHERE segment <> ''
+    )
+),
+best AS (
+    SELECT a.page_id, max_by({'k': a.key, 's': s.since, 'u': s.until}, length(a.key)) AS b
+    FROM asked a JOIN spans s ON a.key = s.key AND a.fetched >= s.since AND (s.until IS NULL OR a.fetched < s.until)
+    GROUP BY a.page_id
+)
+SELECT c.page_id, host, CAST(fetched AS DATE) AS fetched_on, b IS NOT NULL AS listed, b.k AS list_key,
+    CAST(b.s AS DATE) AS listed_since, CAST(b.u AS DATE) AS listed_until
+FROM captures c LEFT JOIN best USING (page_id)
+"""
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(documents(spark, sf_dir))
 
@@ -45,5 +131,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_iblt, op4_packing, op6_jaccard, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_iblt, op4_packing, op5_url_filters, op6_jaccard, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL}
