@@ -40,12 +40,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.llm.bloom import bloom_filter, perhaps_in
 from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, importable, materialize, slices
 
 WORDS = 5
@@ -55,9 +55,9 @@ GROWTH = 2
 FAIL = 1e-9
 CHANCE, CHANCE_COST = 0.05, 200.0
 ONE_DELETION, SEGMENTS = 1, 2
-MOST_SIGNATURES = 2_000_000  # packed at once
+MOST_SIGNATURES = 500_000  # packed at once
+PER_PART = 1_000_000  # shingles for each range of signatures
 PER_SALT = 1024
-BLOOM_BITS = 1 << 23
 _U = np.uint64
 
 
@@ -74,11 +74,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = mixed(np.arange(256, dtype=_U), 99)
 
 
-@lru_cache(maxsize=4)
+_kept_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, _U(base))
-    steps[0] = 1
-    return np.cumprod(steps)
+    """The first powers of ``base``, at least ``n``; the longest run asked for is kept."""
+    if len(_kept_powers.get(base, ())) < n:
+        steps = np.full(n, _U(base))
+        steps[0] = 1
+        _kept_powers[base] = np.cumprod(steps)
+    return _kept_powers[base]
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -193,7 +198,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
         return number > 0 and too_few(shingles, number, len(signatures(shingles, number)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([few(s) for s in sets])], ["doc_id", "n_shingles", "key", "few"])
 
@@ -227,7 +232,7 @@ def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, codes, held, seen = [], [], 0, set()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             for shingles in shingle_sets(batch.column("text").to_pylist()):
                 size = len(shingles)
                 if size < SMALLEST:
@@ -340,35 +345,13 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pivots = counts.select(F.col("a_doc").alias("doc"), F.col("a").alias("own"), F.col("a").alias("pivot"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("side"))
     roles = members.unionByName(pivots)
 
-    def bits(ids: np.ndarray) -> list[np.ndarray]:
-        return [(mixed(ids.astype(np.int64).view(_U), 31 + k) % _U(BLOOM_BITS)).astype(np.int64) for k in range(4)]
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(BLOOM_BITS, bool)
-        for batch in batches:
-            for at in bits(batch.column("doc").to_numpy(zero_copy_only=False)):
-                flags[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["bloom"])
-
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for part in arrow_map(roles.select("doc").coalesce(8), build, "bloom binary").toLocalIterator():
-        bloom |= np.frombuffer(part.bloom, np.uint8)
-    shared = spark.sparkContext.broadcast(bloom)
     importable(spark)
-
-    @F.pandas_udf("boolean")
-    def perhaps(ids: pd.Series) -> pd.Series:
-        values = ids.fillna(-1).to_numpy(np.int64)
-        found = np.ones(len(values), bool)
-        for at in bits(values):
-            found &= (shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-        return pd.Series(found)
-
-    texts = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).where(perhaps("doc_id"))
+    keyed = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    texts = keyed.where(perhaps_in(bloom_filter(roles, "doc"), "doc_id"))
     joined = texts.join(roles, texts.doc_id == roles.doc).select("text", "own", "pivot", "salt", "side")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             distinct = list(dict.fromkeys(columns["text"]))
             made = {t: (class_key(s), s.tobytes()) for t, s in zip(distinct, shingle_sets(distinct))}
@@ -430,7 +413,7 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame |
     """All links needed for components between classes, and the components; ``sets`` is materialized."""
     spark = docs.sparkSession
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 4_000_000) + 1)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PER_PART) + 1)
     groups = materialize(shared_groups(packed_signatures(docs, n_parts), n_parts), "shared")
     lost = groups.where("heavy").groupBy("key", "scheme").agg(F.sum("times").alias("lost"), F.min("spare").alias("spare")).where("lost <= spare").select("key", "scheme")
     kept = groups.where("NOT heavy").select("grp", "key", "n").union(groups.where("heavy").join(lost, ["key", "scheme"], "left_anti").select("grp", "key", "n"))
