@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard, line_dedup, packing, quality, queries, secret_scan
-from ledgerloom.llm.runtime import materialize
+from ledgerloom.llm.runtime import materialize, where_computed
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without repeated chunks of lines; a document that has nothing left goes."""
     left = line_dedup.deduplicated(docs)
     left = left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return left.where("text IS NULL OR n_chars > 0")
+    return where_computed(left, "text IS NULL OR n_chars > 0")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

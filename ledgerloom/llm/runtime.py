@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,37 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
+from ledgerloom.sources.storage import materialize, new_path, shared_folder
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
+__all__ = ["arrow_map", "discard", "documents", "id_and_text", "importable", "materialize", "new_path", "shared_folder", "slices", "where_computed"]
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    A lost executor then costs a re-read, not a recomputation, and later reads see one set of rows.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def discard(df: DataFrame) -> None:
@@ -57,6 +29,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """``df.where`` on columns that are costly to compute: the optimizer doesn't repeat them in a pushed-down filter.
+
+    A filter isn't pushed below a projection with a non-deterministic column; its value doesn't matter here.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(f"({condition}) AND _fence >= 0").drop("_fence")
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     env = spark.sparkContext.environment
