@@ -55,7 +55,8 @@ GROWTH = 2
 FAIL = 1e-9
 CHANCE, CHANCE_COST = 0.05, 200.0
 ONE_DELETION, SEGMENTS = 1, 2
-MOST_SIGNATURES = 500_000  # packed at once
+MOST_SIGNATURES = 300_000  # packed at once
+AT_ONCE = 1 << 19  # bytes of text hashed at once
 PER_PART = 1_000_000  # shingles for each range of signatures
 PER_SALT = 1024
 _U = np.uint64
@@ -198,7 +199,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
         return number > 0 and too_few(shingles, number, len(signatures(shingles, number)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", AT_ONCE):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([few(s) for s in sets])], ["doc_id", "n_shingles", "key", "few"])
 
@@ -232,7 +233,7 @@ def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, codes, held, seen = [], [], 0, set()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", AT_ONCE):
             for shingles in shingle_sets(batch.column("text").to_pylist()):
                 size = len(shingles)
                 if size < SMALLEST:
@@ -269,7 +270,7 @@ GROUPS = "grp long, key binary, n int, scheme int, spare int, times int, heavy b
 def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> DataFrame:
     """Groups of two classes or more that share a signature; equal groups of a range are one, ``times`` over."""
 
-    def resolved(blobs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
+    def resolved(blobs: list[tuple[pa.Buffer, pa.Buffer, pa.Buffer]]) -> pa.RecordBatch | None:
         tables = [np.frombuffer(e, _ENTRY) for e, _, _ in blobs]
         code = np.concatenate([np.frombuffer(c, _U) for _, c, _ in blobs])
         base = np.cumsum([0, *map(len, tables)])
@@ -319,13 +320,14 @@ def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != part and blobs:
+            for row in zip(*batch.columns):
+                number = row[0].as_py()
+                if number != part and blobs:
                     if (made := resolved(blobs)) is not None:
                         yield made
                     blobs = []
-                part = row[0]
-                blobs.append(row[1:])
+                part = number
+                blobs.append(tuple(x.as_buffer() for x in row[1:]))
         if blobs and (made := resolved(blobs)) is not None:
             yield made
 
@@ -351,7 +353,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     joined = texts.join(roles, texts.doc_id == roles.doc).select("text", "own", "pivot", "salt", "side")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", AT_ONCE):
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             distinct = list(dict.fromkeys(columns["text"]))
             made = {t: (class_key(s), s.tobytes()) for t, s in zip(distinct, shingle_sets(distinct))}
@@ -409,15 +411,18 @@ def _live(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.join(open_groups, "grp", "left_semi")
 
 
-def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """All links needed for components between classes, and the components; ``sets`` is materialized."""
+def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """All links needed for components between classes, and the components; ``sets`` is materialized.
+
+    ``by_shingles`` compares all sets on all shingles, as is done for those with too few segments.
+    """
     spark = docs.sparkSession
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PER_PART) + 1)
-    groups = materialize(shared_groups(packed_signatures(docs, n_parts), n_parts), "shared")
+    groups = materialize(shared_groups(packed_signatures(docs, n_parts, by_shingles), n_parts), "shared")
     lost = groups.where("heavy").groupBy("key", "scheme").agg(F.sum("times").alias("lost"), F.min("spare").alias("spare")).where("lost <= spare").select("key", "scheme")
     kept = groups.where("NOT heavy").select("grp", "key", "n").union(groups.where("heavy").join(lost, ["key", "scheme"], "left_anti").select("grp", "key", "n"))
-    if sets.where("few").limit(1).count():
+    if not by_shingles and sets.where("few").limit(1).count():
         kept = kept.union(shared_groups(packed_signatures(docs, n_parts, whole=True), n_parts, only_few=True).select("grp", "key", "n"))
     reps = sets.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc"), F.count(F.lit(1)).alias("copies"))
     kept = kept.distinct().join(reps.select("key", "doc"), "key")
@@ -441,10 +446,10 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame |
         at += 1
 
 
-def component_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def component_ids(docs: DataFrame, by_shingles: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document; ``by_shingles`` as in ``near_links``."""
     sets = materialize(document_sets(docs), "sets")
-    _, labels = near_links(docs, sets)
+    _, labels = near_links(docs, sets, by_shingles)
     classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     if labels is not None:
         named = labels.join(classes, "key")

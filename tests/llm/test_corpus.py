@@ -46,12 +46,12 @@ def test_components_equal_brute_force(spark):
     assert got == brute.components(rows)
 
 
-def test_too_few_segments_are_still_joined(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "too_few", lambda shingles, number, found: number == 4)
-    base = prose(44)
+def test_sets_can_be_compared_on_all_shingles(spark):
+    base = prose(60)
     rows = [(0, base), (1, near(base, 1)), (2, prose(44)), (None, base)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(((r.doc_id, r.component_id) for r in jaccard.component_ids(docs).collect()), key=str) == [(0, 0), (1, 0), (2, 2), (None, 0)]
+    found = [(r.doc_id, r.component_id) for r in jaccard.component_ids(docs, by_shingles=True).collect()]
+    assert sorted(found, key=str) == [(0, 0), (1, 0), (2, 2), (None, 0)]
     assert jaccard.component_ids(docs.limit(0)).count() == 0
 
 
