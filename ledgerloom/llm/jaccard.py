@@ -22,10 +22,11 @@ A signature shared by more than ``HEAVY`` classes is skipped by every set that k
 segments than it can lose; if both sides of a pair would fall short, both keep it.
 
 Groups of classes that share a signature are resolved by rounds: one member (the one in most
-groups) is verified against the others of another component, links join components, and groups
-whose members are in one component, and the tested members, leave.  No round emits all pairs of a
-group, and rounds end when no group has two components, so no link that could join two components
-is missed.  Verification compares the shingle sets themselves.
+groups; two, four, ... in later rounds, which few groups reach) is verified against the others of
+another component unless the pair was tested before, links join components, and groups whose members are in one component, and
+the tested members, leave.  Rounds end when no group has two components, so no link that could
+join two components is missed.  Verification compares hashes cut to 16 bits
+first, which only overestimates what is common, and for the pairs left the shingle sets themselves.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is its own
 component; texts with fewer than five words have one shingle, the whole sequence; repeated rows and
@@ -50,6 +51,7 @@ from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, importable,
 
 WORDS = 5
 HEAVY = 64
+PIVOTS = 2  # tested members of a group grow by this factor each round
 SMALLEST = 4  # below it only equal sets can link
 GROWTH = 2
 FAIL = 1e-9
@@ -59,6 +61,7 @@ MOST_SIGNATURES = 300_000  # packed at once
 AT_ONCE = 1 << 19  # bytes of text hashed at once
 PER_PART = 1_000_000  # shingles for each range of signatures
 PER_SALT = 1024
+MOST_SHORT = 4096  # shingles of a set whose reduced hashes have 16 bits
 _U = np.uint64
 
 
@@ -334,8 +337,28 @@ def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> Da
     return arrow_map(packed.repartition(n_parts, "part").sortWithinPartitions("part"), run, GROUPS)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, a_doc, b, b_doc) whose sets link, as (a, b).
+def reduced(shingles: np.ndarray) -> np.ndarray:
+    """A set's hashes cut to 16 bits (32 for large sets), sorted: two bytes a shingle instead of eight."""
+    kind = np.uint16 if len(shingles) <= MOST_SHORT else np.uint32
+    return np.sort(shingles.astype(kind)).astype(np.uint32)
+
+
+def most_common(left: np.ndarray, right: np.ndarray) -> int:
+    """An upper bound on the common shingles of two sets, from the reduced hashes of both; exact on whole ones."""
+    if left.dtype == _U:
+        few, many = sorted((left, right), key=len)
+        return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    if max(len(left), len(right)) > MOST_SHORT and min(len(left), len(right)) <= MOST_SHORT:
+        left, right = np.sort(left & 0xFFFF), np.sort(right & 0xFFFF)
+    values, counts = np.unique(left, return_counts=True)
+    there = np.searchsorted(right, values, "right") - np.searchsorted(right, values, "left")
+    return int(np.minimum(counts, there).sum())
+
+
+def verified(docs: DataFrame, pairs: DataFrame, whole: bool = True) -> DataFrame:
+    """The pairs (a, a_doc, b, b_doc) whose sets link, with the same columns.
+
+    ``whole=False`` compares reduced hashes, which keeps every linked pair and few others.
 
     Each set goes once to every pivot ``a`` it is compared with; a pivot with many partners is
     repeated for salts.  A Bloom filter of fixed size on the ids keeps most other texts out of the join.
@@ -343,6 +366,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = pairs.groupBy("a", "a_doc").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(counts.select("a", "salts"), "a")
+    names = pairs.select("a", "a_doc", "b", "b_doc")
     members = salted.select(F.col("b_doc").alias("doc"), F.col("b").alias("own"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
     pivots = counts.select(F.col("a_doc").alias("doc"), F.col("a").alias("own"), F.col("a").alias("pivot"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("side"))
     roles = members.unionByName(pivots)
@@ -352,37 +376,42 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = keyed.where(perhaps_in(bloom_filter(roles, "doc"), "doc_id"))
     joined = texts.join(roles, texts.doc_id == roles.doc).select("text", "own", "pivot", "salt", "side")
 
+    def shipped(shingles: np.ndarray) -> bytes:
+        cut = shingles if whole else reduced(shingles)
+        return (cut.astype(np.uint16) if not whole and len(cut) <= MOST_SHORT else cut).tobytes()
+
+    def unpacked(data: bytes, n: int) -> np.ndarray:
+        if whole:
+            return np.frombuffer(data, _U)
+        return np.frombuffer(data, np.uint16 if n <= MOST_SHORT else np.uint32).astype(np.uint32)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", AT_ONCE):
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             distinct = list(dict.fromkeys(columns["text"]))
-            made = {t: (class_key(s), s.tobytes()) for t, s in zip(distinct, shingle_sets(distinct))}
+            made = {t: (class_key(s), len(s), shipped(s)) for t, s in zip(distinct, shingle_sets(distinct))}
             keep = [i for i, (t, own) in enumerate(zip(columns["text"], columns["own"])) if made[t][0] == own]
             if keep:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([columns[c][i] for i in keep], k) for c, k in (("pivot", pa.binary()), ("salt", pa.int32()), ("side", pa.int32()), ("own", pa.binary()))] + [pa.array([made[columns["text"][i]][1] for i in keep], pa.binary())],
-                    ["pivot", "salt", "side", "own", "shingles"],
+                    [pa.array([columns[c][i] for i in keep], k) for c, k in (("pivot", pa.binary()), ("salt", pa.int32()), ("side", pa.int32()), ("own", pa.binary()))] + [pa.array([made[columns["text"][i]][j] for i in keep], k) for j, k in ((1, pa.int32()), (2, pa.binary()))],
+                    ["pivot", "salt", "side", "own", "n", "shingles"],
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivot = None, None
         for batch in batches:
             a, b = [], []
-            for key, salt, side, own, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, salt, side, own, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if side == 0:
-                    group, pivot = (key, salt), np.frombuffer(data, _U)
-                elif group == (key, salt):
-                    other = np.frombuffer(data, _U)
-                    few, many = sorted((pivot, other), key=len)
-                    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                    if linked(int((many[at] == few).sum()), len(pivot), len(other)):
-                        a.append(key)
-                        b.append(own)
+                    group, pivot = (key, salt), (n, unpacked(data, n))
+                elif group == (key, salt) and linked(most_common(pivot[1], unpacked(data, n)), pivot[0], n):
+                    a.append(key)
+                    b.append(own)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    spread = arrow_map(joined, sets, "pivot binary, salt int, side int, own binary, shingles binary").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "side")
-    return arrow_map(spread, compare, "a binary, b binary").distinct()
+    spread = arrow_map(joined, sets, "pivot binary, salt int, side int, own binary, n int, shingles binary").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "side")
+    return arrow_map(spread, compare, "a binary, b binary").distinct().join(names, ["a", "b"]).select("a", "a_doc", "b", "b_doc")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -428,20 +457,27 @@ def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> t
     kept = kept.distinct().join(reps.select("key", "doc"), "key")
     degree = Window.partitionBy("key")
     kept = materialize(kept.withColumn("degree", F.count(F.lit(1)).over(degree)), "groups")
-    links, labels, at = None, None, 0
+    links, labels, tested, at = None, None, None, 0
     while True:
         live = materialize(_live(kept, labels).select("grp", "key", "n", "doc", "degree", "label"), "live")
         if live.limit(1).count() == 0:
             return links, labels
-        n_pivots = 1 if at < 3 else 16
+        n_pivots = PIVOTS ** min(at, 4)
         ranked = live.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("degree").desc(), "key")))
         tops = ranked.where(F.col("r") <= n_pivots).select("grp", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("doc").alias("a_doc"), F.col("label").alias("a_label"), F.col("r").alias("a_r"))
         pairs = ranked.join(tops, "grp").where("a_label <> label AND r > a_r AND 100 * least(n, a_n) >= 80 * greatest(n, a_n)")
-        pairs = materialize(pairs.select("a", "a_doc", F.col("key").alias("b"), F.col("doc").alias("b_doc")).distinct(), "pairs")
-        found = verified(docs, pairs)
+        pairs = pairs.select("a", "a_doc", F.col("key").alias("b"), F.col("doc").alias("b_doc")).distinct().withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
+        pairs = materialize(pairs.dropDuplicates(["lo", "hi"]), "pairs")
+        seen = pairs.select("lo", "hi")
+        tested = seen if tested is None else tested.union(seen)
+        likely = materialize(verified(docs, pairs.drop("lo", "hi"), whole=False), "likely")
+        found = verified(docs, likely).select("a", "b")
         links = materialize(found if links is None else links.union(found), "links")
         if links.limit(1).count():
             labels = components(links)
+        spark.sparkContext._jvm.System.gc()  # shuffle files of finished rounds go when their frames do
         kept = ranked.where(F.col("r") > n_pivots).select("grp", "key", "n", "doc", "degree")
         at += 1
 
