@@ -50,7 +50,7 @@ from ledgerloom.llm.bloom import bloom_filter, perhaps_in
 from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, importable, materialize, slices
 
 WORDS = 5
-HEAVY = 64
+HEAVY = 4
 PIVOTS = 2  # tested members of a group grow by this factor each round
 SMALLEST = 4  # below it only equal sets can link
 GROWTH = 2
