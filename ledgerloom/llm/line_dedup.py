@@ -1,21 +1,30 @@
-"""Line deduplication: content-defined chunks of lines, removed where they repeat.
+"""Line deduplication: repeated passages of lines, and repeated content-defined chunks, removed.
 
 A text is cut into lines, and a line after sentence ends, so that a passage pasted into a longer
-line is seen; the cut keeps every character.  Each line's hash (white space at its end aside) and
-the hash before it make a rolling hash, and a chunk ends where that is divisible by ``DIVISOR``:
-boundaries depend on content alone and come back after an insertion.  A chunk with two or more
-non-blank lines that occurs again anywhere is a candidate.  The first occurrence by doc_id, text
-hash and position stays; a later one goes when its lines equal the first's byte for byte.  Lines
-next to a removed chunk go too as long as they equal the lines next to the first occurrence (up to
-``CONTEXT`` on either side), because the boundaries at a passage's ends depend on what surrounds it.
-Every removed line so has an equal one earlier, and the earliest always stays.
-
-Only functions of DataFrames are used.  Chunk rows carry no text; the texts of first occurrences
-are exported once per repeated chunk.  Two joins shuffle the texts: one to export, one to remove.
-
-Defined cases: a null text stays null; an empty or single-line text has no chunks and stays; rows
-equal in doc_id and text share one decision; a null doc_id sorts as -1; a text may become empty; an
-empty table gives an empty result; other columns are kept as they are, also ones named like ours.
+line is seen; the cut keeps every character.  Lines are compared without white space at their end.
+
+Passages: a run of lines with more than ``LONG`` words that begins and ends with a non-blank line
+goes where the same run occurs earlier by doc_id, text hash and position without overlapping it.
+This is complete: the shortest such run from every line and the shortest to every line are hashed,
+and every line of a longer repeated run lies in one of these inside the run.
+
+Chunks find shorter repeats, but not all of them.  Each line's hash and the hash before it make a
+rolling hash, and a chunk ends where that is divisible by ``DIVISOR``: boundaries depend on content
+alone and come back after an insertion.  A chunk with two or more non-blank lines goes where it
+occurs earlier, and lines next to it go too as long as they equal the lines next to the first
+occurrence (up to ``CONTEXT`` on either side).
+
+Hashes only propose: lines go when they equal the first occurrence's byte for byte.  Every removed
+line so has an equal one earlier, and the earliest always stays.
+
+Only functions of DataFrames are used.  Rows of passages and chunks carry no text; a stretch of a
+first occurrence is exported once, however many repeat it.  Two joins shuffle the texts: one to
+export, one to remove.
+
+Defined cases: a null text stays null; an empty text stays; a single line goes only with more than
+``LONG`` words; rows equal in doc_id and text share one decision; a null doc_id sorts as -1; a text
+may become empty; an empty table gives an empty result; other columns are kept as they are, also
+ones named like ours.
 """
 
 from __future__ import annotations
@@ -23,10 +32,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import materialize
+from ledgerloom.llm.runtime import discard, materialize
 
 DIVISOR = 3
 CONTEXT = 8
+LONG = 50
 _WHITE = "' \\t\\r\\n'"
 
 
@@ -42,9 +52,8 @@ def _with_lines(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("_units", units).withColumn("_lines", F.expr(f"transform(_units, u -> trim(TRAILING {_WHITE} FROM u))"))
 
 
-def _chunks(keyed: DataFrame) -> DataFrame:
-    """(_id, _hash, start, n, chunk): chunks with two non-blank lines or more."""
-    df = _with_lines(keyed).select("_id", "_hash", "_lines")
+def _with_chunks(df: DataFrame) -> DataFrame:
+    """_found: chunks with two non-blank lines or more."""
     df = df.withColumn("_h", F.expr("transform(_lines, u -> cast(conv(substr(md5(u), 1, 8), 16, 10) AS bigint))"))
     df = df.withColumn(
         "_ends",
@@ -54,45 +63,79 @@ def _chunks(keyed: DataFrame) -> DataFrame:
         ),
     )
     df = df.withColumn("_cut", F.expr("transform(_ends, (e, k) -> struct(if(k = 0, 0, get(_ends, k - 1) + 1) AS start, e AS end))"))
-    df = df.withColumn(
+    return df.withColumn(
         "_found",
         F.expr(
             """transform(filter(_cut, c -> size(filter(slice(_lines, c.start + 1, c.end - c.start + 1), u -> u <> '')) >= 2),
-            c -> struct(c.start AS start, c.end - c.start + 1 AS n, xxhash64(slice(_lines, c.start + 1, c.end - c.start + 1)) AS chunk))"""
+            c -> struct(c.start AS start, c.end - c.start + 1 AS n, false AS passage, xxhash64(slice(_x, c.start + 1, c.end - c.start + 1), 0) AS chunk))"""
         ),
     )
+
+
+def _with_passages(df: DataFrame) -> DataFrame:
+    """_long: for every non-blank line the shortest runs from it and to it with more than LONG words.
+
+    _owner holds for every word the number of its line among the non-blank ones, _from each such line's
+    first word, so that either run's other end is one look-up.
+    """
+    df = df.withColumn("_words", F.expr("transform(_lines, u -> if(u = '', 0, size(filter(split(u, '[ \\\\t\\\\r\\\\n]+', -1), w -> w <> ''))))"))
+    df = df.withColumn("_at", F.expr("if(size(_words) = 0, cast(array() AS array<int>), filter(sequence(0, size(_words) - 1), i -> get(_words, i) > 0))"))
+    df = df.withColumn("_owner", F.expr("flatten(transform(_at, (i, k) -> array_repeat(k, get(_words, i))))"))
+    df = df.withColumn("_from", F.expr("if(size(_owner) = 0, cast(array() AS array<int>), filter(sequence(0, size(_owner) - 1), w -> w = 0 OR get(_owner, w) <> get(_owner, w - 1)))"))
+    first, last = "get(_at, get(_owner, {}))", "get(_at, k)"
+    # start and end in one number, since sets of structs are compared pair by pair
+    forward = f"transform(_from, (w, k) -> shiftleft(cast({last} AS bigint), 32) + {first.format(f'w + {LONG}')})"
+    backward = f"transform(_from, (w, k) -> shiftleft(cast({first.format(f'coalesce(get(_from, k + 1), size(_owner)) - {LONG + 1}')} AS bigint), 32) + {last})"
+    df = df.withColumn("_runs", F.expr(f"filter(array_union({forward}, {backward}), r -> r IS NOT NULL)"))
+    start, n = "cast(shiftright(r, 32) AS int)", "cast((r & 4294967295) - shiftright(r, 32) + 1 AS int)"
+    return df.withColumn("_long", F.expr(f"transform(_runs, r -> struct({start} AS start, {n} AS n, true AS passage, xxhash64(slice(_x, {start} + 1, {n}), 1) AS chunk))"))
+
+
+def _pieces(keyed: DataFrame) -> DataFrame:
+    """(_id, _hash, start, n, passage, chunk): chunks and shortest passages, by a hash of their lines."""
+    df = _with_lines(keyed).select("_id", "_hash", "_lines").withColumn("_x", F.expr("transform(_lines, u -> xxhash64(u))"))
+    df = _with_passages(_with_chunks(df))
     # outer, since a filter inferred from an inner generator would repeat all of the above
-    return df.select("_id", "_hash", F.inline_outer("_found")).where("chunk IS NOT NULL")
+    return df.select("_id", "_hash", F.inline_outer(F.concat("_found", "_long"))).where("chunk IS NOT NULL")
+
+
+def _stretches(pieces: DataFrame) -> DataFrame:
+    """(_id, _hash, first_id, first_hash, shift, low, high, parts): repeats of one first text at one distance.
+
+    A line i of the text repeats line i - shift of the first; low to high are the first's lines to export.
+    """
+    repeated = pieces.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "_hash", "start")).alias("first")).where("times > 1")
+    repeated = repeated.select("chunk", F.col("first._id").alias("first_id"), F.col("first._hash").alias("first_hash"), F.col("first.start").alias("first_start"))
+    later = pieces.join(repeated, "chunk").where("NOT (_id = first_id AND _hash = first_hash AND start < first_start + if(passage, n, 1))")
+    later = later.withColumn("shift", F.expr("start - first_start"))
+    return later.groupBy("_id", "_hash", "first_id", "first_hash", "shift").agg(
+        F.expr(f"min(if(passage, first_start, greatest(first_start - {CONTEXT}, 0)))").alias("low"),
+        F.expr(f"max(first_start + n - 1 + if(passage, 0, {CONTEXT}))").alias("high"),
+        F.collect_set(F.struct("start", "n", "passage")).alias("parts"),
+    )
 
 
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks of lines removed from ``text``; ``counts`` adds n_lines and n_removed."""
+    """``docs`` with repeated lines removed from ``text``; ``counts`` adds n_lines and n_removed."""
     keyed = _keyed(docs)
-    chunks = materialize(_chunks(keyed), "chunks")
-    repeated = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "_hash", "start", "n")).alias("first")).where("times > 1")
-    wanted = repeated.groupBy("first._id", "first._hash").agg(F.collect_list(F.struct("chunk", "first.start", "first.n")).alias("_wanted"))
-    exported = _with_lines(keyed.join(wanted, ["_id", "_hash"]))
-    exported = exported.select(
-        "_id",
-        "_hash",
-        F.inline_outer(
-            F.expr(
-                f"""transform(_wanted, w -> struct(w.chunk AS chunk, w.start AS first_start, slice(_lines, w.start + 1, w.n) AS same,
-                slice(_lines, greatest(w.start - {CONTEXT}, 0) + 1, least(w.start, {CONTEXT})) AS before,
-                slice(_lines, w.start + w.n + 1, {CONTEXT}) AS after))"""
-            )
-        ),
-    )
-    firsts = materialize(exported.dropDuplicates(["chunk"]).select("chunk", F.col("_id").alias("first_id"), F.col("_hash").alias("first_hash"), "first_start", "same", "before", "after"), "firsts")
-    later = chunks.join(firsts, "chunk").where("NOT (_id = first_id AND _hash = first_hash AND start = first_start)")
-    lists = later.groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "n", "same", "before", "after")).alias("_later"))
+    pieces = materialize(_pieces(keyed), "chunks")
+    stretches = materialize(_stretches(pieces), "stretches")
+    discard(pieces)
+    first = ["first_id", "first_hash"]
+    wanted = stretches.groupBy(*first).agg(F.collect_set(F.struct("low", "high")).alias("_wanted"))
+    exported = _with_lines(keyed.withColumnsRenamed({"_id": "first_id", "_hash": "first_hash"}).join(wanted, first))
+    exported = exported.select(*first, F.inline_outer(F.expr("transform(_wanted, w -> struct(w.low AS low, w.high AS high, slice(_lines, w.low + 1, w.high - w.low + 1) AS same))")))
+    firsts = materialize(exported.dropDuplicates([*first, "low", "high"]), "firsts")
+    later = stretches.join(firsts, [*first, "low", "high"])
+    lists = later.groupBy("_id", "_hash").agg(F.collect_list(F.struct("shift", "low", "same", "parts")).alias("_later"))
     df = _with_lines(keyed.join(lists, ["_id", "_hash"], "left"))
-    equal = F.expr("filter(_later, x -> slice(_lines, x.start + 1, x.n) = x.same)")
-    df = df.withColumn("_equal", F.coalesce(equal, F.expr("filter(_later, x -> false)")))
-    grown = """transform(_equal, x -> struct(
-        x.start - if(size(x.before) = 0, 0, aggregate(sequence(1, size(x.before)), 0, (g, k) -> if(g = k - 1 AND x.start - k >= 0 AND get(_lines, x.start - k) = get(x.before, size(x.before) - k), k, g))) AS a,
-        x.start + x.n - 1 + if(size(x.after) = 0, 0, aggregate(sequence(1, size(x.after)), 0, (g, k) -> if(g = k - 1 AND get(_lines, x.start + x.n - 1 + k) = get(x.after, k - 1), k, g))) AS b))"""
-    df = df.withColumn("_gone", F.expr(f"array_distinct(flatten(transform({grown}, g -> sequence(g.a, g.b))))"))
+    # line i of the text is line i - shift - low of the exported ones
+    equal = "filter(x.parts, p -> slice(_lines, p.start + 1, p.n) = slice(x.same, p.start - x.shift - x.low + 1, p.n))"
+    same = "get(_lines, {0}) = get(x.same, {0} - x.shift - x.low)"
+    grown = f"""transform({equal}, p -> struct(
+        p.start - if(p.passage, 0, aggregate(sequence(1, {CONTEXT}), 0, (g, k) -> if(g = k - 1 AND p.start - k >= 0 AND p.start - k - x.shift >= x.low AND {same.format("(p.start - k)")}, k, g))) AS a,
+        p.start + p.n - 1 + if(p.passage, 0, aggregate(sequence(1, {CONTEXT}), 0, (g, k) -> if(g = k - 1 AND {same.format("(p.start + p.n - 1 + k)")}, k, g))) AS b))"""
+    df = df.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_later, x -> flatten(transform({grown}, g -> sequence(g.a, g.b))))))"))
     df = df.withColumn("_kept", F.expr("if(coalesce(size(_gone), 0) <= 0, NULL, array_except(sequence(0, size(_lines) - 1), _gone))"))
     text = F.expr("if(_kept IS NULL, _row.text, array_join(transform(_kept, i -> get(_units, i)), ''))").alias("text")
     columns = [text if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]

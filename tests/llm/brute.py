@@ -90,3 +90,21 @@ def base_spans(text):
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
+
+
+def repeated_passages(rows, words=50):
+    """(doc_id, text) rows with distinct ids: {doc_id: numbers of lines in a run that is in an earlier place too}.
+
+    A run has more than ``words`` words, begins and ends with a non-blank line and doesn't overlap the earlier one.
+    """
+    firsts, gone = {}, defaultdict(set)
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        bare = [u.rstrip(" \t\r\n") for u in lines(text)]
+        for a in range(len(bare)):
+            for b in range(a, len(bare)):
+                run = tuple(bare[a : b + 1])
+                if run[0] and run[-1] and sum(len(u.split()) for u in run) > words:
+                    first, at = firsts.setdefault(run, (d, a))
+                    if first != d or at + len(run) <= a:
+                        gone[d] |= set(range(a, b + 1))
+    return {d: gone[d] for d, _ in rows}

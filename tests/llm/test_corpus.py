@@ -99,6 +99,29 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def long_passages():
+    draw, rows = random.Random(5), []
+    for _ in range(40):
+        passage = [" ".join(draw.choices(WORDS, k=draw.randint(1, 30))) + "." for _ in range(draw.randint(1, 9))]
+        rows += ["\n".join([" ".join(draw.choices(WORDS, k=9)) + ".", end.join(passage[draw.randint(0, 1) :]), " ".join(draw.choices(WORDS, k=7)) + "."]) for end in "\n \n"]
+    line, blanks = " ".join(WORDS[:51]), "\n\n" + "\n\n".join(rows[3].split("\n"))
+    rows += [line, line + "\n\nend", " ".join(WORDS[:50]), " ".join(WORDS[:50]), None, "", "\n \n", "la la.\n" * 90, rows[0] + "\n" + rows[0], blanks, blanks]
+    return list(enumerate(rows))
+
+
+def test_long_passages_are_removed_wherever_chunks_are_cut(spark, monkeypatch):
+    rows = long_passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.repeated_passages(rows)
+    both = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(docs, counts=True).collect()}
+    assert all(both[d] >= len(want[d]) for d, _ in rows)
+    monkeypatch.setattr(line_dedup, "DIVISOR", 1)  # chunks of one line: none is removed
+    found = {r.doc_id: (r.text or "", r.n_removed) for r in line_dedup.deduplicated(docs, counts=True).collect()}
+    for d, t in rows:
+        assert found[d] == ("".join(u for i, u in enumerate(brute.lines(t)) if i not in want[d]), len(want[d])), d
+    assert sum(map(len, want.values())) > 200 and want[121] == {0} and not want[123]
+
+
 def test_repeated_rows_share_one_decision(spark):
     text = "\n".join(prose(6) for _ in range(12))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + "\nend")], "doc_id long, text string")
