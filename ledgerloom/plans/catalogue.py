@@ -71,10 +71,10 @@ def compare_new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every fact of every document among all facts."""
     found = facts(spark, sf_dir)
     embedded = found.withColumn("embedding", vectors.hashed_embedding(text.embedding_text(*[F.col(c) for c in ("entity", "metric", "value", "unit", "period", "scope", "quote")])))
-    new = embedded.where("document_id = 'review' AND norm_period = 'FY1995'")
-    return retrieve.candidates(new, embedded).select("fact_id", "cand_id", F.round("score", 6).alias("score"), "rank")
+    return retrieve.candidates(embedded, embedded).select("fact_id", "cand_id", F.round("score", 6).alias("score"), "rank")
 
 
 def question_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 import glob
+import math
 import os
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom.functions import vectors
 from ledgerloom.plans import catalogue
+from ledgerloom.plans.inputs import facts
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["relation_summary", "normalize_entity", "normalize_period", "coerced", "clean_text", "bm25_topk", "hash_embedding", "dedupe_content_hash", "stream_daily_counts", "set_ops"]
@@ -30,3 +35,55 @@ def test_equals_sql(spark, duck, name):
 def test_entry_names():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def best_by_brute_force(fact, rows):
+    """[(id, score rounded)]: the five best candidates of one fact, by plain loops over all facts."""
+    rows = [r | {"norm_entity": r["norm_entity"] or r["entity"].lower()} for r in rows]
+    fact = next(r for r in rows if r["id"] == fact["id"])
+
+    def words(r):
+        fields = ("entity", "metric", "value", "unit", "period", "scope", "geography", "reporting_basis", "quote")
+        return re.findall("[a-z0-9]+", " ".join(r[f] or "" for f in fields).lower())
+
+    def vector(r):
+        return vectors.counts_of(" | ".join(r[f] or "" for f in ("entity", "metric", "value", "unit", "period", "scope", "quote")))
+
+    others = [r for r in rows if r["document_id"] != fact["document_id"]]
+    pool = [r for r in others if r["norm_entity"] == fact["norm_entity"]] or others
+    tier = {r["id"]: int(not (fact["norm_metric"] and fact["norm_metric"] == r["norm_metric"])) for r in pool}
+    bags, asked, own = {r["id"]: Counter(words(r)) for r in pool}, Counter(words(fact)), vector(fact)
+    average = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    near, lexical = {}, {}
+    for r in pool:
+        other, bag = vector(r), bags[r["id"]]
+        near[r["id"]] = sum(x * y for x, y in zip(own, other)) / math.sqrt(sum(x * x for x in own) * sum(y * y for y in other))
+        for word, times in asked.items():
+            df, tf = sum(word in b for b in bags.values()), bag[word]
+            term = math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(bag.values()) / average)) * times
+            lexical[r["id"]] = lexical.get(r["id"], 0) + term
+
+    def places(scores):
+        order = sorted(scores, key=lambda i: (-round(scores[i], 9), tier[i], i))[:20]
+        return {i: n for n, i in enumerate(order, 1)}
+
+    v, w = places({i: s for i, s in near.items() if s >= 0.45}), places({i: s for i, s in lexical.items() if s > 0})
+    scores = {}
+    for r in pool:
+        if r["id"] in v or r["id"] in w:
+            equal = [b for f, b in (("norm_entity", 0.15), ("norm_metric", 0.2), ("norm_period", 0.1), ("norm_scope", 0.05)) if fact[f] and fact[f] != "unspecified" and fact[f] == r[f]]
+            scores[r["id"]] = sum(equal) + sum(1 / (60 + found[r["id"]]) for found in (v, w) if r["id"] in found)
+    best = sorted(scores, key=lambda i: (-round(scores[i], 9), v.get(i, 99), w.get(i, 99), i))[:5]
+    return [(i, round(scores[i], 6)) for i in best]
+
+
+def test_every_fact_gets_its_candidates(spark):
+    rows = [r.asDict() for r in facts(spark, SF).collect()]
+    found = defaultdict(dict)
+    for r in catalogue.QUERIES["retrieve_candidates"](spark, SF).collect():
+        found[r.fact_id][r["rank"]] = (r.cand_id, r.score)
+    assert {r["document_id"] for r in rows} == {"orders", "lines", "review"} and set(found) == {r["id"] for r in rows}
+    for fact in rows[::7]:
+        got = [found[fact["id"]][n] for n in sorted(found[fact["id"]])]
+        want = best_by_brute_force(fact, rows)
+        assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
