@@ -64,8 +64,9 @@ def from_wav(data: bytes) -> bytes:
 def band_peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Bin and magnitude of the strongest bin of every frame and band; frames are rows."""
     samples = np.frombuffer(payload, np.uint8)
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)), constant_values=128)
+    # the last frame covers the end of the payload, silence fills it
+    whole = FRAME + max(0, -(-(len(samples) - FRAME) // HOP)) * HOP
+    samples = np.pad(samples, (0, whole - len(samples)), constant_values=128)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     bins, sizes = [], []
     for at in range(0, len(frames), BLOCK):

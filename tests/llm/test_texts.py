@@ -50,6 +50,16 @@ def test_media(docs):
     assert media.media_features(docs.limit(0)).count() == 0
 
 
+def test_frames_cover_the_whole_payload():
+    draw = np.random.default_rng(4)
+    for size in range(64, 2100, 64):
+        payload = draw.integers(1, 255, size).astype(np.uint8)
+        _, sizes = media.band_peaks(payload.tobytes())
+        assert len(sizes) == 1 + max(0, -(-(size - 512) // 256))
+        payload[-60:-4] = 128
+        assert not np.array_equal(media.band_peaks(payload.tobytes())[1][-1], sizes[-1])
+
+
 def test_pieces(docs):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for r in pieces.encode_pieces(docs, PIECES).collect():
