@@ -156,6 +156,17 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_random_strings_of_narrow_alphabets_are_found(spark):
+    draw = random.Random(9)
+    alphabets = (string.ascii_lowercase + "234567", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits)
+    keys = ["".join(draw.choices(a, k=n)) for a in alphabets for n in (40, 64) for _ in range(25)]
+    plain = ["internationalization", "the/path/of/chapter12/and/section34", "abcdefghijklmnopqrstuvwxyz", "version2version2version2version2"] * 10
+    docs = spark.createDataFrame([(d, f"a run {t} in text") for d, t in enumerate(keys + plain)], "doc_id long, text string")
+    found = {r.doc_id: r.n_random for r in secret_scan.scan(docs).collect()}
+    assert all(sum(found[d] for d in range(at, at + 25)) >= 23 for at in range(0, len(keys), 25))
+    assert not any(found[d] for d in range(len(keys), len(found)))
+
+
 def page_rows():
     fake = "text\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n broken"
     htmls = [None, "", "same", "same", fake, fake, "héllo 😀", "x" * 3000, "WARC/1.1\r\nContent-Length: 99999\r\n\r\n"]
