@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm import jaccard, line_dedup, packing, quality, queries, secret_scan
 from ledgerloom.llm.runtime import materialize, where_computed
@@ -29,10 +30,23 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component (one row of it); all documents without words."""
-    groups = jaccard.component_ids(docs)
-    gone = groups.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.g_id, "left_anti")
+    """One row of each component, with the smallest doc_id (a null one last); all documents without words."""
+    groups = jaccard.component_ids(docs, keep_keys=True).where("n_shingles > 0")
+    # rows equal in doc_id and text are one here
+    rows = groups.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"), F.first("component_key").alias("component_key"))
+    order = Window.partitionBy("component_key").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
+    rows = materialize(rows.withColumn("nth", F.row_number().over(order)).where("nth > 1 OR times > 1"), "copies")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def of(marked: DataFrame, how: str) -> DataFrame:
+        marked = marked.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+        return docs.join(marked, docs.doc_id.eqNullSafe(marked.g_id) & (own == marked.g_hash), how)
+
+    if not rows.where("nth = 1").limit(1).count():
+        return of(rows, "left_anti")
+    again = of(rows.where("nth = 1"), "left_semi").withColumn("_own", own)
+    one = again.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])))
+    return of(rows, "left_anti").unionByName(one.where("_nth = 1").select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,11 +191,11 @@ def too_few(shingles: np.ndarray, number: int, found: int) -> bool:
     return allocate(number)[0] == SEGMENTS and found <= 2 * len(shingles) // 9
 
 
-SETS = "doc_id long, n_shingles long, key binary, few boolean"
+SETS = "doc_id long, n_shingles long, key binary, few boolean, text_hash long"
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the class key and whether the set has too few segments, for every document."""
+    """doc_id, n_shingles, the class key, whether the set has too few segments and the text's hash, for every document."""
 
     def few(shingles: np.ndarray) -> bool:
         number = band(len(shingles))
@@ -204,9 +204,9 @@ def document_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", AT_ONCE):
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([few(s) for s in sets])], ["doc_id", "n_shingles", "key", "few"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([few(s) for s in sets]), batch.column("text_hash")], ["doc_id", "n_shingles", "key", "few", "text_hash"])
 
-    return arrow_map(id_and_text(docs), run, SETS)
+    return arrow_map(id_and_text(docs).withColumn("text_hash", F.xxhash64("text")), run, SETS)
 
 
 _ENTRY = np.dtype([("key", "V16"), ("n", "<u4"), ("spare", "<i4"), ("scheme", "<u2"), ("few", "<u2")])
@@ -482,17 +482,20 @@ def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> t
         at += 1
 
 
-def component_ids(docs: DataFrame, by_shingles: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document; ``by_shingles`` as in ``near_links``."""
+def component_ids(docs: DataFrame, by_shingles: bool = False, keep_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document; ``by_shingles`` as in ``near_links``.
+
+    ``keep_keys`` adds text_hash and component_key, which tells components apart also where no doc_id does.
+    """
     sets = materialize(document_sets(docs), "sets")
     _, labels = near_links(docs, sets, by_shingles)
     classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     if labels is not None:
         named = labels.join(classes, "key")
         smallest = named.groupBy("label").agg(F.min("least").alias("component"))
-        classes = classes.join(named.join(smallest, "label").select("key", "component"), "key", "left").select("key", F.coalesce("component", "least").alias("component"))
+        classes = classes.join(named.join(smallest, "label").select("key", "label", "component"), "key", "left").select("key", F.coalesce("label", "key").alias("component_key"), F.coalesce("component", "least").alias("component"))
     else:
-        classes = classes.select("key", F.col("least").alias("component"))
+        classes = classes.select("key", F.col("key").alias("component_key"), F.col("least").alias("component"))
     classes = materialize(classes, "classes")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return sets.join(classes, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return sets.join(classes, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"), *(["text_hash", "component_key"] if keep_keys else []))

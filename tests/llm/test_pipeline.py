@@ -85,3 +85,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         left = stage(spark, docs, str(tmp_path))
         assert left.columns == docs.columns and left.count() == 2, name
+
+
+def test_one_row_of_each_component_stays(spark):
+    draw = random.Random(2)
+    texts = [" ".join("".join(draw.choices(string.ascii_lowercase, k=6)) for _ in range(60)) for _ in range(6)]
+    near = [t + " end" for t in texts]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (None, near[1]), (3, texts[2]), (4, near[2]), (4, texts[3]), (None, texts[4]), (None, near[4]), (None, texts[4]), (5, texts[5]), (5, near[5]), (None, None), (None, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], COLUMNS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()]
+    fixed = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[3]), (None, None), (None, None), (6, ""), (6, "")]
+    rest = sorted((r for r in left if r not in fixed), key=str)
+    assert sorted((r for r in left if r in fixed), key=str) == sorted(fixed, key=str)
+    assert len(rest) == 2 and rest[0][0] == 5 and rest[0][1] in (texts[5], near[5]) and rest[1][0] is None and rest[1][1] in (texts[4], near[4])
