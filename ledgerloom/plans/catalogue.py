@@ -218,17 +218,26 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.verified(*_claims(spark, sf_dir), composed=False)
+    found = evidence.verified(*_claims(spark, sf_dir))
     return found.select("fact_id", "document_id", "evidence_status", F.col("page_no").cast("long").alias("page_no"), "n_hits")
 
 
 def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose matchable text holds a whole benchmark item."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.match_form(F.col("text"), composed=False).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.match_form(F.col("text"), composed=False).alias("p"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.match_form(F.col("text")).alias("q"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.match_form(F.col("text")).alias("p"))
     return docs.join(F.broadcast(items), F.expr("contains(p, q)")).select("item_id", "doc_id")
 
 
+def quote_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose matchable text holds a benchmark item or one of its windows, and whether all of it."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.match_form(text.stripped(F.coalesce("text", F.lit("")))).alias("q")).where("q <> ''")
+    items = items.withColumn("w", evidence.quote_windows(F.col("q")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.match_form(F.col("text")).alias("p"))
+    found = docs.join(F.broadcast(items), F.expr("contains(p, q) OR exists(w, x -> contains(p, x))"))
+    return found.select("item_id", "doc_id", F.expr("contains(p, q)").alias("exact"))
+
+
 def dedupe_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("uploaded_at"))
     none = spark.createDataFrame([], "document_id string, document_version int, content_hash string, status string")
@@ -294,7 +303,7 @@ QUERIES = {
         relation_summary, relation_pairs, relation_top5_per_type, fact_relations, metric_history, gold_projection, pair_dedupe, compare_new_facts,
         retrieve_candidates, question_facts, answer, normalize_entity, normalize_metric, normalize_unit, normalize_period, normalize_value,
         normalize_geography, coerced, clean_text, candidate_docs, chunk_pages, candidate_chunks, split_long, chunk_top25, token_stats, bm25_topk,
-        vector_topk, hybrid_rrf, hash_embedding, evidence_status, quote_exact, dedupe_content_hash, latest_version, latest_status, extract_numbers,
+        vector_topk, hybrid_rrf, hash_embedding, evidence_status, quote_exact, quote_window, dedupe_content_hash, latest_version, latest_status, extract_numbers,
         unsupported_numbers, json_props, html_pages, stream_dedupe, stream_daily_counts, set_ops,
     )
 }

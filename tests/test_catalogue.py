@@ -2,10 +2,12 @@ import glob
 import math
 import os
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.functions import vectors
@@ -87,3 +89,20 @@ def test_every_fact_gets_its_candidates(spark):
         got = [found[fact["id"]][n] for n in sorted(found[fact["id"]])]
         want = best_by_brute_force(fact, rows)
         assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+def test_quotes_and_embeddings_see_every_document(spark, tmp_path):
+    quote = "The caf\u00e9\u2019s total revenue for the year was 100 crore, and it was audited by the of\ufb01ce"
+    plain = unicodedata.normalize("NFKC", quote)
+    texts = [None, "", "nothing here", f"x {plain} y", unicodedata.normalize("NFD", plain), f"x {plain[:-9]} y", f"x {plain[:40]} y", plain.upper() + " again" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src1")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, quote), (2, " "), (21, "nothing here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.item_id, r.doc_id): r.exact for r in catalogue.QUERIES["quote_window"](spark, str(tmp_path)).collect()}
+    assert found == {(1, 3): True, (1, 4): True, (1, 5): False, (1, 7): True}
+    assert {(r.item_id, r.doc_id) for r in catalogue.QUERIES["quote_exact"](spark, str(tmp_path)).where("item_id = 1").collect()} == {(1, 3), (1, 4), (1, 7)}
+    assert {r.fact_id: r.n_hits for r in catalogue.QUERIES["evidence_status"](spark, str(tmp_path)).collect()}[1] == 4
+
+
+@pytest.mark.parametrize("name", ["quote_exact"])
+def test_equals_sql_on_documents(spark, duck, name):
+    test_equals_sql(spark, duck, name)
