@@ -210,6 +210,12 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.where("v <> 0").select("item_id", F.col("slot").cast("long").alias("slot"), F.col("v").cast("long").alias("v"))
 
 
+def hash_embedding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed slot counts of the whole text of every document, where not zero."""
+    slots = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hashed_counts(F.col("text"))).alias("slot", "v"))
+    return slots.where("v <> 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("v").cast("long").alias("v"))
+
+
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every benchmark item claims page item_id % 50 + 1 of every twentieth source by name."""
     items = table(spark, sf_dir, "benchmark")
@@ -303,7 +309,7 @@ QUERIES = {
         relation_summary, relation_pairs, relation_top5_per_type, fact_relations, metric_history, gold_projection, pair_dedupe, compare_new_facts,
         retrieve_candidates, question_facts, answer, normalize_entity, normalize_metric, normalize_unit, normalize_period, normalize_value,
         normalize_geography, coerced, clean_text, candidate_docs, chunk_pages, candidate_chunks, split_long, chunk_top25, token_stats, bm25_topk,
-        vector_topk, hybrid_rrf, hash_embedding, evidence_status, quote_exact, quote_window, dedupe_content_hash, latest_version, latest_status, extract_numbers,
+        vector_topk, hybrid_rrf, hash_embedding, hash_embedding_documents, evidence_status, quote_exact, quote_window, dedupe_content_hash, latest_version, latest_status, extract_numbers,
         unsupported_numbers, json_props, html_pages, stream_dedupe, stream_daily_counts, set_ops,
     )
 }

@@ -187,3 +187,4 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'unlabelled', count(*), CAST(sum(doc_id) AS BIGINT) FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM l)
         UNION ALL SELECT 'either', count(*), CAST(sum(doc_id) AS BIGINT) FROM (SELECT * FROM d UNION SELECT * FROM l)""",
 }
+ORACLE_SQL["hash_embedding_documents"] = ORACLE_SQL["hash_embedding"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")

@@ -101,8 +101,12 @@ def test_quotes_and_embeddings_see_every_document(spark, tmp_path):
     assert found == {(1, 3): True, (1, 4): True, (1, 5): False, (1, 7): True}
     assert {(r.item_id, r.doc_id) for r in catalogue.QUERIES["quote_exact"](spark, str(tmp_path)).where("item_id = 1").collect()} == {(1, 3), (1, 4), (1, 7)}
     assert {r.fact_id: r.n_hits for r in catalogue.QUERIES["evidence_status"](spark, str(tmp_path)).collect()}[1] == 4
+    slots = defaultdict(dict)
+    for r in catalogue.QUERIES["hash_embedding_documents"](spark, str(tmp_path)).collect():
+        slots[r.doc_id][r.slot] = r.v
+    assert all(slots[d] == {i: v for i, v in enumerate(vectors.counts_of(t or "")) if v} for d, t in enumerate(texts))
 
 
-@pytest.mark.parametrize("name", ["quote_exact"])
+@pytest.mark.parametrize("name", ["hash_embedding_documents", "quote_exact"])
 def test_equals_sql_on_documents(spark, duck, name):
     test_equals_sql(spark, duck, name)
