@@ -1,7 +1,8 @@
-"""A Bloom filter of fixed size over long ids, to keep rows that can't match out of a shuffle.
+"""A Bloom filter over long ids, to keep rows that can't match out of a shuffle.
 
-It has ``BITS`` bits (1 MiB) whatever the number of ids: with very many ids it lets most rows
-through, which costs time and changes no result, since a join always follows.
+It has ``PER_ID`` bits for each id, and at most ``MOST_BITS`` (32 MiB), which bounds what is sent to
+the driver and to each executor.  Where more ids would need more there is no filter: rows that can't
+match then cost time and change no result, since a join always follows.
 """
 
 from __future__ import annotations
@@ -15,48 +16,61 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import arrow_map
+from ledgerloom.llm.runtime import arrow_map, importable
 
-BITS = 1 << 23
+PER_ID = 12
+MOST_BITS = 1 << 28
 HASHES = 4
 PARTS = 8
 
 
-def _bits(ids: np.ndarray) -> list[np.ndarray]:
+def _bits(ids: np.ndarray, n_bits: int) -> list[np.ndarray]:
     x = ids.astype(np.int64).view(np.uint64)
     out = []
     for k in range(HASHES):
         y = (x + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         y = (y ^ (y >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(((y ^ (y >> np.uint64(32))) % np.uint64(BITS)).astype(np.int64))
+        out.append(((y ^ (y >> np.uint64(32))) % np.uint64(n_bits)).astype(np.int64))
     return out
 
 
-def bloom_filter(df: DataFrame, column: str) -> Broadcast:
-    """The filter over a column of longs without nulls; PARTS partial filters of 1 MiB reach the driver one at a time."""
+def bloom_filter(df: DataFrame, column: str) -> Broadcast | None:
+    """The filter over a column of longs; partial filters reach the driver one at a time.  None where it would be too large."""
+    ids = df.select(column).where(F.col(column).isNotNull())
+    n_bits = 1 << max(16, (PER_ID * ids.count()).bit_length())
+    if n_bits > MOST_BITS:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(BITS, bool)
+        flags = np.zeros(n_bits, bool)
         for batch in batches:
-            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False), n_bits):
                 flags[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["bits"])
 
-    made = np.zeros(BITS // 8, np.uint8)
-    for part in arrow_map(df.select(column).repartition(PARTS), run, "bits binary").toLocalIterator():
+    made = np.zeros(n_bits // 8, np.uint8)
+    for part in arrow_map(ids.repartition(PARTS), run, "bits binary").toLocalIterator():
         made |= np.frombuffer(part.bits, np.uint8)
     return df.sparkSession.sparkContext.broadcast(made)
 
 
-def perhaps_in(shared: Broadcast, column: str) -> Column:
+def perhaps_in(shared: Broadcast | None, column: str) -> Column:
     """False where the value is certainly not in the filter."""
+    if shared is None:
+        return F.lit(True)
 
     @F.pandas_udf("boolean")
     def perhaps(ids: pd.Series) -> pd.Series:
-        values = ids.to_numpy(np.int64)
+        values = ids.fillna(0).to_numpy(np.int64)
         found = np.ones(len(values), bool)
-        for at in _bits(values):
+        for at in _bits(values, len(shared.value) * 8):
             found &= (shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
         return pd.Series(found)
 
     return perhaps(column)
+
+
+def matching(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``rows`` joined with ``wanted`` on a column of longs, the rows passing the filter first."""
+    importable(rows.sparkSession)
+    return rows.where(perhaps_in(bloom_filter(wanted, column), column)).join(wanted, column)

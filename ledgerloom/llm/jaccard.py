@@ -18,15 +18,19 @@ plus an estimate of chance matches):
 A set emits signatures in its own band's scheme and, where a partner there may be larger by a
 quarter, in the next.  Signatures travel packed, as arrays for each task and signature range.
 
-A signature shared by more than ``HEAVY`` classes is skipped by every set that keeps more equal
-segments than it can lose; if both sides of a pair would fall short, both keep it.
-
-Groups of classes that share a signature are resolved by rounds: one member (the one in most
-groups; two, four, ... in later rounds, which few groups reach) is verified against the others of
-another component unless the pair was tested before, links join components, and groups whose members are in one component, and
-the tested members, leave.  Rounds end when no group has two components, so no link that could
-join two components is missed.  Verification compares hashes cut to 16 bits
-first, which only overestimates what is common, and for the pairs left the shingle sets themselves.
+Of its signatures a set needs only the rarest: linked sets have all but h + 1 in common (h + 1 is the
+most that can differ, and one), so each skips as many of the most frequent as it has above h + 1,
+in one order by group size for all (prefix filter).  A set whose own text is unusual enough so
+skips every shared passage and has no candidates at all.
+
+Of each group left, the member in most groups is the pivot, and groups with the same pivot are one
+star.  First every pivot is verified against its star, one row for each member, and links join
+components.  Stars that lie in one component are done.  In the others every member outside the
+largest component is verified against the whole star, in blocks of bounded size, through an
+inverted index of the block's shingles; no rows of pairs are made.  All pairs with a common
+signature so are compared or in one component, and no link between components is missed.
+Verification compares hashes cut to 32 bits first, which only overestimates what is common, and the
+few pairs left by their words.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is its own
 component; texts with fewer than five words have one shingle, the whole sequence; repeated rows and
@@ -37,6 +41,7 @@ never the smallest id unless alone; an empty table gives an empty result; other
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,12 +51,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.bloom import bloom_filter, perhaps_in
-from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, importable, materialize, slices
+from ledgerloom.llm.bloom import matching
+from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, materialize, slices
 
 WORDS = 5
-HEAVY = 4
-PIVOTS = 2  # tested members of a group grow by this factor each round
 SMALLEST = 4  # below it only equal sets can link
 GROWTH = 2
 FAIL = 1e-9
@@ -61,7 +64,8 @@ MOST_SIGNATURES = 300_000  # packed at once
 AT_ONCE = 1 << 19  # bytes of text hashed at once
 PER_PART = 1_000_000  # shingles for each range of signatures
 PER_SALT = 1024
-MOST_SHORT = 4096  # shingles of a set whose reduced hashes have 16 bits
+PER_BLOCK = 2_000_000  # shingles of one side of a block
+MOST_SEEN = 200_000  # classes a task remembers to send their signatures once
 _U = np.uint64
 
 
@@ -191,22 +195,22 @@ def too_few(shingles: np.ndarray, number: int, found: int) -> bool:
     return allocate(number)[0] == SEGMENTS and found <= 2 * len(shingles) // 9
 
 
-SETS = "doc_id long, n_shingles long, key binary, few boolean, text_hash long"
+SETS = "doc_id long, n_shingles long, key binary, text_hash long"
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the class key, whether the set has too few segments and the text's hash, for every document."""
+def hashed(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
 
-    def few(shingles: np.ndarray) -> bool:
-        number = band(len(shingles))
-        return number > 0 and too_few(shingles, number, len(signatures(shingles, number)[0]))
+
+def document_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, the class key and the text's hash, for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", AT_ONCE):
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([few(s) for s in sets]), batch.column("text_hash")], ["doc_id", "n_shingles", "key", "few", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), batch.column("text_hash")], ["doc_id", "n_shingles", "key", "text_hash"])
 
-    return arrow_map(id_and_text(docs).withColumn("text_hash", F.xxhash64("text")), run, SETS)
+    return arrow_map(hashed(docs), run, SETS)
 
 
 _ENTRY = np.dtype([("key", "V16"), ("n", "<u4"), ("spare", "<i4"), ("scheme", "<u2"), ("few", "<u2")])
@@ -244,7 +248,7 @@ def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> Dat
                 key = class_key(shingles)
                 if key in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < MOST_SEEN:
                     seen.add(key)
                 number = band(size)
                 schemes = [number] + ([number + 1] if 5 * size >= 4 * band_edges(number + 1)[0] else [])
@@ -267,11 +271,14 @@ def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> Dat
     return arrow_map(id_and_text(docs), run, "part long, entries binary, codes binary, owners binary")
 
 
-GROUPS = "grp long, key binary, n int, scheme int, spare int, times int, heavy boolean"
+GROUPS = "grp long, key binary, n int, scheme int, spare int, times int, size int"
 
 
 def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> DataFrame:
-    """Groups of two classes or more that share a signature; equal groups of a range are one, ``times`` over."""
+    """Groups of two classes or more that share a signature; equal groups of a range are one, ``times`` over.
+
+    A set with too few segments has a row besides, a group of size 0.
+    """
 
     def resolved(blobs: list[tuple[pa.Buffer, pa.Buffer, pa.Buffer]]) -> pa.RecordBatch | None:
         tables = [np.frombuffer(e, _ENTRY) for e, _, _ in blobs]
@@ -285,7 +292,8 @@ def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> Da
         twice[1:] = code[1:] == code[:-1]
         twice[:-1] |= twice[1:]
         code, owner = code[twice], owner[twice]
-        if not len(code):
+        lone = np.flatnonzero(table["few"])
+        if not len(code) and not len(lone):
             return None
         words = table["key"].copy().view(_U).reshape(-1, 2)
         _, first, number = np.unique(words.view([("a", _U), ("b", _U)]).ravel(), return_index=True, return_inverse=True)
@@ -295,30 +303,28 @@ def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> Da
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])
         code, cls, owner = code[keep], cls[keep], owner[keep]
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(code)]]))
-        names = mixed(np.add.reduceat(mixed(words[first][cls, 0] ^ mixed(words[first][cls, 1], 21), 22), starts), 23)
+        if not len(starts):
+            names = np.zeros(0, _U)
+        else:
+            names = mixed(np.add.reduceat(mixed(words[first][cls, 0] ^ mixed(words[first][cls, 1], 21), 22), starts), 23)
         wanted = sizes > 1
-        if only_few:
+        if only_few and len(starts):
             wanted &= np.add.reduceat(table["few"][owner].astype(np.int64), starts) > 0
-        if not wanted.any():
-            return None
         picked, at, times = np.unique(names[wanted], return_index=True, return_counts=True)
         at = np.flatnonzero(wanted)[at]
-        rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in at])
+        rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(starts[i], starts[i] + sizes[i]) for i in at)])
         n = sizes[at]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(picked, n).view(np.int64)),
-                pa.array([k.tobytes() for k in table["key"][owner[rows]]], pa.binary()),
-                pa.array(table["n"][owner[rows]].astype(np.int32)),
-                pa.array(table["scheme"][owner[rows]].astype(np.int32)),
-                pa.array(table["spare"][owner[rows]].astype(np.int32)),
-                pa.array(np.repeat(times, n).astype(np.int32)),
-                pa.array(np.repeat(n > HEAVY, n)),
-            ],
-            ["grp", "key", "n", "scheme", "spare", "times", "heavy"],
-        )
+        columns = {"grp": np.repeat(picked, n).view(np.int64), "times": np.repeat(times, n), "size": np.repeat(n, n)}
+        members = owner[rows]
+        if not only_few:
+            columns = {c: np.concatenate([x, np.zeros(len(lone), np.int64)]) for c, x in columns.items()}
+            members = np.concatenate([members, lone])
+        columns = {c: pa.array(x.astype(np.int64 if c == "grp" else np.int32)) for c, x in columns.items()}
+        columns["key"] = pa.array([k.tobytes() for k in table["key"][members]], pa.binary())
+        columns |= {c: pa.array(table[c][members].astype(np.int32)) for c in ("n", "scheme", "spare")}
+        return pa.RecordBatch.from_pydict({c: columns[c] for c in ("grp", "key", "n", "scheme", "spare", "times", "size")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
@@ -337,81 +343,125 @@ def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> Da
     return arrow_map(packed.repartition(n_parts, "part").sortWithinPartitions("part"), run, GROUPS)
 
 
-def reduced(shingles: np.ndarray) -> np.ndarray:
-    """A set's hashes cut to 16 bits (32 for large sets), sorted: two bytes a shingle instead of eight."""
-    kind = np.uint16 if len(shingles) <= MOST_SHORT else np.uint32
-    return np.sort(shingles.astype(kind)).astype(np.uint32)
+def reduced(shingles: np.ndarray) -> bytes:
+    """A set's hashes cut to 32 bits, sorted."""
+    return np.sort(shingles.astype(np.uint32)).tobytes()
 
 
 def most_common(left: np.ndarray, right: np.ndarray) -> int:
-    """An upper bound on the common shingles of two sets, from the reduced hashes of both; exact on whole ones."""
-    if left.dtype == _U:
-        few, many = sorted((left, right), key=len)
-        return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-    if max(len(left), len(right)) > MOST_SHORT and min(len(left), len(right)) <= MOST_SHORT:
-        left, right = np.sort(left & 0xFFFF), np.sort(right & 0xFFFF)
+    """An upper bound on the common shingles of two sets, from the reduced hashes of both (a cut value may repeat)."""
     values, counts = np.unique(left, return_counts=True)
     there = np.searchsorted(right, values, "right") - np.searchsorted(right, values, "left")
     return int(np.minimum(counts, there).sum())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, whole: bool = True) -> DataFrame:
-    """The pairs (a, a_doc, b, b_doc) whose sets link, with the same columns.
+def word_shingles(text: str) -> frozenset:
+    """The shingles as tuples of words: what the hashes stand for."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode("utf-8", "surrogatepass").lower())
+    return frozenset(zip(*(words[i:] for i in range(WORDS)))) if len(words) >= WORDS else frozenset([tuple(words)])
+
+
+def candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, n, cut, text) for the classes of ``reps`` (key, doc_id, text_hash), from one document of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", AT_ONCE):
+            sets = shingle_sets(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([reduced(s) for s in sets], pa.binary()), batch.column("text")], ["key", "n", "cut", "text"])
+
+    texts = matching(hashed(docs), reps.withColumnRenamed("doc_id", "rep_id"), "text_hash")
+    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("key", "text").dropDuplicates(["key"])
+    return arrow_map(texts, run, "key binary, n int, cut binary, text string")
+
 
-    ``whole=False`` compares reduced hashes, which keeps every linked pair and few others.
+def verified(pairs: DataFrame, sets: DataFrame, by_words: bool) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link: by reduced hashes, which may let a few others pass, or by words.
 
     Each set goes once to every pivot ``a`` it is compared with; a pivot with many partners is
-    repeated for salts.  A Bloom filter of fixed size on the ids keeps most other texts out of the join.
+    repeated for salts.
     """
-    spark = docs.sparkSession
-    counts = pairs.groupBy("a", "a_doc").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    salted = pairs.join(counts.select("a", "salts"), "a")
-    names = pairs.select("a", "a_doc", "b", "b_doc")
-    members = salted.select(F.col("b_doc").alias("doc"), F.col("b").alias("own"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
-    pivots = counts.select(F.col("a_doc").alias("doc"), F.col("a").alias("own"), F.col("a").alias("pivot"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("side"))
-    roles = members.unionByName(pivots)
-
-    importable(spark)
-    keyed = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    texts = keyed.where(perhaps_in(bloom_filter(roles, "doc"), "doc_id"))
-    joined = texts.join(roles, texts.doc_id == roles.doc).select("text", "own", "pivot", "salt", "side")
-
-    def shipped(shingles: np.ndarray) -> bytes:
-        cut = shingles if whole else reduced(shingles)
-        return (cut.astype(np.uint16) if not whole and len(cut) <= MOST_SHORT else cut).tobytes()
-
-    def unpacked(data: bytes, n: int) -> np.ndarray:
-        if whole:
-            return np.frombuffer(data, _U)
-        return np.frombuffer(data, np.uint16 if n <= MOST_SHORT else np.uint32).astype(np.uint32)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", AT_ONCE):
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            distinct = list(dict.fromkeys(columns["text"]))
-            made = {t: (class_key(s), len(s), shipped(s)) for t, s in zip(distinct, shingle_sets(distinct))}
-            keep = [i for i, (t, own) in enumerate(zip(columns["text"], columns["own"])) if made[t][0] == own]
-            if keep:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([columns[c][i] for i in keep], k) for c, k in (("pivot", pa.binary()), ("salt", pa.int32()), ("side", pa.int32()), ("own", pa.binary()))] + [pa.array([made[columns["text"][i]][j] for i in keep], k) for j, k in ((1, pa.int32()), (2, pa.binary()))],
-                    ["pivot", "salt", "side", "own", "n", "shingles"],
-                )
+    payload = "text" if by_words else "cut"
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
+    salted = pairs.join(counts, "a")
+    members = salted.select(F.col("b").alias("own"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
+    pivots = counts.select(F.col("a").alias("own"), F.col("a").alias("pivot"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("side"))
+    roles = members.unionByName(pivots).join(sets.select(F.col("key").alias("own"), "n", F.col(payload).alias("held")), "own").select("pivot", "salt", "side", "own", "n", "held")
+
+    def opened(held: bytes | str) -> np.ndarray | frozenset:
+        return word_shingles(held) if by_words else np.frombuffer(held, np.uint32)
+
+    def common(left: np.ndarray | frozenset, right: np.ndarray | frozenset) -> int:
+        return len(left & right) if by_words else most_common(left, right)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivot = None, None
+        for whole in batches:
+            for batch in slices(iter([whole]), "held"):
+                a, b = [], []
+                for key, salt, side, own, n, held in zip(*(c.to_pylist() for c in batch.columns)):
+                    if side == 0:
+                        group, pivot = (key, salt), (n, opened(held))
+                    elif group == (key, salt) and 100 * min(n, pivot[0]) >= 80 * max(n, pivot[0]) and linked(common(pivot[1], opened(held)), pivot[0], n):
+                        a.append(key)
+                        b.append(own)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return arrow_map(roles.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "side"), compare, "a binary, b binary")
+
+
+def links_across(few: list[tuple], many: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Pairs of a row of ``few`` and one of ``many`` (key, label, n, reduced hashes) whose labels differ and whose hashes link."""
+    sizes = np.array([n for _, _, n, _ in many], np.int64)
+    marks = np.unique([label for _, label, _, _ in many], return_inverse=True)
+    names = {label: i for i, label in enumerate(marks[0].tolist())}
+    token = np.concatenate([x for *_, x in many])
+    owner = np.repeat(np.arange(len(many)), [len(x) for *_, x in many])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    out = []
+    for key, label, n, own in few:
+        own = np.unique(own)
+        first, last = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+        held = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(held)[:-1]]), held) + np.arange(held.sum())
+        common = np.bincount(owner[at], minlength=len(many))
+        likely = (100 * common >= 80 * (n + sizes - common)) & (marks[1] != names.get(label, -1))
+        out += [(key, many[i][0]) for i in np.flatnonzero(likely)]
+    return out
+
+
+def across(stars: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Likely links (a, b) between members of one star (pivot, key, n) in different components.
+
+    Members outside a star's largest component meet all its members; both sides are cut by a hash of
+    the class into blocks of about PER_BLOCK shingles.
+    """
+    marked = stars.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    by_label = marked.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    parts = by_label.groupBy("pivot").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max(F.struct("c", "label", "n"))["n"].alias("main_n"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    parts = parts.select("pivot", "main", F.expr(f"cast(ceil((all_n - main_n) / {PER_BLOCK}) AS int)").alias("rows_cut"), F.expr(f"cast(ceil(all_n / {PER_BLOCK}) AS int)").alias("columns_cut"))
+    members = marked.join(parts, "pivot").withColumn("h", F.xxhash64("key"))
+    few = members.where("label <> main").select("pivot", "key", "label", F.expr("cast(pmod(h, rows_cut) AS int)").alias("i"), F.explode(F.expr("sequence(0, columns_cut - 1)")).alias("j"), F.lit(0).alias("side"))
+    many = members.select("pivot", "key", "label", F.explode(F.expr("sequence(0, rows_cut - 1)")).alias("i"), F.expr("cast(pmod(h, columns_cut) AS int)").alias("j"), F.lit(1).alias("side"))
+    roles = few.unionByName(many).join(sets.select("key", "n", "cut"), "key").select("pivot", "i", "j", "side", "key", "label", "n", "cut")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if all(sides) and (found := links_across(*sides)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            for key, salt, side, own, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if side == 0:
-                    group, pivot = (key, salt), (n, unpacked(data, n))
-                elif group == (key, salt) and linked(most_common(pivot[1], unpacked(data, n)), pivot[0], n):
-                    a.append(key)
-                    b.append(own)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            for pivot, i, j, side, key, label, n, cut in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != (pivot, i, j):
+                    yield from done()
+                    block, sides = (pivot, i, j), ([], [])
+                sides[side].append((key, label, n, np.frombuffer(cut, np.uint32)))
+        yield from done()
 
-    spread = arrow_map(joined, sets, "pivot binary, salt int, side int, own binary, n int, shingles binary").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "side")
-    return arrow_map(spread, compare, "a binary, b binary").distinct().join(names, ["a", "b"]).select("a", "a_doc", "b", "b_doc")
+    return arrow_map(roles.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j"), run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -431,16 +481,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _live(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups that still have members of two components."""
-    found = groups.withColumn("label", F.col("key"))
-    if labels is not None:
-        found = groups.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_groups = found.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-    return found.join(open_groups, "grp", "left_semi")
+def rarest(groups: DataFrame) -> DataFrame:
+    """(grp, key, n): of each set's groups those that it can't skip, the most frequent being skipped first."""
+    spread = groups.where("size > 0").groupBy("grp", "scheme", "key").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("n", "spare", "size")])
+    order = Window.partitionBy("key", "scheme").orderBy(F.col("size").desc(), "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return spread.withColumn("frequent", F.sum("times").over(order)).where("frequent > spare").select(F.xxhash64("grp", "scheme").alias("grp"), "key", "n")
 
 
-def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
     """All links needed for components between classes, and the components; ``sets`` is materialized.
 
     ``by_shingles`` compares all sets on all shingles, as is done for those with too few segments.
@@ -449,37 +497,32 @@ def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> t
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PER_PART) + 1)
     groups = materialize(shared_groups(packed_signatures(docs, n_parts, by_shingles), n_parts), "shared")
-    lost = groups.where("heavy").groupBy("key", "scheme").agg(F.sum("times").alias("lost"), F.min("spare").alias("spare")).where("lost <= spare").select("key", "scheme")
-    kept = groups.where("NOT heavy").select("grp", "key", "n").union(groups.where("heavy").join(lost, ["key", "scheme"], "left_anti").select("grp", "key", "n"))
-    if not by_shingles and sets.where("few").limit(1).count():
-        kept = kept.union(shared_groups(packed_signatures(docs, n_parts, whole=True), n_parts, only_few=True).select("grp", "key", "n"))
-    reps = sets.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc"), F.count(F.lit(1)).alias("copies"))
-    kept = kept.distinct().join(reps.select("key", "doc"), "key")
-    degree = Window.partitionBy("key")
-    kept = materialize(kept.withColumn("degree", F.count(F.lit(1)).over(degree)), "groups")
-    links, labels, tested, at = None, None, None, 0
-    while True:
-        live = materialize(_live(kept, labels).select("grp", "key", "n", "doc", "degree", "label"), "live")
-        if live.limit(1).count() == 0:
-            return links, labels
-        n_pivots = PIVOTS ** min(at, 4)
-        ranked = live.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("degree").desc(), "key")))
-        tops = ranked.where(F.col("r") <= n_pivots).select("grp", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("doc").alias("a_doc"), F.col("label").alias("a_label"), F.col("r").alias("a_r"))
-        pairs = ranked.join(tops, "grp").where("a_label <> label AND r > a_r AND 100 * least(n, a_n) >= 80 * greatest(n, a_n)")
-        pairs = pairs.select("a", "a_doc", F.col("key").alias("b"), F.col("doc").alias("b_doc")).distinct().withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
-        pairs = materialize(pairs.dropDuplicates(["lo", "hi"]), "pairs")
-        seen = pairs.select("lo", "hi")
-        tested = seen if tested is None else tested.union(seen)
-        likely = materialize(verified(docs, pairs.drop("lo", "hi"), whole=False), "likely")
-        found = verified(docs, likely).select("a", "b")
-        links = materialize(found if links is None else links.union(found), "links")
-        if links.limit(1).count():
+    kept = rarest(groups)
+    if not by_shingles and groups.where("size = 0").limit(1).count():
+        kept = kept.union(rarest(shared_groups(packed_signatures(docs, n_parts, whole=True), n_parts, only_few=True)))
+    kept = materialize(kept, "kept")
+    discard(groups)
+    degrees = kept.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
+    pivots = kept.join(degrees, "key").groupBy("grp").agg(F.max(F.struct("degree", "key"))["key"].alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    stars = materialize(kept.join(pivots, "grp").select("pivot", "key", "n").distinct(), "stars")
+    discard(kept)
+    if not stars.limit(1).count():
+        return None, None
+    reps = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")).select("key", "rep.doc_id", "rep.text_hash")
+    cut = materialize(candidate_sets(docs, reps.join(stars.select("key").distinct(), "key")), "candidates")
+    likely = verified(stars.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), cut, by_words=False)
+    links = materialize(verified(likely, cut, by_words=True), "links")
+    labels = components(links)
+    more = materialize(across(stars, labels, cut).distinct(), "across")
+    if more.limit(1).count():
+        found = materialize(verified(more, cut, by_words=True), "links")
+        if found.limit(1).count():
+            discard(labels)
+            links = links.union(found)
             labels = components(links)
-        spark.sparkContext._jvm.System.gc()  # shuffle files of finished rounds go when their frames do
-        kept = ranked.where(F.col("r") > n_pivots).select("grp", "key", "n", "doc", "degree")
-        at += 1
+    for done in (more, stars, cut):
+        discard(done)
+    return links, labels
 
 
 def component_ids(docs: DataFrame, by_shingles: bool = False, keep_keys: bool = False) -> DataFrame:
