@@ -5,12 +5,13 @@ end, so that every piece but the first is full.  The packing works on the histog
 lengths, which has at most ``capacity`` entries however large the corpus is.
 
 The linear program has a variable for each configuration (a multiset of lengths that fits one
-sequence) and a row for each length.  Multiplicative weights solve it: a length's weight falls as
-it is covered, and one knapsack dynamic program over the capacity prices, for every length, the
-best configuration that contains it; all configurations within a factor of the best get a step.
-The solution is scaled to the histogram, rounded down and solved again for what is left; grouped
-best fit decreasing places the last pieces.  The plan is a list of configurations with
-multiplicities, never larger than iterations x capacity.
+sequence) and a row for each length.  Multiplicative weights solve it until at most ``GAP`` of the
+tokens is uncovered at the lower bound of sequences (or for ``MOST_ROUNDS``), and a knapsack dynamic
+program over the capacity prices configurations.  The solution is rounded so that running totals are
+kept; configurations for which a length runs out are left out, and the program is solved again for
+the pieces that remain, ``PASSES`` times in all.  Best fit decreasing then places the last pieces, into
+the room left in those sequences first.  The plan is a list of configurations with multiplicities,
+whose number doesn't grow with the corpus.
 
 Pieces then get a rank within their length (a window over length and a salt, so that one common
 length is not one task, plus the count of the salts before) and the rank is looked up in the plan.
@@ -39,6 +40,9 @@ from pyspark.sql.window import Window
 from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize, slices
 
 MOST_WORDS = 400_000
+MOST_TABLE = 64 << 20  # bytes of the words and ids that a worker's table holds
+WIDTH, RATE, SLACK, GAP, MOST_ROUNDS = 2.0, 0.5, 0.03, 0.05, 24  # of the linear program
+MOST_TARGETS, PASSES = 4, 3
 _coders: dict[tuple, WordCoder] = {}
 
 
@@ -67,6 +71,7 @@ class WordCoder:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.by_rank = tiktoken.Encoding("words", pat_str=ranks[1], mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.table: dict[str, bytes | None] = {}
+        self.held = 0  # bytes of the words and ids in the table
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,10 +91,11 @@ class WordCoder:
             cut.append([first, *[f" {w}" for w in rest]] if first else [text] if text else [])
         words = {w for found in cut for w in found}
         new = words.difference(self.table)
-        if len(self.table) + len(new) > MOST_WORDS:
-            self.table, new = {}, words
+        if len(self.table) + len(new) > MOST_WORDS or self.held > MOST_TABLE:
+            self.table, self.held, new = {}, 0, words
         for word in new:
-            self.table[word] = self._word(word)
+            self.table[word] = ids = self._word(word)
+            self.held += 4 * len(word) + len(ids or b"")
         find, out = self.table.__getitem__, []
         for text, found in zip(texts, cut):
             ids = list(map(find, found))
@@ -131,58 +137,111 @@ def token_pieces(docs: DataFrame, tokenizer: str, ranks: tuple[str, str] | None
 Plan = list[tuple[dict[int, int], int]]
 
 
-def priced(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best total weight within each capacity, and the length taken first (0: none)."""
+def priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over ascending lengths: the best total weight within each capacity, the length taken first (0: none)."""
     best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    own, fits = weights[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        totals = weights[1 : room + 1] + best[room - 1 :: -1]
-        take = int(totals.argmax()) + 1
-        if totals[take - 1] > best[room - 1]:
-            best[room], taken[room] = totals[take - 1], take
-        else:
-            best[room] = best[room - 1]
-            taken[room] = -1
+        best[room] = best[room - 1]
+        if fits[room]:
+            totals = own[: fits[room]] + best[room - lengths[: fits[room]]]
+            take = int(totals.argmax())
+            if totals[take] > best[room]:
+                best[room], taken[room] = totals[take], lengths[take]
     return best, taken
 
 
-def configuration(first: int, taken: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """The priced configuration that holds ``first``, without lengths beyond their number of pieces."""
+def configuration(first: int, taken: np.ndarray, capacity: int) -> Counter:
+    """The priced configuration that holds ``first``."""
     made, room = Counter({first: 1}), capacity - first
-    while room > 0 and taken[room]:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            made[int(taken[room])] += 1
-            room -= int(taken[room])
-    return Counter({length: min(n, int(counts[length])) for length, n in made.items() if counts[length] > 0})
+    while room > 0:
+        length = int(taken[room])
+        if length:
+            made[length] += 1
+        room -= length or 1
+    return made
 
 
-def linear_program(counts: np.ndarray, capacity: int, rounds: int = 40, rate: float = 0.5, slack: float = 0.02) -> Plan:
-    """A fractional solution by multiplicative weights, scaled so that no length is overused, rounded down."""
+def linear_program(counts: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+    """Configurations with fractional amounts, and the share of the tokens that they leave uncovered.
+
+    They number as many as the lower bound, tokens over capacity, or where too much stays uncovered by as
+    many more as that share asks for.
+    """
     lengths = np.flatnonzero(counts)
+    target = float((lengths * counts[lengths]).sum() / capacity)
+    for _ in range(MOST_TARGETS):
+        amounts, left = weighted(counts, lengths, target, capacity)
+        if left <= GAP:
+            break
+        target /= 1 - left
+    return amounts, left
+
+
+def weighted(counts: np.ndarray, lengths: np.ndarray, target: float, capacity: int) -> tuple[dict[tuple, float], float]:
+    """``target`` sequences that cover the lengths as evenly as multiplicative weights find.
+
+    Each round covers lengths by weight, none of them more than ``WIDTH`` times; then a length's weight
+    falls as far as it was covered too often and rises as far as too seldom, and the rounds' average is
+    the solution.  Inside a round the knapsack prices configurations, and those near the best are
+    taken in turn until a length is used up, when lengths are priced anew.
+    """
+    held = counts[lengths].astype(float)
     weights = np.zeros(capacity + 1)
     weights[lengths] = lengths / capacity
-    covered, amounts = np.zeros(capacity + 1), Counter()
-    for _ in range(rounds):
-        best, taken = priced(weights, capacity)
-        values = weights[lengths] + best[capacity - lengths]
-        step = np.zeros(capacity + 1)
-        for first in lengths[values >= (1 - slack) * values.max()][::-1]:
-            made = configuration(int(first), taken, counts, capacity)
-            amount = min(counts[length] / n for length, n in made.items()) / rounds
-            amounts[tuple(sorted(made.items()))] += amount
-            for length, n in made.items():
-                step[length] += n * amount / counts[length]
+    covered, amounts, left = np.zeros(capacity + 1), Counter(), 1.0
+    for rounds in range(1, MOST_ROUNDS + 1):
+        quota, step, mass = np.zeros(capacity + 1), np.zeros(capacity + 1), target
+        quota[lengths] = WIDTH * held
+        while mass > 1e-9 and len(alive := lengths[quota[lengths] > 1e-9]):
+            best, taken = priced(weights, alive, capacity)
+            values = weights[alive] + best[capacity - alive]
+            order = np.argsort(-values, kind="stable")
+            for first in alive[order[values[order] >= (1 - SLACK) * values[order[0]]]]:
+                made = configuration(int(first), taken, capacity)
+                amount = min(mass, min(quota[length] / n for length, n in made.items()))
+                if amount > 1e-9:
+                    for length, n in made.items():
+                        quota[length] -= n * amount
+                        step[length] += n * amount
+                    amounts[tuple(sorted(made.items(), reverse=True))] += amount
+                    mass -= amount
         covered += step
-        weights[lengths] *= (1 - rate) ** np.minimum(step[lengths] * rounds / max(1.0, step.max() * rounds), 1.0)
-        weights /= max(weights.max(), 1e-12)
-    scale = 1 / max(covered.max(), 1e-12)
-    return [(dict(made), n) for made, x in amounts.items() if (n := int(x * scale + 1e-9)) > 0]
+        weights[lengths] *= np.exp(-RATE * (step[lengths] / held - 1))
+        weights /= weights.max()
+        left = float((np.maximum(0, 1 - covered[lengths] / rounds / held) * lengths * held).sum() / (lengths * held).sum())
+        if left <= GAP:
+            break
+    return {made: amount / rounds for made, amount in sorted(amounts.items(), reverse=True)}, left
+
 
+def rounded(amounts: dict[tuple, float], left: np.ndarray, cut: bool) -> Plan:
+    """Whole amounts whose running totals are those of the solution rounded; their pieces are taken from ``left``.
 
-def best_fit(counts: np.ndarray, capacity: int) -> Plan:
-    """Best fit decreasing over groups of equal sequences."""
+    Where a length runs out, configurations are cut or, unless ``cut``, left out.
+    """
+    plan, total, whole = [], 0.0, 0
+    for made, amount in amounts.items():
+        total += amount
+        n = int(total + 0.5) - whole
+        whole += n
+        while n:
+            config = {length: min(x, int(left[length])) for length, x in made if left[length]}
+            if not config or not cut and config != dict(made):
+                break
+            times = min(n, min(int(left[length]) // x for length, x in config.items()))
+            for length, x in config.items():
+                left[length] -= times * x
+            plan.append((config, times))
+            n -= times
+    return plan
+
+
+def best_fit(plan: Plan, counts: np.ndarray, capacity: int) -> Plan:
+    """Best fit decreasing of ``counts`` into the room that the plan's sequences leave, then into new ones."""
     groups: dict[int, list[list]] = {}  # by room left: [configuration, number of sequences]
+    for config, n in plan:
+        groups.setdefault(capacity - sum(k * v for k, v in config.items()), []).append([Counter(config), n])
     for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
         while left:
@@ -202,24 +261,22 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [(dict(config), n) for made in groups.values() for config, n in made]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
-    """Configurations with multiplicities that use every length exactly as often as the histogram says."""
+def planned(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
+    """Configurations with multiplicities that use every length exactly as often as the histogram says, and how many sequences of them the linear program began."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    plan: Plan = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
+    full: Plan = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
-    whole, left, found = best_fit(counts, capacity), counts.copy(), []
-    for _ in range(12):
-        more = linear_program(left, capacity) if left.any() else []
-        for config, n in more:
-            for length, x in config.items():
-                left[length] -= n * x
-        found += more
-        if sum(n for _, n in more) < 32:
-            break
-    found += best_fit(left, capacity)
-    return plan + min(found, whole, key=lambda p: sum(n for _, n in p))
+    plan: Plan = []
+    for again in range(PASSES):
+        if counts.any():
+            plan += rounded(linear_program(counts, capacity)[0], counts, cut=again == PASSES - 1)
+    return full + best_fit(plan, counts, capacity), sum(n for _, n in plan)
+
+
+def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
+    return planned(histogram, capacity)[0]
 
 
 def slots(plan: Plan, capacity: int) -> np.ndarray:

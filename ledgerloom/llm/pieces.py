@@ -28,6 +28,7 @@ from ledgerloom.llm.runtime import arrow_map, id_and_text, slices
 
 MARK = "▁"
 MOST_WORDS = 400_000
+MOST_TABLE = 64 << 20  # bytes of the words and ids that a worker's table holds
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 _codecs: dict[str, PieceCodec] = {}
 
@@ -45,6 +46,7 @@ class PieceCodec:
     def empty_table(self) -> None:
         self.ids: dict[str, str] = {"": self.alone}  # of each marked word, joined by commas
         self.decoded: dict[str, str] = {}  # of the words that decoding changes
+        self.held = 0  # bytes of the words and ids
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -55,12 +57,13 @@ class PieceCodec:
 
     def learn(self, words: set[str]) -> None:
         new = list(words.difference(self.ids))
-        if len(self.ids) + len(new) > MOST_WORDS and len(self.ids) > 1:
+        if (len(self.ids) + len(new) > MOST_WORDS or self.held > MOST_TABLE) and len(self.ids) > 1:
             self.empty_table()
             new = list(words.difference(self.ids))
         encoded = self.model.encode(new, num_threads=1) if new else []
         for word, ids, back in zip(new, encoded, self.model.decode(encoded, num_threads=1) if new else []):
             self.ids[word] = ",".join(map(str, ids))
+            self.held += 4 * len(word) + len(self.ids[word])
             if back != word:
                 self.decoded[word] = back
 

@@ -123,7 +123,31 @@ def test_plan_uses_every_piece(histogram):
             used[length] += n * x
     assert used == Counter(histogram)
     counts = np.array([histogram.get(i, 0) for i in range(65)])
-    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 64))
+    assert sum(n for _, n in plan) <= 1.02 * sum(n for _, n in packing.best_fit([], counts, 64)) + len(histogram)
+
+
+@pytest.mark.parametrize("times", [1, 25, 100_000])
+def test_plan_is_the_linear_programs(times):
+    draw = np.random.default_rng(6)
+    lengths = np.concatenate([draw.integers(1, 1025, 6000), np.minimum(draw.geometric(0.004, 4000), 1024)])
+    histogram = {int(k): int(n) * times for k, n in zip(*np.unique(lengths, return_counts=True))}
+    plan, begun = packing.planned(histogram, 1024)
+    total, full = sum(n for _, n in plan), histogram.get(1024, 0)
+    assert begun >= 0.95 * (total - full)
+    assert total <= 1.01 * -(-sum(k * n for k, n in histogram.items()) // 1024)
+
+
+def test_tables_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_TABLE", 40)
+    own = packing.WordCoder(BPE, RANKS)
+    for text in ("x" * 50 + " a b", "c d", "x" * 50):
+        assert own.code([text]) == own.whole([text])
+    assert len(own.table) <= 3
+    monkeypatch.setattr(pieces, "MOST_TABLE", 40)
+    codec = pieces.PieceCodec(PIECES)
+    for text in ("x" * 50 + " a b", "c d", "x" * 50):
+        assert codec.code([text])[0][1] == ",".join(map(str, codec.model.encode(text)))
+    assert len(codec.ids) <= 3
 
 
 def test_fingerprints(docs, spark):
