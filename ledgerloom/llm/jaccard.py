@@ -16,7 +16,8 @@ plus an estimate of chance matches):
   shingles, which finds every pair that differs in one shingle (the most at small sizes).
 
 A set emits signatures in its own band's scheme and, where a partner there may be larger by a
-quarter, in the next.  Signatures travel packed, as arrays for each task and signature range.
+quarter, in the next.  Signatures travel packed, as arrays for each task and signature range, cut to
+32 bits inside a range: two that are equal only there make needless candidates.
 
 Of its signatures a set needs only the rarest: linked sets have all but h + 1 in common (h + 1 is the
 most that can differ, and one), so each skips as many of the most frequent as it has above h + 1,
@@ -62,7 +63,7 @@ CHANCE, CHANCE_COST = 0.05, 200.0
 ONE_DELETION, SEGMENTS = 1, 2
 MOST_SIGNATURES = 300_000  # packed at once
 AT_ONCE = 1 << 19  # bytes of text hashed at once
-PER_PART = 1_000_000  # shingles for each range of signatures
+PER_PART = 2_000_000  # shingles for each range of signatures
 PER_SALT = 1024
 PER_BLOCK = 2_000_000  # shingles of one side of a block
 MOST_SEEN = 200_000  # classes a task remembers to send their signatures once
@@ -213,28 +214,35 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(hashed(docs), run, SETS)
 
 
-_ENTRY = np.dtype([("key", "V16"), ("n", "<u4"), ("spare", "<i4"), ("scheme", "<u2"), ("few", "<u2")])
+_CLASS = np.dtype([("key", "V16"), ("n", "<u4"), ("spare", "<i4"), ("few", "<u4"), ("cid", "<i8")])
+
+
+def class_id(key: bytes, scheme: int, few: bool) -> int:
+    """A long for a class in a scheme, odd where the set has too few segments there."""
+    return int(mixed(np.frombuffer(key, _U)[:1], 50 + scheme)[0] | _U(1)) - (not few) & 0xFFFFFFFFFFFFFFFF
 
 
 def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> DataFrame:
-    """(part, n, entries, codes, owners): the signatures of each range, for each task; classes once a task.
+    """(part, ids, counts, codes): for each task and range the 32-bit signatures, class after class.
 
-    ``whole`` makes every shingle a signature, for sets that have too few segments.
+    Ranges from ``n_parts`` on hold the classes themselves instead (``_CLASS`` in ids), so that a
+    signature costs 14 bytes at most however many ranges there are.  ``whole`` makes every shingle
+    a signature, for sets that have too few segments.
     """
+    names = ["part", "ids", "counts", "codes"]
 
     def packed(entries: list[tuple], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        table = np.array(entries, _ENTRY)
-        owner = np.repeat(np.arange(len(codes), dtype=np.uint32), [len(c) for c in codes])
+        table = np.array(entries, _CLASS)
+        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         code = np.concatenate(codes)
         part = ((code >> _U(32)) * _U(n_parts) >> _U(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, code, owner = part[order], code[order], owner[order]
+        order = np.argsort(part * len(codes) + owner, kind="stable")
+        part, code, owner = part[order], code[order].astype("<u4"), owner[order]
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        rows = []
+        rows = [(n_parts + int(table["cid"][0] % n_parts), table.tobytes(), b"", b"")]
         for a, b in zip(starts, [*starts[1:], len(part)]):
-            there, local = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(part[a]), table[there].tobytes(), code[a:b].tobytes(), local.astype("<u4").tobytes()))
-        names = ["part", "entries", "codes", "owners"]
+            there, counts = np.unique(owner[a:b], return_counts=True)
+            rows.append((int(part[a]), table["cid"][there].tobytes(), counts.astype("<u4").tobytes(), code[a:b].tobytes()))
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256]), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names)
 
@@ -257,7 +265,7 @@ def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> Dat
                     few = scheme == number and too_few(shingles, scheme, len(found))
                     if whole:
                         found, spare = mixed(shingles, 8), -1
-                    entries.append((np.void(key), size, spare, scheme, few))
+                    entries.append((np.void(key), size, spare, few, np.uint64(class_id(key, scheme, few)).astype(np.int64)))
                     codes.append(found)
                     held += len(found)
                     if whole:
@@ -268,77 +276,73 @@ def packed_signatures(docs: DataFrame, n_parts: int, whole: bool = False) -> Dat
         if held:
             yield from packed(entries, codes)
 
-    return arrow_map(id_and_text(docs), run, "part long, entries binary, codes binary, owners binary")
+    return arrow_map(id_and_text(docs), run, "part long, ids binary, counts binary, codes binary")
 
 
-GROUPS = "grp long, key binary, n int, scheme int, spare int, times int, size int"
+GROUPS = "grp long, cid long, times int, size int, key binary, n int, spare int"
 
 
 def shared_groups(packed: DataFrame, n_parts: int, only_few: bool = False) -> DataFrame:
-    """Groups of two classes or more that share a signature; equal groups of a range are one, ``times`` over.
+    """Groups of two classes or more that share a signature, and the classes, as rows of size 0.
 
-    A set with too few segments has a row besides, a group of size 0.
+    Equal groups of a range are one, ``times`` over.  ``only_few`` keeps groups with a set of too few segments.
     """
 
-    def resolved(blobs: list[tuple[pa.Buffer, pa.Buffer, pa.Buffer]]) -> pa.RecordBatch | None:
-        tables = [np.frombuffer(e, _ENTRY) for e, _, _ in blobs]
-        code = np.concatenate([np.frombuffer(c, _U) for _, c, _ in blobs])
-        base = np.cumsum([0, *map(len, tables)])
-        owner = np.concatenate([np.frombuffer(o, "<u4").astype(np.int64) + at for (_, _, o), at in zip(blobs, base)])
-        table = np.concatenate(tables)
+    def batch_of(columns: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
+        kinds = {"grp": pa.int64(), "cid": pa.int64(), "times": pa.int32(), "size": pa.int32(), "key": pa.binary(), "n": pa.int32(), "spare": pa.int32()}
+        return pa.RecordBatch.from_pydict({c: pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()})
+
+    def classes(blobs: list[tuple]) -> pa.RecordBatch:
+        table = np.concatenate([np.frombuffer(ids, _CLASS) for ids, _, _ in blobs])
+        table = table[np.unique(table["cid"], return_index=True)[1]]
+        columns = {c: table[c].astype(np.int32) for c in ("n", "spare")} | {"cid": table["cid"], "times": np.zeros(len(table), np.int32), "size": np.zeros(len(table), np.int32)}
+        return batch_of(columns | {"key": [k.tobytes() for k in table["key"]]}, len(table))
+
+    def resolved(blobs: list[tuple]) -> pa.RecordBatch | None:
+        code = np.concatenate([np.frombuffer(codes, "<u4") for _, _, codes in blobs])
         order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
+        code = code[order]
         twice = np.zeros(len(code), bool)
         twice[1:] = code[1:] == code[:-1]
         twice[:-1] |= twice[1:]
-        code, owner = code[twice], owner[twice]
-        lone = np.flatnonzero(table["few"])
-        if not len(code) and not len(lone):
-            return None
-        words = table["key"].copy().view(_U).reshape(-1, 2)
-        _, first, number = np.unique(words.view([("a", _U), ("b", _U)]).ravel(), return_index=True, return_inverse=True)
-        cls = number.ravel()[owner]
-        order = np.lexsort((cls, code))
-        code, cls, owner = code[order], cls[order], owner[order]
+        order, code = order[twice], code[twice]
+        cid = np.concatenate([np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")) for ids, counts, _ in blobs])[order]
+        order = np.lexsort((cid, code))
+        code, cid = code[order], cid[order]
         keep = np.ones(len(code), bool)
-        keep[1:] = (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])
-        code, cls, owner = code[keep], cls[keep], owner[keep]
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        keep[1:] = (code[1:] != code[:-1]) | (cid[1:] != cid[:-1])
+        code, cid = code[keep], cid[keep]
+        if not len(code):
+            return None
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(code)]]))
-        if not len(starts):
-            names = np.zeros(0, _U)
-        else:
-            names = mixed(np.add.reduceat(mixed(words[first][cls, 0] ^ mixed(words[first][cls, 1], 21), 22), starts), 23)
+        names = mixed(np.add.reduceat(mixed(cid.view(_U), 22), starts), 23)
         wanted = sizes > 1
-        if only_few and len(starts):
-            wanted &= np.add.reduceat(table["few"][owner].astype(np.int64), starts) > 0
+        if only_few:
+            wanted &= np.add.reduceat(cid & 1, starts) > 0
+        if not wanted.any():
+            return None
         picked, at, times = np.unique(names[wanted], return_index=True, return_counts=True)
         at = np.flatnonzero(wanted)[at]
-        rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(starts[i], starts[i] + sizes[i]) for i in at)])
         n = sizes[at]
-        columns = {"grp": np.repeat(picked, n).view(np.int64), "times": np.repeat(times, n), "size": np.repeat(n, n)}
-        members = owner[rows]
-        if not only_few:
-            columns = {c: np.concatenate([x, np.zeros(len(lone), np.int64)]) for c, x in columns.items()}
-            members = np.concatenate([members, lone])
-        columns = {c: pa.array(x.astype(np.int64 if c == "grp" else np.int32)) for c, x in columns.items()}
-        columns["key"] = pa.array([k.tobytes() for k in table["key"][members]], pa.binary())
-        columns |= {c: pa.array(table[c][members].astype(np.int32)) for c in ("n", "scheme", "spare")}
-        return pa.RecordBatch.from_pydict({c: columns[c] for c in ("grp", "key", "n", "scheme", "spare", "times", "size")})
+        rows = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return batch_of({"grp": np.repeat(picked, n).view(np.int64), "cid": cid[rows], "times": np.repeat(times, n).astype(np.int32), "size": np.repeat(n, n).astype(np.int32)}, len(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            made = classes(blobs) if part is not None and part >= n_parts else resolved(blobs) if blobs else None
+            if made is not None:
+                yield made
+
         for batch in batches:
             for row in zip(*batch.columns):
-                number = row[0].as_py()
-                if number != part and blobs:
-                    if (made := resolved(blobs)) is not None:
-                        yield made
-                    blobs = []
-                part = number
+                if row[0].as_py() != part:
+                    yield from done()
+                    part, blobs = row[0].as_py(), []
                 blobs.append(tuple(x.as_buffer() for x in row[1:]))
-        if blobs and (made := resolved(blobs)) is not None:
-            yield made
+        yield from done()
 
     return arrow_map(packed.repartition(n_parts, "part").sortWithinPartitions("part"), run, GROUPS)
 
@@ -483,9 +487,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def rarest(groups: DataFrame) -> DataFrame:
     """(grp, key, n): of each set's groups those that it can't skip, the most frequent being skipped first."""
-    spread = groups.where("size > 0").groupBy("grp", "scheme", "key").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("n", "spare", "size")])
-    order = Window.partitionBy("key", "scheme").orderBy(F.col("size").desc(), "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spread.withColumn("frequent", F.sum("times").over(order)).where("frequent > spare").select(F.xxhash64("grp", "scheme").alias("grp"), "key", "n")
+    spread = groups.where("size > 0").groupBy("grp", "cid").agg(F.sum("times").alias("times"), F.max("size").alias("size"))
+    order = Window.partitionBy("cid").orderBy(F.col("size").desc(), "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = spread.withColumn("frequent", F.sum("times").over(order))
+    classes = groups.where("size = 0").select("cid", "key", "n", "spare").distinct()
+    return ranked.join(classes, "cid").where("frequent > spare").select("grp", "key", "n")
 
 
 def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
@@ -498,7 +504,7 @@ def near_links(docs: DataFrame, sets: DataFrame, by_shingles: bool = False) -> t
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PER_PART) + 1)
     groups = materialize(shared_groups(packed_signatures(docs, n_parts, by_shingles), n_parts), "shared")
     kept = rarest(groups)
-    if not by_shingles and groups.where("size = 0").limit(1).count():
+    if not by_shingles and groups.where("size = 0 AND cid % 2 <> 0").limit(1).count():
         kept = kept.union(rarest(shared_groups(packed_signatures(docs, n_parts, whole=True), n_parts, only_few=True)))
     kept = materialize(kept, "kept")
     discard(groups)

@@ -1,6 +1,5 @@
 """Plain versions of the operators, for small tables."""
 
-import hashlib
 import re
 from collections import defaultdict
 
@@ -42,44 +41,27 @@ def lines(text):
     return [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if u]
 
 
-def line_chunks(units, divisor=3):
-    """(first line, number, lines) of each chunk with two non-blank lines or more."""
-    bare = [u.rstrip(" \t\r\n") for u in units]
-    hashes = [int(hashlib.md5(b.encode()).hexdigest()[:8], 16) for b in bare]
-    out, start = [], 0
-    for i in range(len(bare)):
-        if i == len(bare) - 1 or ((hashes[i - 1] if i else 0) * 31 + hashes[i]) % divisor == 0:
-            chunk = tuple(bare[start : i + 1])
-            if sum(map(bool, chunk)) >= 2:
-                out.append((start, chunk))
-            start = i + 1
-    return out
-
+def deduplicated(rows, short=40, long=100):
+    """(doc_id, text) rows with distinct ids: {doc_id: (text left, lines removed)}.
 
-def deduplicated(rows, context=8):
-    """(doc_id, text) rows with distinct ids: {doc_id: (text left, lines removed)}."""
-    units = {d: lines(t) for d, t in rows}
-    bare = {d: [u.rstrip(" \t\r\n") for u in us] for d, us in units.items()}
-    places = defaultdict(list)
-    for d in sorted(units):
-        for start, chunk in line_chunks(units[d]):
-            places[chunk].append((d, start))
-    gone = defaultdict(set)
-    for chunk, found in places.items():
-        (first, at), n = found[0], len(chunk)
-        for d, start in found[1:]:
-            low, high = start, start + n - 1
-            for j in range(1, context + 1):
-                if start - j < 0 or at - j < 0 or bare[first][at - j] != bare[d][start - j]:
-                    break
-                low = start - j
-            for j in range(1, context + 1):
-                here, there = start + n - 1 + j, at + n - 1 + j
-                if here >= len(bare[d]) or there >= len(bare[first]) or bare[first][there] != bare[d][here]:
-                    break
-                high = here
-            gone[d] |= set(range(low, high + 1))
-    return {d: ("".join(u for i, u in enumerate(us) if i not in gone[d]), len(gone[d])) for d, us in units.items()}
+    Lines go with every run of lines that has an equal earlier one, of two or more lines that aren't
+    blank with ``short`` characters together or of one with ``long``; blank lines between them go too.
+    """
+    firsts, out = set(), {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        units = lines(text)
+        at = [i for i, u in enumerate(units) if u.rstrip(" \t\r\n")]
+        bare, gone = [units[i].rstrip(" \t\r\n") for i in at], set()
+        for a in range(len(bare)):
+            for b in range(a, len(bare)):
+                run = tuple(bare[a : b + 1])
+                if sum(map(len, run)) < (short if len(run) > 1 else long):
+                    continue
+                if run in firsts:
+                    gone |= set(range(at[a], at[b] + 1))
+                firsts.add(run)
+        out[d] = ("".join(u for i, u in enumerate(units) if i not in gone), len(gone))
+    return out
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -109,19 +109,39 @@ def long_passages():
     return list(enumerate(rows))
 
 
-def test_long_passages_are_removed_wherever_chunks_are_cut(spark, monkeypatch):
+def test_long_passages_are_removed(spark):
     rows = long_passages()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute.repeated_passages(rows)
-    both = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(docs, counts=True).collect()}
-    assert all(both[d] >= len(want[d]) for d, _ in rows)
-    monkeypatch.setattr(line_dedup, "DIVISOR", 1)  # chunks of one line: none is removed
     found = {r.doc_id: (r.text or "", r.n_removed) for r in line_dedup.deduplicated(docs, counts=True).collect()}
-    for d, t in rows:
-        assert found[d] == ("".join(u for i, u in enumerate(brute.lines(t)) if i not in want[d]), len(want[d])), d
+    assert found == brute.deduplicated(rows)
+    want = brute.repeated_passages(rows)
+    assert all(found[d][1] >= len(want[d]) for d, _ in rows)
     assert sum(map(len, want.values())) > 200 and want[121] == {0} and not want[123]
 
 
+@pytest.mark.parametrize("size", [4, 8, 12])
+def test_passages_of_few_lines_are_found(spark, size):
+    draw = random.Random(size)
+    rows = []
+    for _ in range(60):
+        passage = " ".join(" ".join(draw.choices(WORDS, k=draw.randint(4, 14))) + "." for _ in range(size))
+        for _ in range(2):
+            # pasted into the middle of sentences
+            rows.append(" ".join(draw.choices(WORDS, k=30)) + " " + passage + " " + " ".join(draw.choices(WORDS, k=30)) + ".")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(docs, counts=True).collect()}
+    assert all(found[d] >= size - 1 for d in range(1, 120, 2)) and not any(found[d] for d in range(0, 120, 2))
+
+
+def test_windows_of_short_lines_and_marks(spark):
+    rows = [(0, "a b.\nc.\n\nd e f g h i j k l m n o p q r.\nx.\nyes it is so here.\n"), (1, "new.\nc.\nd e f g h i j k l m n o p q r.\n\nx.\nyes it is so here.\nend"), (2, "q\u0001. r\u0001! s"), (3, "x" * 30 + ".\n" + "y.\n" * 70), (4, "z\n" + "y.\n" * 70 + "x" * 30 + ".")]
+    docs = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, n_removed int")
+    found = line_dedup.deduplicated(docs, counts=True)
+    assert found.columns == ["doc_id", "text", "n_removed"]
+    assert {r.doc_id: (r.text, r.n_removed) for r in found.collect()} == brute.deduplicated(rows)
+    assert line_dedup.deduplicated(docs).columns == docs.columns
+
+
 def test_repeated_rows_share_one_decision(spark):
     text = "\n".join(prose(6) for _ in range(12))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + "\nend")], "doc_id long, text string")
