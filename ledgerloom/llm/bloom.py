@@ -16,9 +16,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import arrow_map, importable
+from ledgerloom.llm.runtime import arrow_map, importable, materialize
 
 PER_ID = 12
+PER_BIT = 16  # bits for each key of the filter with one hash
 MOST_BITS = 1 << 28
 HASHES = 4
 PARTS = 8
@@ -74,3 +75,21 @@ def matching(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """``rows`` joined with ``wanted`` on a column of longs, the rows passing the filter first."""
     importable(rows.sparkSession)
     return rows.where(perhaps_in(bloom_filter(wanted, column), column)).join(wanted, column)
+
+def native_split(rows: DataFrame, wanted: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have a match in ``wanted`` by the columns ``on``, and those that certainly have none.
+
+    A bitmap of the keys' hashes, made and read by built-in functions: ``PER_BIT`` bits a key, joined
+    by broadcast (at most MOST_BITS, 32 MiB).  Where that is too few all rows may match.
+    """
+    n_bits = 1 << max(15, (PER_BIT * wanted.count()).bit_length())
+    if n_bits > MOST_BITS:
+        return rows, rows.limit(0)
+    place = F.pmod(F.xxhash64(*on), F.lit(n_bits)) + 1
+    bits = wanted.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    bits = materialize(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bits")
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place)).join(F.broadcast(bits), "_bucket", "left")
+    byte = "conv(hex(substring(_bits, cast(_bit div 8 + 1 AS int), 1)), 16, 10)"
+    maybe = f"coalesce((cast({byte} AS int) & cast(shiftleft(1, cast(_bit % 8 AS int)) AS int)) <> 0, false)"
+    marked = marked.withColumn("_maybe", F.expr(maybe)).drop("_bucket", "_bit", "_bits")
+    return marked.where("_maybe").drop("_maybe"), marked.where("NOT _maybe").drop("_maybe")

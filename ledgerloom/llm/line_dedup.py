@@ -1,30 +1,29 @@
-"""Line deduplication: repeated passages of lines, and repeated content-defined chunks, removed.
+"""Line deduplication: chunks of lines between content-defined boundaries, removed where they repeat.
 
 A text is cut into lines, and a line after sentence ends, so that a passage pasted into a longer
-line is seen; the cut keeps every character.  Lines are compared without white space at their end.
-
-Passages: a run of lines with more than ``LONG`` words that begins and ends with a non-blank line
-goes where the same run occurs earlier by doc_id, text hash and position without overlapping it.
-This is complete: the shortest such run from every line and the shortest to every line are hashed,
-and every line of a longer repeated run lies in one of these inside the run.
-
-Chunks find shorter repeats, but not all of them.  Each line's hash and the hash before it make a
-rolling hash, and a chunk ends where that is divisible by ``DIVISOR``: boundaries depend on content
-alone and come back after an insertion.  A chunk with two or more non-blank lines goes where it
-occurs earlier, and lines next to it go too as long as they equal the lines next to the first
-occurrence (up to ``CONTEXT`` on either side).
-
-Hashes only propose: lines go when they equal the first occurrence's byte for byte.  Every removed
-line so has an equal one earlier, and the earliest always stays.
-
-Only functions of DataFrames are used.  Rows of passages and chunks carry no text; a stretch of a
-first occurrence is exported once, however many repeat it.  Two joins shuffle the texts: one to
-export, one to remove.
-
-Defined cases: a null text stays null; an empty text stays; a single line goes only with more than
-``LONG`` words; rows equal in doc_id and text share one decision; a null doc_id sorts as -1; a text
-may become empty; an empty table gives an empty result; other columns are kept as they are, also
-ones named like ours.
+line is seen; the cut keeps every character.  Lines are compared without white space at their end,
+and blank ones only go along with the lines around them.
+
+Every line's hash and the next ones' make a rolling hash over windows of lines: the shortest window
+from each line, and where two lines are short also the shortest to each line, of two or more lines
+with ``SHORT`` characters together; a line of ``LONG`` characters is a window alone.  Boundaries lie
+where the windows' hashes stop being repeated: they depend on content alone and come back after an
+insertion, and a chunk is what lies between them.  A fixed divisor of the rolling hash as boundary
+rule would miss most passages of a few lines, since none of its chunks lies inside them.
+
+A window goes where it occurs earlier by doc_id, text hash and position.  This is complete: every
+repeated run of two or more lines with ``SHORT`` characters is covered by windows inside it.  Hashes
+only propose: lines go when they equal the first occurrence's byte for byte.  Every removed line so
+has an equal one earlier, and the earliest always stays.
+
+Only functions of DataFrames are used.  Rows of windows carry no text.  First occurrences' lines are
+exported once for each stretch of windows that repeats them at one distance.  Texts are shuffled
+only where a bitmap filter of bounded size says that the document exports or loses lines.
+
+Defined cases: a null text stays null; an empty text stays; rows equal in doc_id and text share one
+decision; a null doc_id sorts as -1; a text may become empty; an empty table gives an empty result;
+other columns are kept as they are, also ones named like ours; ``counts`` replaces a column named
+n_removed.
 """
 
 from __future__ import annotations
@@ -32,113 +31,107 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bloom import native_split
 from ledgerloom.llm.runtime import discard, materialize
 
-DIVISOR = 3
-CONTEXT = 8
-LONG = 50
+SHORT = 40
+LONG = 100
 _WHITE = "' \\t\\r\\n'"
+_KEY = ["_id", "_hash"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents as one column, their key and their lines (with ends: _units; without: _lines)."""
+    """The documents as one column, and their key."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    df = df.select("_row", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("_row.text").alias("_hash"))
-    return df
-
-
-def _with_lines(keyed: DataFrame) -> DataFrame:
-    units = F.expr(r"filter(split(coalesce(_row.text, ''), '(?<=\\n)|(?<=[.!?] )', -1), u -> u <> '')")
-    return keyed.withColumn("_units", units).withColumn("_lines", F.expr(f"transform(_units, u -> trim(TRAILING {_WHITE} FROM u))"))
-
-
-def _with_chunks(df: DataFrame) -> DataFrame:
-    """_found: chunks with two non-blank lines or more."""
-    df = df.withColumn("_h", F.expr("transform(_lines, u -> cast(conv(substr(md5(u), 1, 8), 16, 10) AS bigint))"))
-    df = df.withColumn(
-        "_ends",
-        F.expr(
-            f"""if(size(_h) = 0, cast(array() AS array<int>), filter(sequence(0, size(_h) - 1), i ->
-            i = size(_h) - 1 OR ((if(i = 0, 0L, get(_h, i - 1)) * 31 + get(_h, i)) % {DIVISOR}) = 0))"""
-        ),
-    )
-    df = df.withColumn("_cut", F.expr("transform(_ends, (e, k) -> struct(if(k = 0, 0, get(_ends, k - 1) + 1) AS start, e AS end))"))
-    return df.withColumn(
-        "_found",
-        F.expr(
-            """transform(filter(_cut, c -> size(filter(slice(_lines, c.start + 1, c.end - c.start + 1), u -> u <> '')) >= 2),
-            c -> struct(c.start AS start, c.end - c.start + 1 AS n, false AS passage, xxhash64(slice(_x, c.start + 1, c.end - c.start + 1), 0) AS chunk))"""
-        ),
-    )
-
-
-def _with_passages(df: DataFrame) -> DataFrame:
-    """_long: for every non-blank line the shortest runs from it and to it with more than LONG words.
-
-    _owner holds for every word the number of its line among the non-blank ones, _from each such line's
-    first word, so that either run's other end is one look-up.
-    """
-    df = df.withColumn("_words", F.expr("transform(_lines, u -> if(u = '', 0, size(filter(split(u, '[ \\\\t\\\\r\\\\n]+', -1), w -> w <> ''))))"))
-    df = df.withColumn("_at", F.expr("if(size(_words) = 0, cast(array() AS array<int>), filter(sequence(0, size(_words) - 1), i -> get(_words, i) > 0))"))
-    df = df.withColumn("_owner", F.expr("flatten(transform(_at, (i, k) -> array_repeat(k, get(_words, i))))"))
-    df = df.withColumn("_from", F.expr("if(size(_owner) = 0, cast(array() AS array<int>), filter(sequence(0, size(_owner) - 1), w -> w = 0 OR get(_owner, w) <> get(_owner, w - 1)))"))
-    first, last = "get(_at, get(_owner, {}))", "get(_at, k)"
-    # start and end in one number, since sets of structs are compared pair by pair
-    forward = f"transform(_from, (w, k) -> shiftleft(cast({last} AS bigint), 32) + {first.format(f'w + {LONG}')})"
-    backward = f"transform(_from, (w, k) -> shiftleft(cast({first.format(f'coalesce(get(_from, k + 1), size(_owner)) - {LONG + 1}')} AS bigint), 32) + {last})"
-    df = df.withColumn("_runs", F.expr(f"filter(array_union({forward}, {backward}), r -> r IS NOT NULL)"))
-    start, n = "cast(shiftright(r, 32) AS int)", "cast((r & 4294967295) - shiftright(r, 32) + 1 AS int)"
-    return df.withColumn("_long", F.expr(f"transform(_runs, r -> struct({start} AS start, {n} AS n, true AS passage, xxhash64(slice(_x, {start} + 1, {n}), 1) AS chunk))"))
-
-
-def _pieces(keyed: DataFrame) -> DataFrame:
-    """(_id, _hash, start, n, passage, chunk): chunks and shortest passages, by a hash of their lines."""
-    df = _with_lines(keyed).select("_id", "_hash", "_lines").withColumn("_x", F.expr("transform(_lines, u -> xxhash64(u))"))
-    df = _with_passages(_with_chunks(df))
+    return df.select("_row", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("_row.text").alias("_hash"))
+
+
+def _units(text: str) -> str:
+    """The lines with their ends.  A mark is put after each end and split at, which is faster than looking behind."""
+    marked = f"replace(replace(replace(replace({text}, '\\n', '\\n\\u0001'), '. ', '. \\u0001'), '! ', '! \\u0001'), '? ', '? \\u0001')"
+    behind = rf"split({text}, '(?<=\\n)|(?<=[.!?] )', -1)"
+    return f"filter(if(contains({text}, '\\u0001'), {behind}, split({marked}, '\\u0001', -1)), u -> u <> '')"
+
+
+def _with_lines(df: DataFrame, text: str) -> DataFrame:
+    """_units: lines with their ends; _at: numbers of those that aren't blank; _lines: these without white space at the end."""
+    df = df.withColumn("_units", F.expr(_units(f"coalesce({text}, '')")))
+    df = df.withColumn("_bare", F.expr(f"transform(_units, u -> trim(TRAILING {_WHITE} FROM u))"))
+    df = df.withColumn("_at", F.expr("if(size(_bare) = 0, cast(array() AS array<int>), filter(sequence(0, size(_bare) - 1), i -> get(_bare, i) <> ''))"))
+    return df.withColumn("_lines", F.expr("filter(_bare, u -> u <> '')"))
+
+
+def _length(at: str, step: int) -> str:
+    """How many lines a window from (step 1) or to (step -1) line k needs; null where the text ends before."""
+    cases, total = "", f"get(_n, {at})"
+    for count in (2, 3, 4):
+        total += f" + get(_n, {at} + {step * (count - 1)})"
+        cases += f" WHEN {total} >= {SHORT} THEN {count}"
+    part = f"slice(_n, {at} + 1, {SHORT})" if step > 0 else f"reverse(slice(_n, greatest({at} - {SHORT - 2}, 1), least({at} + 1, {SHORT})))"
+    rest = f"aggregate({part}, struct(0 AS total, 0 AS count), (a, n) -> if(a.total >= {SHORT}, a, struct(a.total + n AS total, a.count + 1 AS count)), a -> if(a.total >= {SHORT}, a.count, NULL))"
+    return f"CASE{cases} ELSE {rest} END"
+
+
+def _windows(keyed: DataFrame) -> DataFrame:
+    """(_id, _hash, start, n, chunk): the windows of each text, in numbers of lines that aren't blank."""
+    df = _with_lines(keyed, "_row.text").select(*_KEY, "_lines")
+    df = df.withColumn("_n", F.expr("transform(_lines, u -> length(u))")).withColumn("_x", F.expr("transform(_lines, u -> xxhash64(u))"))
+    every = "if(size(_n) = 0, cast(array() AS array<int>), sequence(0, size(_n) - 1))"
+    # start and number in one long, since sets of structs are compared pair by pair
+    df = df.withColumn("_from", F.expr(f"transform({every}, k -> shiftleft(cast(k AS bigint), 32) + ({_length('k', 1)}))"))
+    short = f"filter({every}, k -> k > 0 AND get(_n, k) + get(_n, k - 1) < {SHORT})"
+    df = df.withColumn("_to", F.expr(f"transform(transform({short}, k -> struct(k AS k, {_length('k', -1)} AS c)), w -> shiftleft(cast(w.k - w.c + 1 AS bigint), 32) + w.c)"))
+    df = df.withColumn("_alone", F.expr(f"transform(filter({every}, k -> get(_n, k) >= {LONG}), k -> shiftleft(cast(k AS bigint), 32) + 1)"))
+    df = df.withColumn("_all", F.expr("concat(filter(if(size(_to) > 0, array_union(_from, _to), _from), w -> w IS NOT NULL), _alone)"))
+    start, n = "cast(shiftright(w, 32) AS int)", "cast(w & 4294967295 AS int)"
     # outer, since a filter inferred from an inner generator would repeat all of the above
-    return df.select("_id", "_hash", F.inline_outer(F.concat("_found", "_long"))).where("chunk IS NOT NULL")
+    rows = F.expr(f"transform(_all, w -> struct({start} AS start, {n} AS n, if({n} = 2, xxhash64(get(_x, {start}), get(_x, {start} + 1)), xxhash64(slice(_x, {start} + 1, {n}), 1)) AS chunk))")
+    return df.select(*_KEY, F.inline_outer(rows)).where("chunk IS NOT NULL")
 
 
-def _stretches(pieces: DataFrame) -> DataFrame:
-    """(_id, _hash, first_id, first_hash, shift, low, high, parts): repeats of one first text at one distance.
+def _stretches(windows: DataFrame) -> DataFrame:
+    """(_id, _hash, first_id, first_hash, shift, low, high, parts): windows that repeat one first text at one distance.
 
-    A line i of the text repeats line i - shift of the first; low to high are the first's lines to export.
+    Line i of the text repeats line i - shift of the first; low to high are the first's lines to export.
     """
-    repeated = pieces.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "_hash", "start")).alias("first")).where("times > 1")
-    repeated = repeated.select("chunk", F.col("first._id").alias("first_id"), F.col("first._hash").alias("first_hash"), F.col("first.start").alias("first_start"))
-    later = pieces.join(repeated, "chunk").where("NOT (_id = first_id AND _hash = first_hash AND start < first_start + if(passage, n, 1))")
-    later = later.withColumn("shift", F.expr("start - first_start"))
-    return later.groupBy("_id", "_hash", "first_id", "first_hash", "shift").agg(
-        F.expr(f"min(if(passage, first_start, greatest(first_start - {CONTEXT}, 0)))").alias("low"),
-        F.expr(f"max(first_start + n - 1 + if(passage, 0, {CONTEXT}))").alias("high"),
-        F.collect_set(F.struct("start", "n", "passage")).alias("parts"),
+    # by longs alone first, which hash aggregation takes; few windows are left for the full order
+    repeated = windows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("least")).where("times > 1").select("chunk", "least")
+    places = materialize(windows.join(repeated, "chunk"), "places")
+    firsts = places.where("_id = least").groupBy("chunk").agg(F.min(F.struct("_hash", "start")).alias("first"))
+    firsts = firsts.select("chunk", F.col("first._hash").alias("first_hash"), F.col("first.start").alias("first_start"))
+    later = places.join(firsts, "chunk").where("NOT (_id = least AND _hash = first_hash AND start = first_start)")
+    found = later.groupBy(*_KEY, F.col("least").alias("first_id"), "first_hash", (F.col("start") - F.col("first_start")).alias("shift")).agg(
+        F.min("first_start").alias("low"), F.max(F.expr("first_start + n - 1")).alias("high"), F.collect_set(F.struct("start", "n")).alias("parts")
     )
+    found = materialize(found, "stretches")
+    discard(places)
+    return found
 
 
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``; ``counts`` adds n_lines and n_removed."""
+    """``docs`` with repeated lines removed from ``text``; ``counts`` adds n_removed."""
     keyed = _keyed(docs)
-    pieces = materialize(_pieces(keyed), "chunks")
-    stretches = materialize(_stretches(pieces), "stretches")
-    discard(pieces)
+    windows = materialize(_windows(keyed), "windows")
+    stretches = _stretches(windows)
+    discard(windows)
     first = ["first_id", "first_hash"]
     wanted = stretches.groupBy(*first).agg(F.collect_set(F.struct("low", "high")).alias("_wanted"))
-    exported = _with_lines(keyed.withColumnsRenamed({"_id": "first_id", "_hash": "first_hash"}).join(wanted, first))
+    sources, _ = native_split(keyed.withColumnsRenamed({"_id": "first_id", "_hash": "first_hash"}), wanted, first)
+    exported = _with_lines(sources.select(*first, F.col("_row.text").alias("_text")).dropDuplicates(first).join(wanted, first), "_text")
     exported = exported.select(*first, F.inline_outer(F.expr("transform(_wanted, w -> struct(w.low AS low, w.high AS high, slice(_lines, w.low + 1, w.high - w.low + 1) AS same))")))
-    firsts = materialize(exported.dropDuplicates([*first, "low", "high"]), "firsts")
-    later = stretches.join(firsts, [*first, "low", "high"])
-    lists = later.groupBy("_id", "_hash").agg(F.collect_list(F.struct("shift", "low", "same", "parts")).alias("_later"))
-    df = _with_lines(keyed.join(lists, ["_id", "_hash"], "left"))
+    later = stretches.join(exported, [*first, "low", "high"])
+    lists = materialize(later.groupBy(*_KEY).agg(F.collect_list(F.struct("shift", "low", "same", "parts")).alias("_later")), "later")
+    discard(stretches)
+    losing, rest = native_split(keyed, lists, _KEY)
+    df = _with_lines(losing.join(lists, _KEY, "left"), "_row.text")
     # line i of the text is line i - shift - low of the exported ones
     equal = "filter(x.parts, p -> slice(_lines, p.start + 1, p.n) = slice(x.same, p.start - x.shift - x.low + 1, p.n))"
-    same = "get(_lines, {0}) = get(x.same, {0} - x.shift - x.low)"
-    grown = f"""transform({equal}, p -> struct(
-        p.start - if(p.passage, 0, aggregate(sequence(1, {CONTEXT}), 0, (g, k) -> if(g = k - 1 AND p.start - k >= 0 AND p.start - k - x.shift >= x.low AND {same.format("(p.start - k)")}, k, g))) AS a,
-        p.start + p.n - 1 + if(p.passage, 0, aggregate(sequence(1, {CONTEXT}), 0, (g, k) -> if(g = k - 1 AND {same.format("(p.start + p.n - 1 + k)")}, k, g))) AS b))"""
-    df = df.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_later, x -> flatten(transform({grown}, g -> sequence(g.a, g.b))))))"))
-    df = df.withColumn("_kept", F.expr("if(coalesce(size(_gone), 0) <= 0, NULL, array_except(sequence(0, size(_lines) - 1), _gone))"))
-    text = F.expr("if(_kept IS NULL, _row.text, array_join(transform(_kept, i -> get(_units, i)), ''))").alias("text")
-    columns = [text if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    if counts:
-        columns += [F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.expr("if(_gone IS NULL, 0, size(_gone))"), F.lit(0)).cast("long").alias("n_removed")]
-    return df.select(*columns)
+    df = df.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_later, x -> flatten(transform({equal}, p -> sequence(get(_at, p.start), get(_at, p.start + p.n - 1)))))))"))
+    df = df.withColumn("_kept", F.expr("if(coalesce(size(_gone), 0) <= 0, NULL, array_except(sequence(0, size(_units) - 1), _gone))"))
+    text = F.expr("if(_kept IS NULL, _row.text, array_join(transform(_kept, i -> get(_units, i)), ''))")
+    removed = F.expr("if(coalesce(size(_gone), 0) <= 0, 0L, cast(size(_gone) AS bigint))")
+
+    def columns(text: F.Column, removed: F.Column) -> list:
+        return [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if not (counts and c == "n_removed")] + ([removed.alias("n_removed")] if counts else [])
+
+    return df.select(*columns(text, removed)).unionByName(rest.select(*columns(F.col("_row.text"), F.lit(0).cast("long"))))
