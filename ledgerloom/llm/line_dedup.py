@@ -1,20 +1,18 @@
-"""Line deduplication: chunks of lines between content-defined boundaries, removed where they repeat.
+"""Line deduplication: content-defined chunks of lines, removed where they repeat.
 
 A text is cut into lines, and a line after sentence ends, so that a passage pasted into a longer
 line is seen; the cut keeps every character.  Lines are compared without white space at their end,
 and blank ones only go along with the lines around them.
 
-Every line's hash and the next ones' make a rolling hash over windows of lines: the shortest window
-from each line, and where two lines are short also the shortest to each line, of two or more lines
-with ``SHORT`` characters together; a line of ``LONG`` characters is a window alone.  Boundaries lie
-where the windows' hashes stop being repeated: they depend on content alone and come back after an
-insertion, and a chunk is what lies between them.  A fixed divisor of the rolling hash as boundary
-rule would miss most passages of a few lines, since none of its chunks lies inside them.
-
-A window goes where it occurs earlier by doc_id, text hash and position.  This is complete: every
-repeated run of two or more lines with ``SHORT`` characters is covered by windows inside it.  Hashes
-only propose: lines go when they equal the first occurrence's byte for byte.  Every removed line so
-has an equal one earlier, and the earliest always stays.
+A chunk of lines ends after a line of ``SHORT`` characters, or after a shorter one that equals the
+last line or where the rolling hash of its own and the last line's hash is even.  Boundaries so depend on content alone and come
+back after an insertion, and chunks are as small as a line can tell; a coarser rule would miss most
+passages of a few lines, since none of its chunks lies inside them.  Windows are the fewest
+neighbouring chunks, two at least, with twice ``SHORT`` characters together, and single lines of
+``LONG`` characters.  A window goes where it occurs earlier by doc_id, text hash and position.  All of a
+repeated passage goes but what shares a chunk with its surroundings.  Hashes only propose: lines go
+when they equal the first occurrence's byte for byte.  Every removed line so has an equal one
+earlier, and the earliest always stays.
 
 Only functions of DataFrames are used.  Rows of windows carry no text.  First occurrences' lines are
 exported once for each stretch of windows that repeats them at one distance.  Texts are shuffled
@@ -34,9 +32,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bloom import native_split
 from ledgerloom.llm.runtime import discard, materialize
 
-SHORT = 40
+SHORT = 20
 LONG = 100
-_WHITE = "' \\t\\r\\n'"
+_BARE = "trim(TRAILING ' \\t\\r\\n' FROM u)"
 _KEY = ["_id", "_hash"]
 
 
@@ -47,46 +45,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _units(text: str) -> str:
-    """The lines with their ends.  A mark is put after each end and split at, which is faster than looking behind."""
-    marked = f"replace(replace(replace(replace({text}, '\\n', '\\n\\u0001'), '. ', '. \\u0001'), '! ', '! \\u0001'), '? ', '? \\u0001')"
-    behind = rf"split({text}, '(?<=\\n)|(?<=[.!?] )', -1)"
-    return f"filter(if(contains({text}, '\\u0001'), {behind}, split({marked}, '\\u0001', -1)), u -> u <> '')"
+    """The lines with their ends.  A mark is put after each end and split at, which is faster than looking behind; empty ones may follow."""
+    marked = f"replace(replace(replace(replace({text}, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'), '? ', '? \u0001')"
+    behind = rf"split({text}, '(?<=\n)|(?<=[.!?] )', -1)"
+    return f"if(contains({text}, '\u0001'), {behind}, split({marked}, '\u0001', -1))"
 
 
 def _with_lines(df: DataFrame, text: str) -> DataFrame:
     """_units: lines with their ends; _at: numbers of those that aren't blank; _lines: these without white space at the end."""
-    df = df.withColumn("_units", F.expr(_units(f"coalesce({text}, '')")))
-    df = df.withColumn("_bare", F.expr(f"transform(_units, u -> trim(TRAILING {_WHITE} FROM u))"))
+    df = df.withColumn("_units", F.expr(f"filter({_units(f"coalesce({text}, '')")}, u -> u <> '')"))
+    df = df.withColumn("_bare", F.expr(f"transform(_units, u -> {_BARE})"))
     df = df.withColumn("_at", F.expr("if(size(_bare) = 0, cast(array() AS array<int>), filter(sequence(0, size(_bare) - 1), i -> get(_bare, i) <> ''))"))
     return df.withColumn("_lines", F.expr("filter(_bare, u -> u <> '')"))
 
 
-def _length(at: str, step: int) -> str:
-    """How many lines a window from (step 1) or to (step -1) line k needs; null where the text ends before."""
-    cases, total = "", f"get(_n, {at})"
-    for count in (2, 3, 4):
-        total += f" + get(_n, {at} + {step * (count - 1)})"
-        cases += f" WHEN {total} >= {SHORT} THEN {count}"
-    part = f"slice(_n, {at} + 1, {SHORT})" if step > 0 else f"reverse(slice(_n, greatest({at} - {SHORT - 2}, 1), least({at} + 1, {SHORT})))"
-    rest = f"aggregate({part}, struct(0 AS total, 0 AS count), (a, n) -> if(a.total >= {SHORT}, a, struct(a.total + n AS total, a.count + 1 AS count)), a -> if(a.total >= {SHORT}, a.count, NULL))"
-    return f"CASE{cases} ELSE {rest} END"
-
-
 def _windows(keyed: DataFrame) -> DataFrame:
     """(_id, _hash, start, n, chunk): the windows of each text, in numbers of lines that aren't blank."""
-    df = _with_lines(keyed, "_row.text").select(*_KEY, "_lines")
-    df = df.withColumn("_n", F.expr("transform(_lines, u -> length(u))")).withColumn("_x", F.expr("transform(_lines, u -> xxhash64(u))"))
+    lines = f"filter(transform({_units("coalesce(_row.text, '')")}, u -> {_BARE}), u -> u <> '')"
+    df = keyed.select(*_KEY, F.expr(lines).alias("_lines"))
+    df = df.select(*_KEY, F.expr("transform(_lines, u -> length(u))").alias("_n"), F.expr("transform(_lines, u -> xxhash64(u))").alias("_x"))
     every = "if(size(_n) = 0, cast(array() AS array<int>), sequence(0, size(_n) - 1))"
-    # start and number in one long, since sets of structs are compared pair by pair
-    df = df.withColumn("_from", F.expr(f"transform({every}, k -> shiftleft(cast(k AS bigint), 32) + ({_length('k', 1)}))"))
-    short = f"filter({every}, k -> k > 0 AND get(_n, k) + get(_n, k - 1) < {SHORT})"
-    df = df.withColumn("_to", F.expr(f"transform(transform({short}, k -> struct(k AS k, {_length('k', -1)} AS c)), w -> shiftleft(cast(w.k - w.c + 1 AS bigint), 32) + w.c)"))
-    df = df.withColumn("_alone", F.expr(f"transform(filter({every}, k -> get(_n, k) >= {LONG}), k -> shiftleft(cast(k AS bigint), 32) + 1)"))
-    df = df.withColumn("_all", F.expr("concat(filter(if(size(_to) > 0, array_union(_from, _to), _from), w -> w IS NOT NULL), _alone)"))
-    start, n = "cast(shiftright(w, 32) AS int)", "cast(w & 4294967295 AS int)"
+    df = df.withColumn("_ends", F.expr(f"filter({every}, k -> get(_n, k) >= {SHORT} OR k = size(_n) - 1 OR coalesce(get(_x, k - 1), 0L) = get(_x, k) OR ((shiftright(coalesce(get(_x, k - 1), 0L), 1) ^ get(_x, k)) & 1) = 0)"))
+    df = df.withColumn("_starts", F.expr("transform(_ends, (e, i) -> if(i = 0, 0, get(_ends, i - 1) + 1))"))
+    # slice inside a function over arrays copies the whole array, so it is kept for the rare long cases
+    df = df.withColumn("_c", F.expr("transform(_ends, (e, i) -> CASE WHEN e = get(_starts, i) THEN get(_x, e) WHEN e = get(_starts, i) + 1 THEN xxhash64(get(_x, e - 1), get(_x, e), 2) ELSE xxhash64(slice(_x, get(_starts, i) + 1, e - get(_starts, i) + 1), 2) END)"))
+    df = df.withColumn("_s", F.expr("transform(_ends, (e, i) -> CASE WHEN e = get(_starts, i) THEN get(_n, e) WHEN e = get(_starts, i) + 1 THEN get(_n, e - 1) + get(_n, e) ELSE aggregate(sequence(get(_starts, i), e), 0, (t, k) -> t + get(_n, k)) END)"))
+    pairs = "if(size(_c) < 2, cast(array() AS array<int>), sequence(0, size(_c) - 2))"
+    enough = f">= {2 * SHORT} THEN"
+    fewest = f"""CASE WHEN get(_s, i) + get(_s, i + 1) {enough} 2 WHEN get(_s, i) + get(_s, i + 1) + get(_s, i + 2) {enough} 3
+        WHEN get(_s, i) + get(_s, i + 1) + get(_s, i + 2) + get(_s, i + 3) {enough} 4
+        ELSE aggregate(sequence(i, least(i + {2 * SHORT}, size(_s) - 1)), struct(0 AS total, 0 AS count),
+        (a, k) -> if(a.total >= {2 * SHORT}, a, struct(a.total + get(_s, k) AS total, a.count + 1 AS count)), a -> if(a.total >= {2 * SHORT}, greatest(a.count, 2), NULL)) END"""
     # outer, since a filter inferred from an inner generator would repeat all of the above
-    rows = F.expr(f"transform(_all, w -> struct({start} AS start, {n} AS n, if({n} = 2, xxhash64(get(_x, {start}), get(_x, {start} + 1)), xxhash64(slice(_x, {start} + 1, {n}), 1)) AS chunk))")
-    return df.select(*_KEY, F.inline_outer(rows)).where("chunk IS NOT NULL")
+    rows = f"""concat(
+        transform(transform({pairs}, i -> struct(i AS i, {fewest} AS c)), w -> struct(get(_starts, w.i) AS start, get(_ends, w.i + w.c - 1) - get(_starts, w.i) + 1 AS n,
+            CASE WHEN w.c = 2 THEN xxhash64(get(_c, w.i), get(_c, w.i + 1)) WHEN w.c = 3 THEN xxhash64(get(_c, w.i), get(_c, w.i + 1), get(_c, w.i + 2)) WHEN w.c > 3 THEN xxhash64(slice(_c, w.i + 1, w.c), 3) END AS chunk)),
+        transform(filter({every}, k -> get(_n, k) >= {LONG}), k -> struct(k AS start, 1 AS n, xxhash64(get(_x, k), 1) AS chunk)))"""
+    return df.select(*_KEY, F.inline_outer(F.expr(rows))).where("chunk IS NOT NULL")
 
 
 def _stretches(windows: DataFrame) -> DataFrame:
@@ -118,14 +113,14 @@ def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     wanted = stretches.groupBy(*first).agg(F.collect_set(F.struct("low", "high")).alias("_wanted"))
     sources, _ = native_split(keyed.withColumnsRenamed({"_id": "first_id", "_hash": "first_hash"}), wanted, first)
     exported = _with_lines(sources.select(*first, F.col("_row.text").alias("_text")).dropDuplicates(first).join(wanted, first), "_text")
-    exported = exported.select(*first, F.inline_outer(F.expr("transform(_wanted, w -> struct(w.low AS low, w.high AS high, slice(_lines, w.low + 1, w.high - w.low + 1) AS same))")))
+    exported = exported.select(*first, F.inline_outer(F.expr("transform(_wanted, w -> struct(w.low AS low, w.high AS high, transform(sequence(w.low, w.high), i -> get(_lines, i)) AS same))")))
     later = stretches.join(exported, [*first, "low", "high"])
     lists = materialize(later.groupBy(*_KEY).agg(F.collect_list(F.struct("shift", "low", "same", "parts")).alias("_later")), "later")
     discard(stretches)
     losing, rest = native_split(keyed, lists, _KEY)
     df = _with_lines(losing.join(lists, _KEY, "left"), "_row.text")
     # line i of the text is line i - shift - low of the exported ones
-    equal = "filter(x.parts, p -> slice(_lines, p.start + 1, p.n) = slice(x.same, p.start - x.shift - x.low + 1, p.n))"
+    equal = "filter(x.parts, p -> forall(sequence(p.start, p.start + p.n - 1), i -> get(_lines, i) = get(x.same, i - x.shift - x.low)))"
     df = df.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_later, x -> flatten(transform({equal}, p -> sequence(get(_at, p.start), get(_at, p.start + p.n - 1)))))))"))
     df = df.withColumn("_kept", F.expr("if(coalesce(size(_gone), 0) <= 0, NULL, array_except(sequence(0, size(_units) - 1), _gone))"))
     text = F.expr("if(_kept IS NULL, _row.text, array_join(transform(_kept, i -> get(_units, i)), ''))")

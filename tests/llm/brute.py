@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import xxhash
+
 SEPARATED = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -41,25 +43,33 @@ def lines(text):
     return [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if u]
 
 
-def deduplicated(rows, short=40, long=100):
-    """(doc_id, text) rows with distinct ids: {doc_id: (text left, lines removed)}.
+def line_hash(line):
+    """Spark's xxhash64 of a string, signed."""
+    return xxhash.xxh64_intdigest(line.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(line.encode(), 42) >> 63 else 0)
 
-    Lines go with every run of lines that has an equal earlier one, of two or more lines that aren't
-    blank with ``short`` characters together or of one with ``long``; blank lines between them go too.
-    """
+
+def deduplicated(rows, short=20, long=100):
+    """(doc_id, text) rows with distinct ids: {doc_id: (text left, lines removed)}."""
     firsts, out = set(), {}
     for d, text in sorted(rows, key=lambda r: r[0]):
         units = lines(text)
         at = [i for i, u in enumerate(units) if u.rstrip(" \t\r\n")]
         bare, gone = [units[i].rstrip(" \t\r\n") for i in at], set()
-        for a in range(len(bare)):
-            for b in range(a, len(bare)):
-                run = tuple(bare[a : b + 1])
-                if sum(map(len, run)) < (short if len(run) > 1 else long):
-                    continue
-                if run in firsts:
-                    gone |= set(range(at[a], at[b] + 1))
-                firsts.add(run)
+        hashes = [line_hash(u) for u in bare]
+        before = [0, *hashes]
+        ends = [k for k, u in enumerate(bare) if len(u) >= short or k == len(bare) - 1 or before[k] == hashes[k] or not (before[k] >> 1 ^ hashes[k]) & 1]
+        starts = [0, *(e + 1 for e in ends)]
+        spans = []
+        for i in range(len(ends) - 1):
+            enough = [j for j in range(i + 1, len(ends)) if sum(map(len, bare[starts[i] : ends[j] + 1])) >= 2 * short]
+            spans += [(starts[i], ends[enough[0]])] if enough else []
+        cuts = {(a, b): tuple(sorted(e - a for e in ends if a <= e < b)) for a, b in spans}
+        spans += [(k, k) for k, u in enumerate(bare) if len(u) >= long]
+        for a, b in sorted(spans):
+            window = (tuple(bare[a : b + 1]), cuts.get((a, b)))
+            if window in firsts:
+                gone |= set(range(at[a], at[b] + 1))
+            firsts.add(window)
         out[d] = ("".join(u for i, u in enumerate(units) if i not in gone), len(gone))
     return out
 
