@@ -1,13 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs are its non-blank lines; a line over ``LONG_PARAGRAPH`` characters is cut after
-sentence ends.  Each distinct paragraph has a 64-bit digest, and a sketch holds every digest in one
+sentence ends, and where this gives fewer than ``FEWEST`` all lines are, then also after commas, then
+after words, so that the versions of a short text share paragraphs as well.  Each distinct paragraph has a 64-bit digest, and a sketch holds every digest in one
 cell of each of three sub-tables: a count, the digests' exclusive or and the exclusive or of check
 words.  Subtracting two sketches cancels what both texts hold; peeling takes cells with a single
 digest left until none remain, which recovers the digests on either side.  When peeling leaves a
-non-empty cell, both sketches are made again four times larger.  Likeness is the Jaccard share that
-the recovered difference implies.  A difference that still doesn't peel at ``MOST_CELLS`` cells is
-taken from the digests themselves.
+non-empty cell, both sketches are made again four times larger, as often as it takes: with many more
+cells than digests nearly every digest is alone in one.  Likeness is the Jaccard share that the
+recovered difference implies.
 
 The edited text of a document replaces its last third with the beginning of the next document in
 descending order of ``doc_id`` (the first after the last).  Rows are dealt into ranges of ids whose
@@ -39,21 +40,31 @@ from ledgerloom.llm.runtime import arrow_map, id_and_text, importable, slices
 LONG_PARAGRAPH = 240
 CELLS = 24  # of the stored sketch: three sub-tables of eight
 GROWTH = 4
-MOST_CELLS = 24 * 4**7
 AT_ONCE = 1 << 20  # cells held at once
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+FEWEST = 6
+_FINER = (_SENTENCE, re.compile(r"(?<=[.!?,;:])\s+"), re.compile(r"\s+"))
 
 
-def paragraphs(text: str) -> list[str]:
+def _cut(text: str, ends: re.Pattern, longest: int) -> list[str]:
     found = []
     for line in text.split("\n"):
-        if len(line) > LONG_PARAGRAPH:
-            found += _SENTENCE.split(line)
+        if len(line) > longest:
+            found += ends.split(line)
         else:
             found.append(line)
     return [p for p in map(str.strip, found) if p]
 
 
+def paragraphs(text: str) -> list[str]:
+    found = _cut(text, _SENTENCE, LONG_PARAGRAPH)
+    for ends in _FINER:
+        if len(found) >= FEWEST:
+            break
+        found = _cut(text, ends, 0)
+    return found
+
+
 def digests(text: str) -> np.ndarray:
     """The distinct paragraph digests, in ascending order."""
     return np.array(sorted({xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in paragraphs(text)}), np.uint64)
@@ -138,7 +149,7 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> list[tuple[n
     """For each pair the digests of the left side only and of the right side only, by subtracting and peeling."""
     out: list = [None] * len(left)
     todo, n_cells = np.arange(len(left)), CELLS
-    while len(todo) and n_cells <= MOST_CELLS:
+    while len(todo):
         failed = []
         step = max(1, AT_ONCE // n_cells)
         for part in (todo[i : i + step] for i in range(0, len(todo), step)):
@@ -152,8 +163,6 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> list[tuple[n
                 out[i] = (key[a:b][side[a:b] > 0], key[a:b][side[a:b] < 0])
             failed.append(part[full])
         todo, n_cells = np.concatenate(failed), n_cells * GROWTH
-    for i in todo:
-        out[i] = (np.setdiff1d(left[i], right[i]), np.setdiff1d(right[i], left[i]))
     return out
 
 
