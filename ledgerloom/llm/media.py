@@ -103,12 +103,12 @@ def coded(times: np.ndarray, codes: np.ndarray) -> str:
     return np.stack([times, codes], axis=1).astype(">u4").tobytes().hex()
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pairs long, feature string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pairs long, feature string, pair_times array<long>, pair_codes array<long>"
 
 
 def media_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """One row per document with what its stored WAV yields; ``keep_media`` adds the file and the arrays."""
-    schema = FEATURES + (", media binary, pair_times array<long>, pair_codes array<long>" if keep_media else "")
+    """One row per document with what its stored WAV yields, the time-coded arrays among it; ``keep_media`` adds the file."""
+    schema = FEATURES + (", media binary" if keep_media else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -118,11 +118,11 @@ def media_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 media = to_wav(payload)
                 back = from_wav(media)
                 times, codes = fingerprint(back)
-                row = (n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(times), coded(times, codes))
-                rows.append(row + ((media, times.tolist(), codes.tolist()) if keep_media else ()))
+                row = (n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(times), coded(times, codes), times, codes)
+                rows.append(row + ((media,) if keep_media else ()))
             columns = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pairs", "feature", "media", "pair_times", "pair_codes"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pairs", "feature", "pair_times", "pair_codes", "media"]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names[: len(arrays)]])
 
