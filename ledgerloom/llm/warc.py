@@ -2,7 +2,7 @@
 
 Writing.  A record is text (ASCII headers, then the payload in UTF-8), so Spark's text sink writes
 it, with the record trailer CR LF CR LF as its line separator; a file has at most ``PER_FILE``
-records.  Of records with equal payloads (SHA-1 and length) of at least ``least`` bytes the one
+records and, pages of more than ``LARGE`` bytes being written apart, about ``FILE_BYTES``.  Of records with equal payloads (SHA-1 and length) of at least ``least`` bytes the one
 with the smallest page id is the response and the others are revisits that name it.  Every record,
 revisits too, carries its whole payload.  Which pages are revisits is known from a pass over ids
 and digests; a Bloom filter of fixed size keeps the other pages out of the join that marks them.
@@ -11,7 +11,8 @@ Reading.  Files are cut into blocks.  Tasks look for the magic in their blocks a
 offset, and the successor's offset that the header's Content-Length implies.  Magic inside a payload
 gives candidates too.  Per file, pointer jumping from offset 0 doubles the distance covered in
 each round and keeps only what the chain from the file's start reaches; the chain must end at the
-file's length, else the archive is damaged and reading fails.  A file's candidates are at most its
+file's length, else the archive is damaged and reading fails, as it does where a payload doesn't have
+the digest that its header states.  A file's candidates are at most its
 bytes over the shortest header.  Digests are taken from the payload's bytes in the block; a payload
 that leaves its block's overlap is digested from its file.
 
@@ -38,6 +39,8 @@ from ledgerloom.llm.runtime import arrow_map, importable, materialize, new_path
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 PER_FILE = 2000
+LARGE = 256 << 10
+FILE_BYTES = 512 << 20
 BLOCK = 4 << 20
 OVERLAP = 1 << 20
 _URN = "urn:page:"
@@ -80,7 +83,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "197
         F.lit("\r\n\r\n"),
         "html",
     )
-    plain.unionByName(marked).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).text(path)
+    records = plain.unionByName(marked)
+    longest = rows.agg(F.max(F.octet_length("html") + F.octet_length("url"))).first()[0] or 0
+    own = F.octet_length("html") + F.octet_length("url")
+    written = [(records, PER_FILE)] if longest <= LARGE else [(records.where(own <= LARGE), PER_FILE), (records.where(own > LARGE), max(1, FILE_BYTES // longest))]
+    for part, most in written:
+        part.select(record.alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 CANDIDATE = "path string, at long, next long, body long, n long, kind string, page_id long, refers_to long, stated string, digest string"
@@ -157,6 +165,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         late = files.select("path", "content").join(long, "path").select("path", "content", F.explode_outer("parts").alias("p"))
         late = late.select("path", F.col("p.at").alias("at"), base32_sha1(F.expr("substring(content, cast(p.body + 1 AS int), cast(p.n AS int))")).alias("late"))
         records = records.join(late, ["path", "at"], "left").withColumn("digest", F.coalesce("digest", "late"))
+    wrong = records.where("stated <> '' AND stated <> digest").select("path", "at").take(1)
+    if wrong:
+        raise ValueError(f"payload digest of the record at {wrong[0]['at']} of {wrong[0].path} doesn't match")
     return records.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
