@@ -227,6 +227,22 @@ def test_small_payloads_are_all_responses_and_damage_is_seen(spark, tmp_path):
         warc.read_archives(spark, str(path))
 
 
+def test_large_pages_and_wrong_digests(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "LARGE", 200)
+    monkeypatch.setattr(warc, "FILE_BYTES", 7000)
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
+    assert warc.archived(pages).count() == len(page_rows())
+    path = tmp_path / "wrong"
+    warc.write_archives(pages.coalesce(1), str(path))
+    assert len(list(path.glob("part-*"))) >= 2
+    for part in path.glob("part-*"):
+        part.write_bytes(part.read_bytes().replace(b"xxx", b"xxy"))
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="digest"):
+        warc.read_archives(spark, str(path)).count()
+
+
 def test_reachable_follows_only_the_chain():
     at, following = np.array([0, 10, 15, 30, 35]), np.array([10, 30, 35, 50, 50])
     assert warc.reachable(at, following).tolist() == [True, True, False, True, False]

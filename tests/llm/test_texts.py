@@ -50,6 +50,26 @@ def test_media(docs):
     assert media.media_features(docs.limit(0)).count() == 0
 
 
+def test_peak_pairs_equal_plain_version():
+    draw = np.random.default_rng(3)
+    for size in (64, 512, 576, 1984):
+        payload = draw.integers(0, 256, size).astype(np.uint8)
+        wave = [float(x) - 128 for x in payload] + [0.0] * (-size % 256 if size > 512 else 512 - size)
+        window = [0.5 - 0.5 * np.cos(2 * np.pi * i / 511) for i in range(512)]
+        turns = np.exp(-2j * np.pi * np.outer(np.arange(257), np.arange(512)) / 512)
+        power = [abs(turns @ np.array([a * b for a, b in zip(wave[at : at + 512], window)])) for at in range(0, len(wave) - 511, 256)]
+        peaks = []
+        for t, row in enumerate(power):
+            for a, b in zip(media.BANDS, media.BANDS[1:]):
+                best = a + int(np.argmax(row[a:b]))
+                others = [max(power[u][a:b]) if 0 <= u < len(power) else 0 for u in (t - 1, t + 1)]
+                if row[best] > 1e-3 and row[best] >= others[0] and row[best] > others[1]:
+                    peaks.append((t, best))
+        pairs = sorted((t, f << 15 | g << 6 | u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + media.FAN_OUT] if u - t <= 63)
+        times, codes = media.fingerprint(payload.tobytes())
+        assert list(zip(times.tolist(), codes.tolist())) == pairs and pairs
+
+
 def test_frames_cover_the_whole_payload():
     draw = np.random.default_rng(4)
     for size in range(64, 2100, 64):
@@ -170,6 +190,13 @@ def test_fingerprints(docs, spark):
     assert one.near_next == 1.0
 
 
+def test_short_texts_are_like_their_edited_versions(spark):
+    text = "one sentence of a few words without any line, and no other sentence after it to the end of the text"
+    rows = [(2, text), (1, "something else entirely, with other words in each and every place of this line here")]
+    found = iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(r.near_edited > 0.3 and r.near_next < 0.2 for r in found)
+
+
 def test_peeling_recovers_differences_and_retries():
     draw = np.random.default_rng(1)
     left = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 3, 40, 4000)]
