@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on what the stage before it kept.  All but the
 last return the columns of ``documents``; the last returns the packed pieces.
+
+Defined cases, the same for every stage: a null text counts as the empty text and stays null; an
+empty text is kept by all stages, unless the quality stage rejects it, and packs as one piece; a
+null doc_id is kept; rows that repeat doc_id and text share a decision; rows with equal ids and
+different texts are decided apart; very long texts are read whole; an empty table gives an empty
+result; other columns are kept, whatever their names, but for the last stage, which ignores them.
 """
 
 from __future__ import annotations
