@@ -63,8 +63,12 @@ def pair_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.withColumn("n", F.row_number().over(first)).where("n = 1").select("fact_a_id", "fact_b_id", "rule")
 
 
+def _embedded(found: DataFrame) -> DataFrame:
+    return found.withColumn("embedding", vectors.hashed_embedding(text.embedding_text(*[F.col(c) for c in ("entity", "metric", "value", "unit", "period", "scope", "quote")])))
+
+
 def compare_new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>"))
+    found = _embedded(facts(spark, sf_dir))
     new = found.where("document_id = 'review'")
     none = spark.createDataFrame([], "fact_a_id long, fact_b_id long, is_active boolean")
     return compare.compare_new_facts(new, found, none).select("fact_a_id", "fact_b_id", "relation_type", "confidence", "reason", "source")
@@ -72,8 +76,7 @@ def compare_new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every fact of every document among all facts."""
-    found = facts(spark, sf_dir)
-    embedded = found.withColumn("embedding", vectors.hashed_embedding(text.embedding_text(*[F.col(c) for c in ("entity", "metric", "value", "unit", "period", "scope", "quote")])))
+    embedded = _embedded(facts(spark, sf_dir))
     return retrieve.candidates(embedded, embedded).select("fact_id", "cand_id", F.round("score", 6).alias("score"), "rank")
 
 

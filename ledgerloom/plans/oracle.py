@@ -116,6 +116,79 @@ _NUMBERS = f"list_sort(list_distinct(list_transform(regexp_extract_all(text, '{t
 
 _MATCH = "lower(trim(regexp_replace(translate({}, chr(160) || '–—‘’“”', ' --''''\"\"'), '\\s+', ' ', 'g')))"
 
+#: The facts' raw fields besides the normalized ones of FACTS_SQL.
+_TEXTS = """
+texts AS (
+    SELECT *, e || ' ' || m || ' in ' || y AS quote FROM (
+        SELECT f.id, f.doc, f.entity, coalesce(f.metric, '') AS metric, coalesce(f.period, '') AS period, CASE WHEN f.metric IS NULL THEN '' ELSE f.scope END AS scope, r.y, n_name AS e,
+            CASE f.doc WHEN 'orders' THEN 'Revenue from operations' WHEN 'lines' THEN 'Net sales' ELSE 'Total revenue' END AS m, coalesce(CAST(r.v AS VARCHAR), 'n/a') AS val,
+            CASE k WHEN 2 THEN 'INR crore' WHEN 5 THEN '%' ELSE 'USD' END AS u, CASE f.doc WHEN 'orders' THEN 'FY' WHEN 'lines' THEN 'FY ''' ELSE 'fy ' END || r.y AS p,
+            CASE k WHEN 1 THEN 'standalone' ELSE 'consolidated' END AS sc, CASE k WHEN 3 THEN 'global' ELSE 'India' END AS g, CASE k WHEN 4 THEN 'estimate' ELSE 'actual' END AS b
+        FROM facts f JOIN raw r ON f.id = r.id JOIN nation ON r.nk = n_nationkey
+    )
+),
+words AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', e, m, val, u, p, sc, g, b, quote)), '[a-z0-9]+')) AS token FROM texts) GROUP BY ALL),
+sizes AS (SELECT id, CAST(sum(tf) AS BIGINT) AS dl FROM words GROUP BY id)
+"""
+
+_SCORE = f"sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * {retrieve.K1 + 1}::DOUBLE / (tf + {retrieve.K1}::DOUBLE * ({1 - retrieve.B}::DOUBLE + {retrieve.B}::DOUBLE * dl / avgdl))) * qf)"
+
+
+def _retrieved(new: str, vectors: bool) -> str:
+    """CTEs up to ``retrieved`` (fact_id, cand_id, score, r): the candidates of the facts for which ``new`` holds."""
+    near = """
+slots AS (
+    SELECT id, h % 384 AS slot, sum(CASE WHEN h < 384 THEN 1 ELSE -1 END) AS v FROM (
+        SELECT id, (list_sum(list_transform(range(0, 7), lambda i: CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT))) * 256 + CAST('0x' || substr(h, 57, 8) AS BIGINT)) % 768 AS h
+        FROM (SELECT id, sha256(unnest(regexp_extract_all(lower(concat_ws(' | ', e, m, val, u, p, sc, quote)), '[a-z0-9]+'))) AS h FROM texts)
+    ) GROUP BY ALL
+),
+lengths AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS l FROM slots GROUP BY id),
+dots AS (SELECT fact_id, cand_id, tier, sum(a.v * b.v)::DOUBLE AS d FROM pool JOIN slots a ON a.id = fact_id JOIN slots b ON b.id = cand_id AND a.slot = b.slot GROUP BY ALL),
+near AS (
+    SELECT * FROM (
+        SELECT fact_id, cand_id, row_number() OVER (PARTITION BY fact_id ORDER BY round(d / (x.l * z.l), 9) DESC, tier, cand_id) AS vr
+        FROM dots JOIN lengths x ON x.id = fact_id JOIN lengths z ON z.id = cand_id WHERE d / (x.l * z.l) >= 0.45
+    ) WHERE vr <= 20
+)"""
+    none = "near AS (SELECT fact_id, cand_id, 1 AS vr FROM pool WHERE false)"
+    return f"""{_TEXTS},
+asked AS (SELECT * FROM texts WHERE {new}),
+same AS (SELECT a.id AS fact_id, b.id AS cand_id, CASE WHEN a.metric <> '' AND a.metric = b.metric THEN 0 ELSE 1 END AS tier FROM asked a JOIN texts b ON a.entity = b.entity AND a.doc <> b.doc),
+pool AS (
+    SELECT * FROM same
+    UNION ALL SELECT a.id, b.id, CASE WHEN a.metric <> '' AND a.metric = b.metric THEN 0 ELSE 1 END FROM asked a JOIN texts b ON a.doc <> b.doc WHERE a.id NOT IN (SELECT fact_id FROM same)
+),
+shape AS (SELECT fact_id, count(*) AS n, avg(dl) AS avgdl FROM pool JOIN sizes ON id = cand_id GROUP BY fact_id),
+matched AS (SELECT fact_id, cand_id, tier, c.token, c.tf, q.tf AS qf FROM pool JOIN words c ON c.id = cand_id JOIN words q ON q.id = fact_id AND q.token = c.token),
+frequency AS (SELECT fact_id, token, count(*) AS df FROM matched GROUP BY ALL),
+scored AS (
+    SELECT fact_id, cand_id, tier, {_SCORE} AS score FROM matched JOIN frequency USING (fact_id, token) JOIN shape USING (fact_id) JOIN sizes ON id = cand_id GROUP BY ALL
+),
+lexical AS (
+    SELECT fact_id, cand_id, lr FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY round(score, 9) DESC, tier, cand_id) AS lr FROM scored WHERE score > 0) WHERE lr <= 20
+),
+{near if vectors else none},
+merged AS (SELECT fact_id, cand_id, vr, lr FROM near FULL JOIN lexical USING (fact_id, cand_id)),
+fused AS (
+    SELECT fact_id, cand_id, vr, lr, coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0) + CASE WHEN a.entity = c.entity THEN 0.15::DOUBLE ELSE 0 END
+        + CASE WHEN a.metric <> '' AND a.metric = c.metric THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN a.period <> '' AND lower(a.period) = lower(c.period) THEN 0.1::DOUBLE ELSE 0 END
+        + CASE WHEN a.scope <> '' AND a.scope = c.scope THEN 0.05::DOUBLE ELSE 0 END AS score
+    FROM merged JOIN texts a ON a.id = fact_id JOIN texts c ON c.id = cand_id
+),
+retrieved AS (
+    SELECT * FROM (SELECT fact_id, cand_id, score, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY round(score, 9) DESC, vr NULLS LAST, lr NULLS LAST, cand_id) AS INT) AS r FROM fused) WHERE r <= 5
+)"""
+
+
+_WINDOWS = """
+sized AS (SELECT *, greatest(20, CAST(floor(length(q) * 0.7::DOUBLE) AS BIGINT)) AS w FROM quoted),
+windowed AS (
+    SELECT *, CASE WHEN length(q) < 20 THEN [q] ELSE list_transform(range(0, greatest(length(q) - w, 0) + 1, greatest(1, w // 4)), lambda i: substr(q, i + 1, w)) END AS parts FROM sized
+)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "relation_pairs": f"{_CLASSIFIED} SELECT * FROM judged",
     "relation_summary": f"{_CLASSIFIED} SELECT relation_type, reason, count(*) AS n_pairs FROM judged GROUP BY ALL",
@@ -188,3 +261,31 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'either', count(*), CAST(sum(doc_id) AS BIGINT) FROM (SELECT * FROM d UNION SELECT * FROM l)""",
 }
 ORACLE_SQL["hash_embedding_documents"] = ORACLE_SQL["hash_embedding"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
+ORACLE_SQL["retrieve_candidates"] = f"WITH {FACTS_SQL}, {_retrieved('true', True)} SELECT fact_id, cand_id, round(score, 6) AS score, r AS rank FROM retrieved"
+ORACLE_SQL["compare_new_facts"] = f"""{_CLASSIFIED}, {_retrieved("doc = 'review'", True)}
+    SELECT r.fact_id AS fact_a_id, cand_id AS fact_b_id, coalesce(relation_type, 'needs_review') AS relation_type, coalesce(confidence, 0.3::DOUBLE) AS confidence, coalesce(reason, 'none') AS reason,
+        CASE WHEN relation_type IS NULL THEN 'none' ELSE 'table' END AS source
+    FROM retrieved r JOIN judged j ON j.fact_a_id = cand_id AND j.fact_b_id = r.fact_id"""
+ORACLE_SQL["question_facts"] = f"""WITH {FACTS_SQL}, {_TEXTS},
+    pool AS (SELECT * FROM texts WHERE entity = 'nation_7' AND (metric = 'revenue' OR contains(lower(m), 'revenue'))),
+    asked AS (SELECT token, 2 * count(*) AS qf FROM (SELECT unnest(['what', 'was', 'the', 'revenue', 'of', 'nation', '7', 'in', 'fy1996']) AS token) GROUP BY ALL),
+    shape AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM pool JOIN sizes USING (id)),
+    frequency AS (SELECT token, count(*) AS df FROM words JOIN pool USING (id) GROUP BY token),
+    scored AS (SELECT id, {_SCORE} AS score FROM words JOIN pool USING (id) JOIN asked USING (token) JOIN frequency USING (token) JOIN sizes USING (id), shape GROUP BY ALL),
+    ranked AS (SELECT id, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INT) AS rank FROM scored)
+    SELECT id, doc AS document_id, nullif(period, '') AS norm_period, rank FROM ranked JOIN pool USING (id) WHERE rank <= 8"""
+ORACLE_SQL["evidence_status"] = f"""WITH quoted AS (SELECT item_id AS fact_id, 'src' || item_id % 20 AS document_id, CAST(item_id % 50 + 1 AS BIGINT) AS claimed, {_MATCH.format("trim(text, ' ' || chr(9) || chr(10) || chr(13))")} AS q FROM benchmark), {_WINDOWS},
+    numbered AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, {_MATCH.format("text")} AS t FROM documents),
+    hits AS (SELECT fact_id, page, contains(t, q) AS exact, page = claimed AS right_ FROM windowed JOIN numbered USING (document_id) WHERE q <> '' AND len(list_filter(parts, lambda x: contains(t, x))) > 0),
+    found AS (SELECT fact_id, bool_or(right_) AS right_, count(*) AS n, count_if(exact) AS n_exact, min(CASE WHEN exact THEN page END) AS exact_page, min(page) AS page FROM hits GROUP BY fact_id),
+    judged AS (SELECT fact_id, document_id, claimed, coalesce(n, 0) AS n_hits, CASE WHEN right_ THEN claimed WHEN n > 1 AND n_exact = 1 THEN exact_page ELSE page END AS page FROM windowed LEFT JOIN found USING (fact_id))
+    SELECT fact_id, document_id, CASE WHEN page IS NULL THEN 'unverifiable' WHEN page = claimed THEN 'verified' ELSE 'flagged' END AS evidence_status, coalesce(page, claimed) AS page_no, n_hits FROM judged"""
+ORACLE_SQL["quote_window"] = f"""WITH quoted AS (SELECT item_id, {_MATCH.format("trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))")} AS q FROM benchmark), {_WINDOWS}, d AS (SELECT doc_id, {_MATCH.format("text")} AS t FROM documents)
+    SELECT item_id, doc_id, contains(t, q) AS exact FROM windowed JOIN d ON q <> '' AND (contains(t, q) OR len(list_filter(parts, lambda x: contains(t, x))) > 0)"""
+ORACLE_SQL["html_pages"] = r"""
+    WITH bare AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+    broken AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|title|section|article|ul|ol|table|nav|header|footer)\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM bare),
+    decoded AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM broken),
+    lines AS (SELECT page_id, replace(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(160), ' '), chr(9), ' ') AS t FROM decoded),
+    clean AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS t FROM lines)
+    SELECT page_id, length(t) AS n_chars, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines FROM clean"""
