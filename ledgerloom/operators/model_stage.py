@@ -33,8 +33,23 @@ class Provider(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+def lazily(make: Callable[[], Provider]) -> Provider:
+    """A provider that is made at its first use, once in each Python worker: only ``make`` is sent there."""
+    made: list[Provider] = []
+
+    def provider(prompt: str) -> str:
+        if not made:
+            made.append(make())
+        return made[0](prompt)
+
+    return provider
+
+
 def ask(prompt: str, providers: Sequence[Provider], wait: Callable[[float], None] = time.sleep) -> tuple[str | None, str]:
-    """(answer, status): the first provider that answers within its attempts; status ok, quota or failed."""
+    """(answer, status): the first provider that answers within its attempts; status ok, quota or failed.
+
+    Any other error of a provider counts as its failure, so that one prompt doesn't end the job.
+    """
     status = "failed"
     for provider in providers:
         for attempt in range(ATTEMPTS):
@@ -47,6 +62,9 @@ def ask(prompt: str, providers: Sequence[Provider], wait: Callable[[float], None
                 status = "failed"
                 if attempt + 1 < ATTEMPTS:
                     wait(min(LONGEST_WAIT, FIRST_WAIT * 2**attempt) * random.uniform(0.5, 1.5))
+            except Exception:  # noqa: BLE001
+                status = "failed"
+                break
     return None, status
 
 

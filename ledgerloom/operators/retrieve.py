@@ -125,12 +125,12 @@ def fused(vector: DataFrame, lexical: DataFrame, new: DataFrame, facts: DataFram
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("fact_id", "cand_id", "score", "rank")
 
 
-def candidates(new: DataFrame, facts: DataFrame, k: int = FINAL_K) -> DataFrame:
+def candidates(new: DataFrame, facts: DataFrame, k: int = FINAL_K, vector_k: int = VECTOR_K, lexical_k: int = LEXICAL_K, threshold: float = THRESHOLD) -> DataFrame:
     """(fact_id, cand_id, score, rank) for every new fact; without any hit, the first of its pool (null score)."""
     left, right = keyed(new), keyed(facts)
     pool = pools(left, right)
-    vector = vector_hits(pool, left, right)
-    lexical = ranked(bm25(pool, left.select(F.col("id").alias("fact_id"), "_tokens"), right.select(F.col("id").alias("cand_id"), "_tokens")), LEXICAL_K)
+    vector = vector_hits(pool, left, right, vector_k, threshold)
+    lexical = ranked(bm25(pool, left.select(F.col("id").alias("fact_id"), "_tokens"), right.select(F.col("id").alias("cand_id"), "_tokens")), lexical_k)
     best = fused(vector, lexical, left, right, k)
     bare = pool.join(best.select("fact_id").distinct(), "fact_id", "left_anti")
     first = bare.withColumn("rank", F.row_number().over(Window.partitionBy("fact_id").orderBy("tier", "cand_id"))).where(F.col("rank") <= k)

@@ -23,6 +23,11 @@ def facts_of(facts: DataFrame, document_id: str | None = None, exclude: bool = F
     return found.drop("embedding")
 
 
+def fact(facts: DataFrame, fact_id: int) -> DataFrame:
+    """One fact, active or not, without the vector column."""
+    return facts.where(F.col("id") == fact_id).drop("embedding")
+
+
 def register(uploads: DataFrame, documents: DataFrame) -> DataFrame:
     """``uploads`` (document_id, content_hash, uploaded_at) with status 'skipped' or 'new' and document_version.
 
@@ -61,9 +66,10 @@ def latest(events: DataFrame, key: str, at: str, *values: str) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Old and new rows, the latest for each key."""
-    order = Window.partitionBy(*keys).orderBy(F.col(at).desc())
-    both = old.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, at, "_side") and not both.schema[c].dataType.simpleString().startswith("map")]
+    order = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col("_side").desc(), *rest)  # total, so that a re-run chooses alike
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_side")
 
 
 def merged_relations(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import coerce, normalize, text, vectors
-from ledgerloom.operators import ask, chunk, compare, evidence, retrieve, tables
+from ledgerloom.operators import ask, chunk, compare, counters, evidence, retrieve, tables, viewer
 from ledgerloom.plans import oracle
 from ledgerloom.plans.inputs import document_pages, facts, table
 from ledgerloom.sources import lake, pages
@@ -296,6 +296,56 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def viewer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line and the basis that a viewer shows of every fact; the value in whole units, and zero for every eleventh nation."""
+    value = F.when(F.floor(F.col("id") / 100000) % 11 == 3, 0.0).otherwise(F.round("norm_value"))
+    line = viewer.normalized_line(F.col("norm_metric"), value, F.col("norm_unit"), F.col("norm_period"))
+    basis = viewer.shown_basis(F.nullif(F.col("reporting_basis"), F.lit("estimate")), F.col("reporting_basis") != "estimate")
+    return facts(spark, sf_dir).select("id", line.alias("line"), basis.alias("basis"))
+
+
+def viewer_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = tables.metric_history(facts(spark, sf_dir), "Nation_7 Ltd.", "net sales").withColumn("norm_value", F.round("norm_value"))
+    return viewer.timeline(history)
+
+
+def viewer_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent, reason and shown quotes of every decided pair; evidence is blank for every second first fact."""
+    found = relation_pairs(spark, sf_dir).where("relation_type IS NOT NULL")
+    quotes = facts(spark, sf_dir).select(F.col("id").alias("fact_a_id"), "quote")
+    evidence_of = F.when(F.floor(F.col("fact_a_id") / 10) % 2 == 0, "  ").otherwise(F.concat(F.lit("seen: "), F.col("quote")))
+    return found.join(quotes, "fact_a_id").select("fact_a_id", "fact_b_id", viewer.percent(F.col("confidence")).alias("pct"), viewer.reason_text(F.col("reason")).alias("reason"), viewer.shown_quote(evidence_of, F.col("quote")).alias("shown"))
+
+
+def confidence_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", viewer.percent(F.round(F.when(F.col("event_id") % 7 > 0, coerce.numeric_confidence(F.col("value"))), 4)).alias("pct"))
+
+
+def document_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for documents, their lines for pages."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("num_pages"))
+    return sizes.select("l_orderkey", viewer.is_large(F.col("num_pages") + 1).alias("is_large"))
+
+
+def fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact by its id, though inactive."""
+    found = facts(spark, sf_dir).withColumn("is_active", F.lit(False))
+    return tables.fact(found, 719961).select("id", "document_id", "norm_period", "is_active")
+
+
+def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.decision_counts(relation_pairs(spark, sf_dir))
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.page_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "text"))
+
+
+def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.index_size(table(spark, sf_dir, "embeddings"))
+
+
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled, ids = table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id")
     parts = {"both": ids.intersect(labelled), "unlabelled": ids.exceptAll(labelled), "either": ids.union(labelled).distinct()}
@@ -313,7 +363,8 @@ QUERIES = {
         retrieve_candidates, question_facts, answer, normalize_entity, normalize_metric, normalize_unit, normalize_period, normalize_value,
         normalize_geography, coerced, clean_text, candidate_docs, chunk_pages, candidate_chunks, split_long, chunk_top25, token_stats, bm25_topk,
         vector_topk, hybrid_rrf, hash_embedding, hash_embedding_documents, evidence_status, quote_exact, quote_window, dedupe_content_hash, latest_version, latest_status, extract_numbers,
-        unsupported_numbers, json_props, html_pages, stream_dedupe, stream_daily_counts, set_ops,
+        unsupported_numbers, json_props, html_pages, stream_dedupe, stream_daily_counts, set_ops, viewer_facts, viewer_timeline, viewer_relations, confidence_percent, document_badges,
+        fact_lookup, decision_counts, page_counts, index_size,
     )
 }
 ORACLE_SQL = oracle.ORACLE_SQL

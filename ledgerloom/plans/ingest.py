@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import normalized
@@ -43,10 +43,12 @@ def ingest(
     splitter: pages.Splitter = pages.plain_text,
     pattern: str = pages.UPLOADS,
     cache: DataFrame | None = None,
+    embedding: Callable[[Column], Column] = hashed_embedding,
 ) -> Ingested:
     """Register, split, chunk, extract, ground, validate, normalize and embed; write the layers under ``root``.
 
     Files whose bytes equal a complete document's (``documents``) are skipped before they are split.
+    ``embedding`` makes a vector column of a text column; the offline hash is the default.
     """
     files = pages.files(spark, paths, pattern)
     uploads = files.select("document_id", "content_hash", F.lit(run_id).alias("uploaded_at"))
@@ -62,7 +64,7 @@ def ingest(
     grounded = evidence.verified(identified.withColumnRenamed("id", "fact_id"), texts.select("document_id", "document_version", "page_no", "text"))
     grounded = materialize(grounded.withColumnRenamed("fact_id", "id"), "grounded")
     valid, rejected = validate.facts(grounded.where("evidence_status <> 'unverifiable'"))
-    formed = normalized(valid).withColumn("embedding", hashed_embedding(embedding_text(*[F.col(c) for c in EMBEDDED])))
+    formed = normalized(valid).withColumn("embedding", embedding(embedding_text(*[F.col(c) for c in EMBEDDED])))
     facts = validate.embeddings(formed).withColumns({"run_id": F.lit(run_id).cast("long"), "is_active": F.lit(True), "created_at": F.current_timestamp()})
     facts = materialize(facts, "facts")
     if root is not None:

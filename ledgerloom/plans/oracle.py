@@ -289,3 +289,14 @@ ORACLE_SQL["html_pages"] = r"""
     lines AS (SELECT page_id, replace(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(160), ' '), chr(9), ' ') AS t FROM decoded),
     clean AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS t FROM lines)
     SELECT page_id, length(t) AS n_chars, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines FROM clean"""
+_LINE = "CASE WHEN w IS NULL THEN '' ELSE coalesce(metric, '') || ' = ' || concat_ws(' ', CASE WHEN w <> 0 THEN CAST(CAST(w AS BIGINT) AS VARCHAR) END, unit) || coalesce(' (' || period || ')', '') END"
+ORACLE_SQL["viewer_facts"] = f"""WITH {FACTS_SQL}, w AS (SELECT *, CASE WHEN (id // 100000) % 11 = 3 THEN 0 ELSE round(value) END AS w FROM facts) SELECT id, {_LINE} AS line, basis FROM w"""
+ORACLE_SQL["viewer_timeline"] = f"""WITH {FACTS_SQL} SELECT id, doc AS document_id, period, CAST(CAST(round(value) AS BIGINT) AS VARCHAR) AS value, unit, scope FROM facts WHERE entity = 'nation_7' AND metric = 'revenue' ORDER BY period, doc, id LIMIT 12"""
+ORACLE_SQL["viewer_relations"] = f"""{_CLASSIFIED}, {_TEXTS} SELECT fact_a_id, fact_b_id, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS pct, CASE WHEN reason <> 'none' THEN replace(reason, '_', ' ') END AS reason,
+    CASE WHEN (fact_a_id // 10) % 2 = 0 THEN quote ELSE 'seen: ' || quote END AS shown FROM judged JOIN texts ON id = fact_a_id WHERE relation_type IS NOT NULL"""
+ORACLE_SQL["confidence_percent"] = f"""SELECT event_id, CASE WHEN event_id % 7 > 0 THEN CAST(floor(round(numeric_confidence, 4) * 100 + 0.5) AS BIGINT) END AS pct FROM ({_COERCED})"""
+ORACLE_SQL["document_badges"] = "SELECT l_orderkey, count(*) + 1 > 7 AS is_large FROM lineitem GROUP BY ALL"
+ORACLE_SQL["fact_lookup"] = f"WITH {FACTS_SQL} SELECT id, doc AS document_id, period AS norm_period, false AS is_active FROM facts WHERE id = 719961"
+ORACLE_SQL["decision_counts"] = f"{_CLASSIFIED} SELECT count(relation_type) AS by_table, count(*) - count(relation_type) AS by_model FROM judged"
+ORACLE_SQL["page_counts"] = f"""WITH c AS ({ORACLE_SQL["candidate_docs"]}) SELECT source AS document_id, count(*) AS pages, count(c.doc_id) AS candidates, count(*) - count(c.doc_id) AS dropped FROM documents d LEFT JOIN c USING (doc_id) GROUP BY source"""
+ORACLE_SQL["index_size"] = "SELECT count_if(len(embedding) > 0) AS size FROM embeddings"

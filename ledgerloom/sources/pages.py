@@ -16,10 +16,10 @@ Splitter = Callable[[bytes], list[str]]
 
 
 def files(spark: SparkSession, paths: str | list[str], pattern: str = UPLOADS) -> DataFrame:
-    """document_id (the file's stem), filename, content_hash (SHA-256 hex), content of every matching file, by path."""
+    """document_id (the file's stem), filename, content_hash (SHA-256 hex), content of every matching file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return found.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("document_id"), name.alias("filename"), F.sha2("content", 256).alias("content_hash"), "content").orderBy("path")
+    return found.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("document_id"), name.alias("filename"), F.sha2("content", 256).alias("content_hash"), "content")
 
 
 def plain_text(content: bytes) -> list[str]:

@@ -57,13 +57,18 @@ def job_states(events: DataFrame) -> DataFrame:
 def events_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """A Parquet file or folder of events as a stream, with ``ts`` as an instant."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(f"{folder}/{name}")  # the filter below would match none of its files
+    else:
+        stream = reader.option("pathGlobFilter", name).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "30 days") -> DataFrame:
-    """First event per key and instant within the watermark; state older than that is dropped."""
-    return events.withWatermark("ts", late).dropDuplicates([*keys, "ts"])
+    """First event per key, at whatever instant its repeats come within the watermark; older state is dropped."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def window_counts(events: DataFrame, length: str = "1 day", late: str = "1 day") -> DataFrame:

@@ -191,3 +191,41 @@ def test_files_and_lake(spark, tmp_path):
     assert [(r.fact_id, r.entity, r.value) for r in compact.collect()] == [(1, "acme", 100.0)]
     html = spark.createDataFrame([("<style>p{}</style><p>a &amp; b</p><script>x()</script><div>c<br>d</div>",)], "h string")
     assert html.select(pages.html_text(F.col("h"))).first()[0] == "a & b\nc\nd"
+
+
+def test_viewer_columns(spark):
+    from ledgerloom.operators import viewer
+
+    rows = [("revenue", 8993.6, "inr_crore", "FY2024", 0.885, "different_scope", " ", None, None, 8), (None, 100.0, "", "", None, "none", "seen", "", False, 7), ("eps", 0.0, "usd", None, 0.6, None, None, "forecast", False, None), ("eps", None, "usd", None, 1.0, "", "x", "actual", True, 1)]
+    df = spark.createDataFrame(rows, "m string, v double, u string, p string, c double, r string, e string, b string, i boolean, n int")
+    line = viewer.normalized_line(F.col("m"), F.col("v"), F.col("u"), F.col("p"))
+    got = df.select(line, viewer.percent(F.col("c")), viewer.reason_text(F.col("r")), viewer.shown_quote(F.col("e"), F.lit("quote")), viewer.shown_basis(F.col("b"), F.col("i")), viewer.is_large(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("revenue = 8993.6 inr_crore (FY2024)", 89, "different scope", "quote", "actual", True),
+        (" = 100", None, None, "seen", "estimate", False),
+        ("eps = usd", 60, None, "quote", "forecast", False),
+        ("", 100, None, "x", "actual", False),
+    ]
+
+
+def test_counters_options_and_lazy_providers(spark, tmp_path):
+    from ledgerloom.operators import counters, model_stage, tables
+    from ledgerloom.options import Options
+
+    def make():
+        def provider(prompt):
+            if prompt == "bad":
+                raise ValueError("not an answer")
+            return prompt.upper()
+
+        return provider
+
+    prompts = spark.createDataFrame([("a",), ("a",), ("bad",)], "prompt string")
+    replies, seen = counters.observed(model_stage.answered(prompts, [model_stage.lazily(make)]), "run-1")
+    replies.write.parquet(str(tmp_path / "replies"))
+    assert seen.get["answers"] == 2 and seen.get["failed"] == 1 and seen.get["prompt_chars"] == 5
+    assert counters.added(seen.get, seen.get)["calls"] == 6
+    read = Options.read({"LEDGERLOOM_FINAL_K": "3", "LEDGERLOOM_THRESHOLD": "0.5", "OTHER": "x"})
+    assert (read.final_k, read.threshold, read.vector_k) == (3, 0.5, 20) and read.retrieval()["k"] == 3
+    facts = spark.createDataFrame([(1, False, [0.1]), (2, True, [0.2])], "id long, is_active boolean, embedding array<double>")
+    assert tables.fact(facts, 1).collect() == [(1, False)] and counters.index_size(facts).first().size == 2
