@@ -27,6 +27,22 @@ def stands_on(quote: Column, page: Column, coverage: float = COVERAGE) -> Column
     return F.when((quote == "") | (page == ""), F.lit(False)).otherwise(F.coalesce(found, F.lit(False)))
 
 
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text_id, needle_id, needle): which texts (text_id, text) hold which needles (needle_id, needle), all in match form.
+
+    They meet on the needle's longest inner word, which stands in the text between spaces as well.  Only
+    needles of fewer than three words meet every text.
+    """
+    inner = "filter(slice(split(needle, ' '), 2, greatest(size(split(needle, ' ')) - 2, 0)), w -> w <> '')"
+    keyed = needles.withColumn("_anchor", F.expr(f"array_max(transform({inner}, w -> struct(length(w) AS n, w AS w))).w"))
+    words = texts.select("text_id", F.explode(F.array_distinct(F.split("text", " "))).alias("_anchor"))
+    near = words.join(keyed.where("_anchor IS NOT NULL"), "_anchor").select("text_id", "needle_id", "needle")
+    found = near.join(texts, "text_id").where("contains(text, needle)")
+    short = keyed.where("_anchor IS NULL AND needle <> ''").select("needle_id", "needle")
+    rest = texts.join(short, F.expr("contains(text, needle)"))
+    return found.select("text_id", "needle_id", "needle").unionByName(rest.select("text_id", "needle_id", "needle"))
+
+
 def verified(facts: DataFrame, pages: DataFrame, composed: bool = True) -> DataFrame:
     """``facts`` with evidence_status, evidence_error, the found page_no and n_hits.
 
@@ -34,15 +50,18 @@ def verified(facts: DataFrame, pages: DataFrame, composed: bool = True) -> DataF
     pages have document_id, document_version, page_no, text.  A quote on its claimed page is verified.
     Otherwise the chunk's pages are searched, then the document's: a single hit, else a single exact hit, else
     the first page is taken, and a page other than the claimed one is flagged.  Facts whose quote stands on
-    their claimed page don't take part in the search.
+    their claimed page don't take part in the search and have one hit.
     """
     claims = facts if "chunk_pages" in facts.columns else facts.withColumn("chunk_pages", F.lit(None).cast("array<int>"))
     claims = claims.withColumn("_quote", match_form(stripped(F.coalesce("quote", F.lit(""))), composed))
     texts = pages.select("document_id", "document_version", F.col("page_no").alias("_page"), match_form(F.col("text"), composed).alias("_text"))
     within = F.col("chunk_pages").isNull() | (F.size("chunk_pages") == 0) | F.array_contains("chunk_pages", F.col("_page"))
     keys = ["document_id", "document_version"]
-    hits = claims.select("fact_id", *keys, "page_no", "chunk_pages", "_quote").where("_quote <> ''").join(texts, keys)
-    hits = hits.where(stands_on(F.col("_quote"), F.col("_text"))).select("fact_id", "_page", within.alias("_near"), F.col("_text").contains(F.col("_quote")).alias("_exact"), (F.col("_page") == F.col("page_no")).alias("_claimed"))
+    asked = claims.select("fact_id", *keys, "page_no", "chunk_pages", "_quote").where("_quote <> ''")
+    right = asked.join(texts.withColumnRenamed("_page", "page_no"), [*keys, "page_no"]).withColumn("_page", F.col("page_no"))
+    right = right.where(within & stands_on(F.col("_quote"), F.col("_text"))).select("fact_id").distinct().withColumn("_right", F.lit(True))
+    hits = asked.join(right, "fact_id", "left_anti").join(texts, keys)
+    hits = hits.where(stands_on(F.col("_quote"), F.col("_text"))).select("fact_id", "_page", within.alias("_near"), F.col("_text").contains(F.col("_quote")).alias("_exact"))
 
     def summary(near: Column, name: str) -> list[Column]:
         exact = near & F.col("_exact")
@@ -53,8 +72,8 @@ def verified(facts: DataFrame, pages: DataFrame, composed: bool = True) -> DataF
             F.min(F.when(near, F.col("_page"))).alias(f"{name}_page"),
         ]
 
-    found = hits.groupBy("fact_id").agg(F.coalesce(F.bool_or(F.col("_near") & F.col("_claimed")), F.lit(False)).alias("_right"), *summary(F.col("_near"), "near"), *summary(F.lit(True), "all"))
-    judged = claims.join(found, "fact_id", "left")
+    found = hits.groupBy("fact_id").agg(*summary(F.col("_near"), "near"), *summary(F.lit(True), "all"))
+    judged = claims.join(found, "fact_id", "left").join(right, "fact_id", "left")
 
     def chosen(name: str) -> Column:
         several = (F.col(f"{name}_hits") > 1) & (F.col(f"{name}_exact") == 1)
@@ -71,5 +90,5 @@ def verified(facts: DataFrame, pages: DataFrame, composed: bool = True) -> DataF
         F.when(blank | page.isNull(), "unverifiable").when(same, "verified").otherwise("flagged").alias("evidence_status"),
         F.when(blank, "empty quote").when(page.isNull(), nowhere).when(~same, moved).alias("evidence_error"),
         F.coalesce(page, F.col("page_no")).cast("int").alias("page_no"),
-        F.coalesce("all_hits", F.lit(0)).cast("long").alias("n_hits"),
+        F.when(F.col("_right"), 1).otherwise(F.coalesce("all_hits", F.lit(0))).cast("long").alias("n_hits"),
     )

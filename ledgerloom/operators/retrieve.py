@@ -22,6 +22,7 @@ K1, B = 1.2, 0.75
 BONUS = {"entity": 0.15, "metric": 0.20, "period": 0.10, "scope": 0.05}
 
 BLOCK_ROWS = 4096
+MOST_TERMS = 200_000  # of all queries; about 60 bytes each when broadcast
 DIGITS = 9  # scores are compared at so many digits, ids break ties
 
 
@@ -95,14 +96,19 @@ def bm25_term() -> Column:
 
 
 def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(fact_id, cand_id, score, rank): BM25 of every query against one corpus, whose statistics are shared."""
+    """(fact_id, cand_id, score, rank): BM25 of every query against one corpus, whose statistics are shared.
+
+    Up to MOST_TERMS query terms are sent to every task with their document frequencies, so that a common
+    word is no join key; beyond, the terms are shuffled.
+    """
     asked = queries.select("fact_id", F.explode("_tokens").alias("token")).groupBy("fact_id", "token").agg(F.count(F.lit(1)).alias("qf"))
     vocabulary = asked.select("token").distinct()
     words = docs.select("cand_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token")).join(vocabulary, "token", "left_semi")
     words = words.groupBy("cand_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     shape = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tokens")).alias("avgdl"))  # one row
-    terms = words.join(frequency, "token").join(asked, "token").join(F.broadcast(shape))
+    rare = frequency.join(asked, "token")
+    terms = words.join(F.broadcast(rare) if asked.count() <= MOST_TERMS else rare, "token").join(F.broadcast(shape))
     scored = terms.groupBy("fact_id", "cand_id").agg(F.sum(bm25_term()).alias("score")).withColumn("tier", F.lit(0))
     return ranked(scored, k)
 

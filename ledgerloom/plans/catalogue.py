@@ -234,17 +234,18 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose matchable text holds a whole benchmark item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", text.match_form(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.match_form(F.col("text")).alias("p"))
-    return docs.join(F.broadcast(items), F.expr("contains(p, q)")).select("item_id", "doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), text.match_form(F.col("text")).alias("text"))
+    found = evidence.containing(items.select(F.col("item_id").alias("needle_id"), F.col("q").alias("needle")), docs)
+    return found.select(F.col("needle_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
 def quote_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose matchable text holds a benchmark item or one of its windows, and whether all of it."""
     items = table(spark, sf_dir, "benchmark").select("item_id", text.match_form(text.stripped(F.coalesce("text", F.lit("")))).alias("q")).where("q <> ''")
-    items = items.withColumn("w", evidence.quote_windows(F.col("q")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.match_form(F.col("text")).alias("p"))
-    found = docs.join(F.broadcast(items), F.expr("contains(p, q) OR exists(w, x -> contains(p, x))"))
-    return found.select("item_id", "doc_id", F.expr("contains(p, q)").alias("exact"))
+    parts = items.select(F.col("item_id").alias("needle_id"), F.explode(F.array_union(F.array("q"), evidence.quote_windows(F.col("q")))).alias("needle"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), text.match_form(F.col("text")).alias("text"))
+    found = evidence.containing(parts, docs).join(items.select(F.col("item_id").alias("needle_id"), "q"), "needle_id")
+    return found.groupBy(F.col("needle_id").alias("item_id"), F.col("text_id").alias("doc_id")).agg(F.bool_or(F.col("needle") == F.col("q")).alias("exact"))
 
 
 def dedupe_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

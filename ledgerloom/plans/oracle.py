@@ -278,7 +278,7 @@ ORACLE_SQL["evidence_status"] = f"""WITH quoted AS (SELECT item_id AS fact_id, '
     numbered AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, {_MATCH.format("text")} AS t FROM documents),
     hits AS (SELECT fact_id, page, contains(t, q) AS exact, page = claimed AS right_ FROM windowed JOIN numbered USING (document_id) WHERE q <> '' AND len(list_filter(parts, lambda x: contains(t, x))) > 0),
     found AS (SELECT fact_id, bool_or(right_) AS right_, count(*) AS n, count_if(exact) AS n_exact, min(CASE WHEN exact THEN page END) AS exact_page, min(page) AS page FROM hits GROUP BY fact_id),
-    judged AS (SELECT fact_id, document_id, claimed, coalesce(n, 0) AS n_hits, CASE WHEN right_ THEN claimed WHEN n > 1 AND n_exact = 1 THEN exact_page ELSE page END AS page FROM windowed LEFT JOIN found USING (fact_id))
+    judged AS (SELECT fact_id, document_id, claimed, CASE WHEN right_ THEN 1 ELSE coalesce(n, 0) END AS n_hits, CASE WHEN right_ THEN claimed WHEN n > 1 AND n_exact = 1 THEN exact_page ELSE page END AS page FROM windowed LEFT JOIN found USING (fact_id))
     SELECT fact_id, document_id, CASE WHEN page IS NULL THEN 'unverifiable' WHEN page = claimed THEN 'verified' ELSE 'flagged' END AS evidence_status, coalesce(page, claimed) AS page_no, n_hits FROM judged"""
 ORACLE_SQL["quote_window"] = f"""WITH quoted AS (SELECT item_id, {_MATCH.format("trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))")} AS q FROM benchmark), {_WINDOWS}, d AS (SELECT doc_id, {_MATCH.format("text")} AS t FROM documents)
     SELECT item_id, doc_id, contains(t, q) AS exact FROM windowed JOIN d ON q <> '' AND (contains(t, q) OR len(list_filter(parts, lambda x: contains(t, x))) > 0)"""
