@@ -1,6 +1,6 @@
-"""A Bloom filter over long ids, to keep rows that can't match out of a shuffle.
+"""Filters of bounded size that keep rows which can't match out of a shuffle.
 
-It has ``PER_ID`` bits for each id, and at most ``MOST_BITS`` (32 MiB), which bounds what is sent to
+The Bloom filter over long ids has ``PER_ID`` bits for each id, and at most ``MOST_BITS`` (32 MiB), which bounds what is sent to
 the driver and to each executor.  Where more ids would need more there is no filter: rows that can't
 match then cost time and change no result, since a join always follows.
 """
@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import arrow_map, importable, materialize
+from ledgerloom.llm.runtime import arrow_map, materialize
 
 PER_ID = 12
 PER_BIT = 16  # bits for each key of the filter with one hash
@@ -71,11 +71,6 @@ def perhaps_in(shared: Broadcast | None, column: str) -> Column:
     return perhaps(column)
 
 
-def matching(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """``rows`` joined with ``wanted`` on a column of longs, the rows passing the filter first."""
-    importable(rows.sparkSession)
-    return rows.where(perhaps_in(bloom_filter(wanted, column), column)).join(wanted, column)
-
 def native_split(rows: DataFrame, wanted: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """``rows`` that may have a match in ``wanted`` by the columns ``on``, and those that certainly have none.
 

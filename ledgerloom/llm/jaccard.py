@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.bloom import matching
+from ledgerloom.llm.bloom import native_split
 from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, materialize, slices
 
 WORDS = 5
@@ -373,8 +373,8 @@ def candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([reduced(s) for s in sets], pa.binary()), batch.column("text")], ["key", "n", "cut", "text"])
 
-    texts = matching(hashed(docs), reps.withColumnRenamed("doc_id", "rep_id"), "text_hash")
-    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("key", "text").dropDuplicates(["key"])
+    texts, _ = native_split(hashed(docs), reps, ["text_hash"])
+    texts = texts.join(reps.withColumnRenamed("doc_id", "rep_id"), "text_hash").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("key", "text").dropDuplicates(["key"])
     return arrow_map(texts, run, "key binary, n int, cut binary, text string")
 
 
