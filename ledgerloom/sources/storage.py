@@ -35,3 +35,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    path, store = _store(spark, uri)
+    return store.exists(path)
+
+
+def ensure_folder(spark: SparkSession, uri: str) -> bool:
+    """Make the folder or the bucket's prefix, if the store allows it."""
+    try:
+        path, store = _store(spark, uri)
+        return bool(store.mkdirs(path))
+    except Exception:  # noqa: BLE001  a store that can't be reached is not an error here
+        return False
+
+
+def put(spark: SparkSession, local: str, folder: str, name: str) -> str | None:
+    """Copy a file of the driver into a folder of any Hadoop store; its URI, or None where that fails."""
+    try:
+        target, store = _store(spark, f"{folder.rstrip('/')}/{name}")
+        source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+        store.copyFromLocalFile(False, True, source, target)
+        return f"{folder.rstrip('/')}/{name}"
+    except Exception:  # noqa: BLE001  best effort
+        return None

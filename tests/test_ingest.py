@@ -43,3 +43,38 @@ def test_job_stream(spark, tmp_path):
     assert [r.document_id for r in seen] == ["a"]
     events = spark.createDataFrame([(1, 1, "queued"), (1, 2, "running"), (1, 2, "complete"), (2, 1, "queued")], "job_id int, at int, status string")
     assert {r.job_id: r.status for r in jobs.job_states(events).collect()} == {1: "complete", 2: "queued"}
+
+
+def test_jobs_from_file_to_relations(spark, tmp_path):
+    from ledgerloom.plans import service
+    from ledgerloom.sources import storage
+
+    folder, root = tmp_path / "in", str(tmp_path / "lake")
+    folder.mkdir()
+
+    def said(value):
+        return f"Revenue from operations was INR {value} crore in FY24, up 12% on the year.".encode()
+
+    def provider(prompt):
+        value = prompt.split("INR ")[1].split(" crore")[0]
+        return json.dumps([{"page_no": 1, "entity": "Acme", "metric": "Revenue", "value": value, "unit": "INR crore", "period": "FY24", "quote": f"INR {value} crore in FY24"}])
+
+    (folder / "a.pdf").write_bytes(said("1,200"))
+    handle = service.handler(spark, [provider], root)
+    batch = spark.createDataFrame([(str(folder / "a.pdf"),)], "path string")
+    handle(batch, 0)
+    (folder / "b.pdf").write_bytes(said("1,205"))
+    second = spark.createDataFrame([(str(folder / "b.pdf"),)], "path string")
+    assert service.submit(second, lambda _: 1 / 0, handle, 1) == "inline"
+    handle(second, 1)  # delivered again
+    handle(batch, 2)  # the same bytes in a later batch
+    relations = service.state(spark, root, "relations", service.RELATIONS).collect()
+    assert [(r.relation_type, r.run_id) for r in relations] == [("corroborates", 2)]
+    assert {r.job_id: r.status for r in service.states(spark, root).collect()} == {"a": "complete", "b": "complete"}
+    assert service.facts(spark, root).where("is_active").count() == 2
+    assert service.evaluation(spark, root).count() == 1
+    service.reprocess(spark, str(folder), [provider], root)
+    found = service.facts(spark, root).collect()
+    assert sorted((r.document_id, r.document_version, r.is_active) for r in found) == [("a", 1, False), ("a", 2, True), ("b", 1, False), ("b", 2, True)]
+    assert storage.ensure_folder(spark, f"{root}/store") and storage.put(spark, str(folder / "a.pdf"), f"{root}/store", "a.pdf") == f"{root}/store/a.pdf"
+    assert storage.put(spark, str(folder / "none.pdf"), f"{root}/store", "x") is None
