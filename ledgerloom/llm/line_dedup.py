@@ -15,7 +15,7 @@ when they equal the first occurrence's byte for byte.  Every removed line so has
 earlier, and the earliest always stays.
 
 Only functions of DataFrames are used.  Rows of windows carry no text.  First occurrences' lines are
-exported once for each stretch of windows that repeats them at one distance.  Texts are shuffled
+exported once for each range of them that a text repeats.  Texts are shuffled
 only where a bitmap filter of bounded size says that the document exports or loses lines.
 
 Defined cases: a null text stays null; an empty text stays; rows equal in doc_id and text share one
@@ -85,9 +85,9 @@ def _windows(keyed: DataFrame) -> DataFrame:
 
 
 def _stretches(windows: DataFrame) -> DataFrame:
-    """(_id, _hash, first_id, first_hash, shift, low, high, parts): windows that repeat one first text at one distance.
+    """(_id, _hash, first_id, first_hash, low, high, parts): the windows of a text that repeat one first text.
 
-    Line i of the text repeats line i - shift of the first; low to high are the first's lines to export.
+    Parts are (start, n, first_start); low to high are the first's lines to export.
     """
     # by longs alone first, which hash aggregation takes; few windows are left for the full order
     repeated = windows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("least")).where("times > 1").select("chunk", "least")
@@ -95,8 +95,8 @@ def _stretches(windows: DataFrame) -> DataFrame:
     firsts = places.where("_id = least").groupBy("chunk").agg(F.min(F.struct("_hash", "start")).alias("first"))
     firsts = firsts.select("chunk", F.col("first._hash").alias("first_hash"), F.col("first.start").alias("first_start"))
     later = places.join(firsts, "chunk").where("NOT (_id = least AND _hash = first_hash AND start = first_start)")
-    found = later.groupBy(*_KEY, F.col("least").alias("first_id"), "first_hash", (F.col("start") - F.col("first_start")).alias("shift")).agg(
-        F.min("first_start").alias("low"), F.max(F.expr("first_start + n - 1")).alias("high"), F.collect_set(F.struct("start", "n")).alias("parts")
+    found = later.groupBy(*_KEY, F.col("least").alias("first_id"), "first_hash").agg(
+        F.min("first_start").alias("low"), F.max(F.expr("first_start + n - 1")).alias("high"), F.collect_set(F.struct("start", "n", "first_start")).alias("parts")
     )
     found = materialize(found, "stretches")
     discard(places)
@@ -115,12 +115,11 @@ def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     exported = _with_lines(sources.select(*first, F.col("_row.text").alias("_text")).dropDuplicates(first).join(wanted, first), "_text")
     exported = exported.select(*first, F.inline_outer(F.expr("transform(_wanted, w -> struct(w.low AS low, w.high AS high, transform(sequence(w.low, w.high), i -> get(_lines, i)) AS same))")))
     later = stretches.join(exported, [*first, "low", "high"])
-    lists = materialize(later.groupBy(*_KEY).agg(F.collect_list(F.struct("shift", "low", "same", "parts")).alias("_later")), "later")
+    lists = materialize(later.groupBy(*_KEY).agg(F.collect_list(F.struct("low", "same", "parts")).alias("_later")), "later")
     discard(stretches)
     losing, rest = native_split(keyed, lists, _KEY)
     df = _with_lines(losing.join(lists, _KEY, "left"), "_row.text")
-    # line i of the text is line i - shift - low of the exported ones
-    equal = "filter(x.parts, p -> forall(sequence(p.start, p.start + p.n - 1), i -> get(_lines, i) = get(x.same, i - x.shift - x.low)))"
+    equal = "filter(x.parts, p -> forall(sequence(0, p.n - 1), i -> get(_lines, p.start + i) = get(x.same, p.first_start - x.low + i)))"
     df = df.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_later, x -> flatten(transform({equal}, p -> sequence(get(_at, p.start), get(_at, p.start + p.n - 1)))))))"))
     df = df.withColumn("_kept", F.expr("if(coalesce(size(_gone), 0) <= 0, NULL, array_except(sequence(0, size(_units) - 1), _gone))"))
     text = F.expr("if(_kept IS NULL, _row.text, array_join(transform(_kept, i -> get(_units, i)), ''))")
