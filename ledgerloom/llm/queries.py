@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import iblt, jaccard, line_dedup, media, packing, pieces, quality, secret_scan, url_lists, warc
+from ledgerloom.llm import iblt, jaccard, line_dedup, media, ordered_packing, packing, pieces, prefix_trie, quality, secret_scan, structure_repair, url_lists, warc
 from ledgerloom.llm.runtime import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -131,5 +132,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_iblt, op4_packing, op5_url_filters, op6_jaccard, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL}
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda x, b: list_reduce(list_concat([xor(x, b)], range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))))"""
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(conversations(spark, sf_dir))
+
+
+OP11_SQL = f"""
+WITH kept AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS turns FROM kept GROUP BY conv_id
+),
+shared AS (SELECT *, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base FROM own),
+made AS (
+    SELECT a.conv_id AS c, list_concat(coalesce(b.turns, [])[1:h], a.turns[h + 1:]) AS turns FROM shared a LEFT JOIN own b ON b.conv_id = a.base
+),
+prefixes AS (SELECT c, turns, CAST(unnest(range(0, len(turns) + 1)) AS BIGINT) AS depth FROM made),
+nodes AS (
+    SELECT depth, turns[1:depth] AS prefix, min(c) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(turns) = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY ALL
+),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+children AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL),
+counted AS (
+    SELECT l.*, coalesce(k.n, 0) AS n_children,
+        CASE WHEN l.depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(prefix[l.depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own_saved
+    FROM linked l LEFT JOIN children k ON k.depth = l.depth AND k.conv_id = l.conv_id
+),
+up AS (SELECT prefix[1:d] AS prefix, n_children, own_saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted)),
+sums AS (SELECT prefix, count_if(n_children = 0) AS n_leaves, CAST(sum(own_saved) AS BIGINT) AS saved_tokens FROM up GROUP BY prefix)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, saved_tokens, ends_sha256 FROM counted JOIN sums USING (prefix)
+"""
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(conversations(spark, sf_dir))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_packing.pack_in_order(documents(spark, sf_dir), WORDS)
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_iblt, op4_packing, op5_url_filters, op6_jaccard, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality, op11_prefix_trie, op12_structure_repair, op13_packing)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op11_prefix_trie": OP11_SQL}

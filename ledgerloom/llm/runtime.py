@@ -10,12 +10,13 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.sources.storage import materialize, new_path, shared_folder
 
-__all__ = ["arrow_map", "discard", "documents", "id_and_text", "importable", "materialize", "new_path", "shared_folder", "slices", "where_computed"]
+__all__ = ["arrow_map", "discard", "documents", "id_and_text", "importable", "materialize", "new_path", "numbered", "shared_folder", "slices", "where_computed"]
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -39,6 +40,22 @@ def where_computed(df: DataFrame, condition: str) -> DataFrame:
     return df.withColumn("_fence", F.monotonically_increasing_id()).where(f"({condition}) AND _fence >= 0").drop("_fence")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with the number from 1 of each row in its group, in ``order``; a large group is spread over tasks.
+
+    Rows are dealt out by ranges of (keys, order), numbered within a range, and the counts of the ranges before are added.
+    """
+    dealt = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")  # ranges are drawn from a sample, so they are drawn once
+    counts = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    joined = inside.join(counts, [F.col("_range") == F.col("_r"), *same])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(name))
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     env = spark.sparkContext.environment
