@@ -31,7 +31,7 @@ import struct
 import unicodedata
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ MOST_WORDS = 700_000
 MOST_TABLE = 64 << 20  # bytes of the words and ids that a worker's table holds
 #: The tokenizer's pattern of parts, for lower-case texts below U+0250.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
+ID = struct.Struct("<I").pack
 ENDS = set(".!?。！？")
 #: These are white space to ``str.split`` and not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -60,8 +61,21 @@ def _bytes_as_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Table(dict):
+    """Parts and their ids; a part that is asked for the first time is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.held = encode, 0
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = self.encode(part)
+        self.held += 4 * len(part) + len(ids)
+        return ids
+
+
 class Words:
-    """Token ids, as little-endian 32-bit bytes, of texts by a table of the words met so far."""
+    """Token ids, as little-endian 32-bit bytes, of texts by a table of the parts met so far."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,8 +97,7 @@ class Words:
         self.empty_table()
 
     def empty_table(self) -> None:
-        self.table: dict[str, bytes] = {}
-        self.held = 0
+        self.table = Table(self.of)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -99,7 +112,7 @@ class Words:
             return self.whole(part)
         body = part.lower()
         tokens = self.model.tokenize(body if body.isascii() else body.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return b"".join([ID(t.id) for t in tokens])
 
     def parts(self, text: str) -> list[str] | None:
         if any(s in text for s in SEPARATORS):
@@ -107,17 +120,13 @@ class Words:
         return PARTS.findall(text.lower()) if self.low(text) and not any(a in text for a in self.added) else text.split()
 
     def code(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        met = set().union(*[c for c in cut if c])
-        new = met.difference(self.table)
-        if len(self.table) + len(new) > MOST_WORDS or self.held > MOST_TABLE:
+        if len(self.table) > MOST_WORDS or self.table.held > MOST_TABLE:
             self.empty_table()
-            new = met
-        for part in new:
-            self.table[part] = ids = self.of(part)
-            self.held += 4 * len(part) + len(ids)
-        find = self.table.__getitem__
-        return [b"".join(map(find, c)) if c is not None else self.whole(t) for c, t in zip(cut, texts)]
+        find, out = self.table.__getitem__, []
+        for text in texts:
+            parts = self.parts(text)
+            out.append(b"".join(map(find, parts)) if parts is not None else self.whole(text))
+        return out
 
 
 def words_of(path: str) -> Words:

@@ -5,13 +5,16 @@ end, so that every piece but the first is full.  The packing works on the histog
 lengths, which has at most ``capacity`` entries however large the corpus is.
 
 The linear program has a variable for each configuration (a multiset of lengths that fits one
-sequence) and a row for each length.  Multiplicative weights solve it until at most ``GAP`` of the
-tokens is uncovered at the lower bound of sequences (or for ``MOST_ROUNDS``), and a knapsack dynamic
-program over the capacity prices configurations.  The solution is rounded so that running totals are
-kept; configurations for which a length runs out are left out, and the program is solved again for
-the pieces that remain, ``PASSES`` times in all.  Best fit decreasing then places the last pieces, into
-the room left in those sequences first.  The plan is a list of configurations with multiplicities,
-whose number doesn't grow with the corpus.
+sequence) and a row for each length.  Multiplicative weights hold a price for each length, which starts a
+little more than in proportion to the length, so that of equally full configurations those of long pieces are dearer.
+A round covers all pieces by these prices: for the longest piece left, a knapsack dynamic program over the capacity
+finds the dearest configuration that holds it, which is taken as often as the pieces allow, and lengths are
+priced anew when one that is wanted has run out.  Then the prices of lengths that lie in badly filled sequences rise.  A
+round's cover is in whole numbers already: the rounds' average solves the program, and it is rounded to its best
+round, whose worse filled sequences best fit may deal out again.  Rounds end at a gap of ``GAP`` to the lower bound,
+which is the largest of tokens over capacity and the rounds' prices over that of their dearest
+configuration, or after ``ROUNDS``.  Should best fit alone need fewer sequences still, its cover stands.  The plan is
+a list of configurations with multiplicities, whose number doesn't grow with the corpus.
 
 Pieces then get a rank within their length (a window over length and a salt, so that one common
 length is not one task, plus the count of the salts before) and the rank is looked up in the plan.
@@ -25,6 +28,8 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
+import math
 import os
 import struct
 import zlib
@@ -41,8 +46,7 @@ from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize, slices
 
 MOST_WORDS = 400_000
 MOST_TABLE = 64 << 20  # bytes of the words and ids that a worker's table holds
-WIDTH, RATE, SLACK, GAP, MOST_ROUNDS = 2.0, 0.5, 0.03, 0.05, 24  # of the linear program
-MOST_TARGETS, PASSES = 4, 3
+POWER, RATE, GAP, ROUNDS = 1.05, 0.1, 0.001, 4  # of the linear program
 _coders: dict[tuple, WordCoder] = {}
 
 
@@ -53,7 +57,8 @@ class WordCoder:
     letter, so a text may be cut before every single space between two other characters and each
     word encoded once.  A word that begins or ends with white space (from runs of it) breaks that
     rule, and its text is encoded whole.  ``ranks`` (path and split pattern) names the same
-    vocabulary in rank form, which encodes single words faster; words that hold an added token's
+    vocabulary in rank form, which encodes single words faster (that tokens and merges are the same is
+    checked when a worker loads them); words that hold an added token's
     string always go to the tokenizer itself.
     """
 
@@ -69,10 +74,21 @@ class WordCoder:
 
             with open(ranks[0], "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.same_vocabulary(table)
             self.by_rank = tiktoken.Encoding("words", pat_str=ranks[1], mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.table: dict[str, bytes | None] = {}
         self.held = 0  # bytes of the words and ids in the table
 
+    def same_vocabulary(self, table: dict[bytes, int]) -> None:
+        """Raise unless the ranks are the tokenizer's own tokens and merges: then merging by rank is merging in the model's order."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        tokens = {bytes(map(letters.__getitem__, t)): i for t, i in model["vocab"].items() if t not in self.added}
+        merged = [tokens[bytes(map(letters.__getitem__, "".join(m if isinstance(m, list) else m.split(" "))))] for m in model["merges"]]
+        if tokens != table or merged != sorted(merged):
+            raise ValueError("the ranks are not the tokenizer's vocabulary")
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -162,79 +178,48 @@ def configuration(first: int, taken: np.ndarray, capacity: int) -> Counter:
     return made
 
 
-def linear_program(counts: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
-    """Configurations with fractional amounts, and the share of the tokens that they leave uncovered.
-
-    They number as many as the lower bound, tokens over capacity, or where too much stays uncovered by as
-    many more as that share asks for.
-    """
-    lengths = np.flatnonzero(counts)
-    target = float((lengths * counts[lengths]).sum() / capacity)
-    for _ in range(MOST_TARGETS):
-        amounts, left = weighted(counts, lengths, target, capacity)
-        if left <= GAP:
-            break
-        target /= 1 - left
-    return amounts, left
-
-
-def weighted(counts: np.ndarray, lengths: np.ndarray, target: float, capacity: int) -> tuple[dict[tuple, float], float]:
-    """``target`` sequences that cover the lengths as evenly as multiplicative weights find.
-
-    Each round covers lengths by weight, none of them more than ``WIDTH`` times; then a length's weight
-    falls as far as it was covered too often and rises as far as too seldom, and the rounds' average is
-    the solution.  Inside a round the knapsack prices configurations, and those near the best are
-    taken in turn until a length is used up, when lengths are priced anew.
-    """
-    held = counts[lengths].astype(float)
-    weights = np.zeros(capacity + 1)
-    weights[lengths] = lengths / capacity
-    covered, amounts, left = np.zeros(capacity + 1), Counter(), 1.0
-    for rounds in range(1, MOST_ROUNDS + 1):
-        quota, step, mass = np.zeros(capacity + 1), np.zeros(capacity + 1), target
-        quota[lengths] = WIDTH * held
-        while mass > 1e-9 and len(alive := lengths[quota[lengths] > 1e-9]):
-            best, taken = priced(weights, alive, capacity)
-            values = weights[alive] + best[capacity - alive]
-            order = np.argsort(-values, kind="stable")
-            for first in alive[order[values[order] >= (1 - SLACK) * values[order[0]]]]:
-                made = configuration(int(first), taken, capacity)
-                amount = min(mass, min(quota[length] / n for length, n in made.items()))
-                if amount > 1e-9:
-                    for length, n in made.items():
-                        quota[length] -= n * amount
-                        step[length] += n * amount
-                    amounts[tuple(sorted(made.items(), reverse=True))] += amount
-                    mass -= amount
-        covered += step
-        weights[lengths] *= np.exp(-RATE * (step[lengths] / held - 1))
-        weights /= weights.max()
-        left = float((np.maximum(0, 1 - covered[lengths] / rounds / held) * lengths * held).sum() / (lengths * held).sum())
-        if left <= GAP:
-            break
-    return {made: amount / rounds for made, amount in sorted(amounts.items(), reverse=True)}, left
-
-
-def rounded(amounts: dict[tuple, float], left: np.ndarray, cut: bool) -> Plan:
-    """Whole amounts whose running totals are those of the solution rounded; their pieces are taken from ``left``.
-
-    Where a length runs out, configurations are cut or, unless ``cut``, left out.
-    """
-    plan, total, whole = [], 0.0, 0
-    for made, amount in amounts.items():
-        total += amount
-        n = int(total + 0.5) - whole
-        whole += n
-        while n:
-            config = {length: min(x, int(left[length])) for length, x in made if left[length]}
-            if not config or not cut and config != dict(made):
-                break
-            times = min(n, min(int(left[length]) // x for length, x in config.items()))
-            for length, x in config.items():
-                left[length] -= times * x
-            plan.append((config, times))
-            n -= times
-    return plan
+def cover(counts: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[Plan, float]:
+    """Configurations that use every piece, the dearest first for each length from the longest, and the program's lower bound by these prices."""
+    left, plan, length, bound, taken = counts.copy(), [], capacity, 0.0, None
+    while left.any():
+        while not left[length]:
+            length -= 1
+        if taken is None:
+            best, taken = priced(prices, np.flatnonzero(left), capacity)
+            bound = bound or float((prices * counts).sum() / best[capacity])
+        made = configuration(length, taken, capacity)
+        if not all(left[k] for k in made):
+            taken = None  # priced with a length that has run out
+            continue
+        made = {k: min(x, int(left[k])) for k, x in made.items()}
+        times = min(int(left[k]) // x for k, x in made.items())
+        for k, x in made.items():
+            left[k] -= times * x
+        plan.append((made, times))
+    return plan, bound
+
+
+def fill(config: dict[int, int]) -> int:
+    return sum(length * x for length, x in config.items())
+
+
+def refilled(plan: Plan, counts: np.ndarray, capacity: int) -> Plan:
+    """The plan with its sequences that lack more than a 256th dealt out again by best fit."""
+    kept, left = [(config, n) for config, n in plan if 256 * (capacity - fill(config)) <= capacity], counts.copy()
+    for config, n in kept:
+        for length, x in config.items():
+            left[length] -= n * x
+    return best_fit(kept, left, capacity)
+
+
+def dearer(prices: np.ndarray, plan: Plan, capacity: int) -> np.ndarray:
+    """Prices raised by the share of room that a length's sequences leave empty."""
+    empty, pieces = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    for config, n in plan:
+        for length, x in config.items():
+            empty[length] += n * x * (1 - fill(config) / capacity)
+            pieces[length] += n * x
+    return prices * np.exp(RATE * np.divide(empty, pieces, out=np.zeros(capacity + 1), where=pieces > 0))
 
 
 def best_fit(plan: Plan, counts: np.ndarray, capacity: int) -> Plan:
@@ -261,18 +246,36 @@ def best_fit(plan: Plan, counts: np.ndarray, capacity: int) -> Plan:
     return [(dict(config), n) for made in groups.values() for config, n in made]
 
 
-def planned(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
-    """Configurations with multiplicities that use every length exactly as often as the histogram says, and how many sequences of them the linear program began."""
+def planned(histogram: dict[int, int], capacity: int) -> tuple[Plan, float, int]:
+    """Configurations with multiplicities that use every length exactly as often as the histogram says, the program's lower bound, and how many sequences are the rounds' own."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     full: Plan = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
-    counts[capacity] = 0
-    plan: Plan = []
-    for again in range(PASSES):
-        if counts.any():
-            plan += rounded(linear_program(counts, capacity)[0], counts, cut=again == PASSES - 1)
-    return full + best_fit(plan, counts, capacity), sum(n for _, n in plan)
+    n_full, counts[capacity] = int(counts[capacity]), 0
+    if not counts.any():
+        return full, float(n_full), n_full
+
+    def needed(plan: Plan) -> int:
+        return sum(n for _, n in plan)
+
+    lengths = np.arange(capacity + 1)
+    prices, bound = (lengths / capacity) ** POWER, float((lengths * counts).sum() / capacity)
+    best = by_rounds = None
+    for _ in range(ROUNDS):
+        plan, own = cover(counts, prices, capacity)
+        bound = max(bound, own)
+        for made in (plan, refilled(plan, counts, capacity)):
+            if best is None or needed(made) < needed(best):
+                best, by_rounds = made, plan
+        if needed(best) <= max(math.ceil(bound - 1e-6), (1 + GAP) * bound):
+            break
+        prices = dearer(prices, plan, capacity)
+    alone = best_fit([], counts, capacity)
+    if needed(alone) < needed(best):
+        return full + alone, n_full + bound, n_full
+    began = needed(best) if best is by_rounds else sum(n for config, n in by_rounds if 256 * (capacity - fill(config)) <= capacity)
+    return full + best, n_full + bound, n_full + began
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:

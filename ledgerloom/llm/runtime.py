@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.sources.storage import materialize, new_path, shared_folder
 
-__all__ = ["arrow_map", "discard", "documents", "id_and_text", "importable", "materialize", "new_path", "numbered", "shared_folder", "slices", "where_computed"]
+__all__ = ["arrow_map", "discard", "documents", "id_and_text", "importable", "materialize", "new_path", "numbered", "shared_folder", "slices", "unused", "where_computed"]
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -32,12 +32,21 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def where_computed(df: DataFrame, condition: str) -> DataFrame:
     """``df.where`` on columns that are costly to compute: the optimizer doesn't repeat them in a pushed-down filter.
 
     A filter isn't pushed below a projection with a non-deterministic column; its value doesn't matter here.
     """
-    return df.withColumn("_fence", F.monotonically_increasing_id()).where(f"({condition}) AND _fence >= 0").drop("_fence")
+    fence = unused(df, "_fence")
+    return df.withColumn(fence, F.monotonically_increasing_id()).where(f"({condition}) AND {fence} >= 0").drop(fence)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -98,3 +98,23 @@ def test_one_row_of_each_component_stays(spark):
     rest = sorted((r for r in left if r not in fixed), key=str)
     assert sorted((r for r in left if r in fixed), key=str) == sorted(fixed, key=str)
     assert len(rest) == 2 and rest[0][0] == 5 and rest[0][1] in (texts[5], near[5]) and rest[1][0] is None and rest[1][1] in (texts[4], near[4])
+
+
+HELPERS = (
+    "_text _base _runs _candidates _scores _prose _spans spans _row _fence _fence_ _own _nth nth g_id g_hash b_id text_hash component_key component_id times _id _hash _units _bare _lines _at _later _gone _kept _wanted "
+    "_windows chunk start n first_id first_hash low high parts _bucket _bit _bits _maybe score predicted held_out x y n_removed found key rest"
+).split()
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Each stage gives back every column with its value, whatever its name, and so does a map column."""
+    rows = [(i, t) for i, t in corpus()[:40]] + [(1, corpus()[1][1])]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *HELPERS]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), *[f"{c}:{d}" for c in HELPERS]) for d, t in rows], ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in columns))
+    docs = docs.withColumn("pairs", corpus_pipeline.F.create_map("lang", "source"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns and left.schema["pairs"] == docs.schema["pairs"], name
+        found = left.collect()
+        assert found and all(r[c] == f"{c}:{r.doc_id}" for r in found for c in HELPERS) and all(r.pairs == {"en": "s"} for r in found), name

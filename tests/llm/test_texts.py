@@ -143,7 +143,7 @@ def test_plan_uses_every_piece(histogram):
             used[length] += n * x
     assert used == Counter(histogram)
     counts = np.array([histogram.get(i, 0) for i in range(65)])
-    assert sum(n for _, n in plan) <= 1.02 * sum(n for _, n in packing.best_fit([], counts, 64)) + len(histogram)
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit([], counts, 64))
 
 
 @pytest.mark.parametrize("times", [1, 25, 100_000])
@@ -151,10 +151,30 @@ def test_plan_is_the_linear_programs(times):
     draw = np.random.default_rng(6)
     lengths = np.concatenate([draw.integers(1, 1025, 6000), np.minimum(draw.geometric(0.004, 4000), 1024)])
     histogram = {int(k): int(n) * times for k, n in zip(*np.unique(lengths, return_counts=True))}
-    plan, begun = packing.planned(histogram, 1024)
+    plan, bound, began = packing.planned(histogram, 1024)
     total, full = sum(n for _, n in plan), histogram.get(1024, 0)
-    assert begun >= 0.95 * (total - full)
-    assert total <= 1.01 * -(-sum(k * n for k, n in histogram.items()) // 1024)
+    counts = np.array([histogram.get(i, 0) for i in range(1025)])
+    assert began - full >= 0.95 * (total - full)
+    assert total <= sum(n for _, n in packing.best_fit([], counts, 1024))
+    assert sum(k * n for k, n in histogram.items()) / 1024 <= bound <= total <= max(np.ceil(bound), 1.001 * bound)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), min_size=1, max_size=4))
+def test_bound_is_below_every_packing(histogram):
+    """The prices' bound against the least number of sequences by exhaustive search."""
+    pieces = sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True)
+    plan, bound, _ = packing.planned(histogram, 12)
+
+    def fits(n, rooms=None, at=0):
+        rooms = rooms or [12] * n
+        if at == len(pieces):
+            return True
+        return any(fits(n, [*rooms[:i], rooms[i] - pieces[at], *rooms[i + 1 :]], at + 1) for i in {r: i for i, r in enumerate(rooms)}.values() if rooms[i] >= pieces[at])
+
+    total = sum(n for _, n in plan)
+    least = next(n for n in range(1, total + 1) if fits(n))
+    assert bound <= least + 1e-6 and total <= least + 1
 
 
 def test_tables_are_bounded_by_bytes(monkeypatch):
