@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm import jaccard, line_dedup, packing, quality, queries, secret_scan
-from ledgerloom.llm.runtime import materialize, where_computed
+from ledgerloom.llm.runtime import materialize, unused, where_computed
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     if not rows.where("nth = 1").limit(1).count():
         return of(rows, "left_anti")
-    again = of(rows.where("nth = 1"), "left_semi").withColumn("_own", own)
-    one = again.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])))
-    return of(rows, "left_anti").unionByName(one.where("_nth = 1").select(*docs.columns))
+    again, row, nth = of(rows.where("nth = 1"), "left_semi"), unused(docs, "_row"), unused(docs, "_nth")
+    # equal rows of one doc_id and text are alike in the result; others go by what can be compared of them
+    rest = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(*(rest or [F.lit(0)]))
+    one = again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.row_number().over(first).alias(nth)).where(F.col(nth) == 1)
+    return of(rows, "left_anti").unionByName(one.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
