@@ -1,9 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its non-blank lines; a line over ``LONG_PARAGRAPH`` characters is cut after
-sentence ends, and where this gives fewer than ``FEWEST`` all lines are, then also after commas, then
-after words, so that the versions of a short text share paragraphs as well.  Each distinct paragraph has a 64-bit digest, and a sketch holds every digest in one
-cell of each of three sub-tables: a count, the digests' exclusive or and the exclusive or of check
+A text's paragraphs are stretches of words that end where the content says: at a line's end, after a word with
+a punctuation mark at its end, and after a word whose last character has a code point divisible by ``EVERY``.  This
+one rule cuts texts of all sizes, so that two versions of a text share the paragraphs outside the changed
+place and one on either side of it.  White space inside a paragraph doesn't count.  Each distinct paragraph has a 64-bit digest, and a
+sketch holds every digest in one cell of each of three sub-tables: a count, the digests' exclusive or and the exclusive or of check
 words.  Subtracting two sketches cancels what both texts hold; peeling takes cells with a single
 digest left until none remain, which recovers the digests on either side.  When peeling leaves a
 non-empty cell, both sketches are made again four times larger, as often as it takes: with many more
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,31 +37,23 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.runtime import arrow_map, id_and_text, importable, slices
 
-LONG_PARAGRAPH = 240
 CELLS = 24  # of the stored sketch: three sub-tables of eight
 GROWTH = 4
 AT_ONCE = 1 << 20  # cells held at once
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-FEWEST = 6
-_FINER = (_SENTENCE, re.compile(r"(?<=[.!?,;:])\s+"), re.compile(r"\s+"))
+EVERY = 4
+ENDS = frozenset(".!?,;:…。！？，、；：")
 
 
-def _cut(text: str, ends: re.Pattern, longest: int) -> list[str]:
+def paragraphs(text: str) -> list[str]:
     found = []
     for line in text.split("\n"):
-        if len(line) > longest:
-            found += ends.split(line)
-        else:
-            found.append(line)
-    return [p for p in map(str.strip, found) if p]
-
-
-def paragraphs(text: str) -> list[str]:
-    found = _cut(text, _SENTENCE, LONG_PARAGRAPH)
-    for ends in _FINER:
-        if len(found) >= FEWEST:
-            break
-        found = _cut(text, ends, 0)
+        words, start = line.split(), 0
+        for i, word in enumerate(words, 1):
+            if ord(word[-1]) % EVERY == 0 or word[-1] in ENDS:
+                found.append(" ".join(words[start:i]))
+                start = i
+        if start < len(words):
+            found.append(" ".join(words[start:]))
     return found
 
 
@@ -148,9 +140,12 @@ def sketch(sets: list[np.ndarray], n_cells: int) -> Sketches:
 def differences(left: list[np.ndarray], right: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair the digests of the left side only and of the right side only, by subtracting and peeling."""
     out: list = [None] * len(left)
+    # a difference is no smaller than that of the numbers of digests; cells for less than that can't be peeled
+    least = np.array([abs(len(a) - len(b)) for a, b in zip(left, right)])
     todo, n_cells = np.arange(len(left)), CELLS
     while len(todo):
-        failed = []
+        failed = [todo[least[todo] > n_cells]]
+        todo = todo[least[todo] <= n_cells]
         step = max(1, AT_ONCE // n_cells)
         for part in (todo[i : i + step] for i in range(0, len(todo), step)):
             rest = sketch([left[i] for i in part], n_cells).minus(sketch([right[i] for i in part], n_cells))

@@ -177,9 +177,90 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repaired(conversations(spark, sf_dir))
 
 
+def _repair_sql() -> str:
+    """The repair as a dynamic program over rows: a layer holds the best (cost, audit) of each state of the roles' grammar."""
+
+    def step(state: str, cost: str, letter: str, when: str = "true") -> str:
+        return f"CASE WHEN {when} AND {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END"
+
+    def least(*states: str) -> str:
+        return f"list_min([{', '.join(states)}])"
+
+    inserted = {
+        "t0": "s0",
+        "t1": "s1",
+        "t2": least("s2", step("s0", "3", "I"), step("s1", "3", "I"), step("s3", "3", "I")),
+        "t3": least("s3", step(least("s2", step("s0", "3", "I"), step("s1", "3", "I"), step("s3", "3", "I")), "3", "I")),
+    }
+    sound, extra = "f NOT IN ('b', 'd')", "CASE WHEN f = 't' THEN 3 ELSE 0 END"
+
+    def deleted(state: str) -> str:
+        return step(state, "4", "D")
+
+    def rerolled(state: str) -> str:
+        return step(state, f"3 + {extra}", "R", sound)
+
+    def kept(state: str, initial: str) -> str:
+        return step(state, extra, "K", f"{sound} AND i = '{initial}'")
+
+    following = [
+        deleted("t0"),
+        least(deleted("t1"), kept("t0", "s")),
+        least(deleted("t2"), rerolled("t0"), rerolled("t1"), rerolled("t3"), kept("t0", "u"), kept("t1", "u"), kept("t3", "u")),
+        least(deleted("t3"), rerolled("t2"), kept("t2", "a")),
+    ]
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR))"
+    return f"""
+WITH RECURSIVE known AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM known
+),
+faulted AS (
+    SELECT *, CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE ' ' END AS f
+    FROM damaged
+),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), f = 'd') AS k FROM faulted),
+sums AS (
+    SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(f = 'b') AS blank, count_if(f = 'd') AS duplicate, count_if(f = 't') AS truncated, max(k) AS n
+    FROM rows_ GROUP BY conv_id
+),
+pairs AS (SELECT conv_id, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i AS pair FROM rows_) GROUP BY conv_id),
+layers AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS k, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS t0, {none} AS t1, {{'c': CAST(3 AS BIGINT), 'a': 'I'}} AS t2, {{'c': CAST(6 AS BIGINT), 'a': 'II'}} AS t3 FROM sums
+    UNION ALL
+    SELECT conv_id, k, {', '.join(inserted.values())} FROM (
+        SELECT r.conv_id, r.k, {', '.join(f"{x} AS s{n}" for n, x in enumerate(following))} FROM layers l JOIN rows_ r ON r.conv_id = l.conv_id AND r.k = l.k + 1
+    )
+),
+best AS (SELECT l.conv_id, list_min([t0, t3]) AS b FROM layers l JOIN sums s ON s.conv_id = l.conv_id AND l.k = s.n),
+letters AS (SELECT conv_id, unnest(string_split(b.a, '')) AS x, unnest(range(1, length(b.a) + 1)) AS p FROM best WHERE b.a <> ''),
+placed AS (
+    SELECT conv_id, x, p, count_if(x <> 'I') OVER w AS k, count_if(x <> 'D') OVER w AS j FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+),
+roled AS (
+    SELECT q.conv_id, p, x, r.role, r.text, j - max(CASE WHEN x = 'K' AND r.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS j
+    FROM placed q LEFT JOIN rows_ r ON r.conv_id = q.conv_id AND r.k = q.k AND q.x <> 'I' WHERE x <> 'D'
+),
+repaired AS (
+    SELECT conv_id, string_agg(CASE x WHEN 'K' THEN role ELSE CASE WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS t FROM roled GROUP BY conv_id
+)
+SELECT c.conv_id, {', '.join(f'CAST(coalesce({x}, 0) AS BIGINT) AS {x}' for x in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, coalesce(b.c, 0) AS cost,
+    coalesce(b.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums USING (conv_id) LEFT JOIN pairs USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
+
+
+OP12_SQL = _repair_sql()
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_packing.pack_in_order(documents(spark, sf_dir), WORDS)
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_iblt, op4_packing, op5_url_filters, op6_jaccard, op7_line_dedup, op8_secrets, op9_sentencepiece, op10_quality, op11_prefix_trie, op12_structure_repair, op13_packing)}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL}
