@@ -60,13 +60,14 @@ def _first_match(text: Column, rules: list[tuple[Column, str]], otherwise: Colum
 
 
 def relation_type(name: Column) -> Column:
+    # fixed rules: words and their order
     s = F.lower(stripped(F.coalesce(name, F.lit(""))))
     words = (("review", "needs_review"), ("corroborat", "corroborates"), ("contradict", "contradicts"), ("reconcil", "reconcilable"))
     return _first_match(s, [(s.contains(w), n) for w, n in words], F.lit("unrelated"))
 
 
 def reason(name: Column) -> Column:
-    """The first rule that fits, in this order; else the name itself if it is a reason, else none."""
+    """The first rule that fits, in this fixed order; else the name itself if it is a reason, else none."""
     s = F.translate(F.lower(stripped(F.coalesce(name, F.lit("")))), "- ", "__")
     rules = [
         (s.contains("actual") & s.contains("estimat"), "actual_vs_estimate"),

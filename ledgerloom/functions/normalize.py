@@ -19,6 +19,7 @@ ENTITY_ALIASES = {
     "bajaj finance ltd": "bajaj finance",
     "bajaj finance limited": "bajaj finance",
 }
+#: Fixed pattern: what an entity's name may end with.
 LEGAL_SUFFIX = r"(?Ui)\b(ltd\.?|limited|corp\.?|corporation|inc\.?|incorporated|co\.?|company|pvt\.?|private)\b"
 METRIC_ALIASES = {
     "revenue": "revenue",
@@ -181,6 +182,7 @@ GEOGRAPHY_ALIASES = {
     "domestic": "domestic",
     "international": "international",
 }
+#: Fixed patterns of periods and values.
 FISCAL_YEAR = r"(?Ui)fy\s*'?(\d{2,4})"
 YEAR = r"(?U)\b((?:19|20)\d{2})\b"
 QUARTER = r"(?Ui)\bq([1-4])\b"

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.normalize import canonical_metric
 from ledgerloom.functions.text import NUMBER_IN_ANSWER, numbers, tokens
 from ledgerloom.functions.vectors import hashed_embedding
-from ledgerloom.operators import retrieve
+from ledgerloom.operators import model_stage, retrieve
+from ledgerloom.sources.storage import materialize
 
 #: Words of a question that hint at a metric.
 METRIC_HINTS = ("revenue", "profit", "ebitda", "gdp", "inflation", "eps", "margin", "aum", "npa")
@@ -27,6 +28,7 @@ Facts:
 
 Answer with a JSON object: {{"answer": "...", "cited_fact_ids": [1, 2]}}"""
 
+#: The fields of a cited fact.
 CITED = ("id", "document_id", "page_no", "entity", "metric", "value", "unit", "period", "scope", "geography", "reporting_basis", "quote", "evidence_status")
 
 
@@ -95,30 +97,42 @@ def allowed_numbers(facts: DataFrame) -> DataFrame:
     return facts.select(F.explode(each).alias("n")).agg(F.array_sort(F.collect_set("n")).alias("allowed"))
 
 
-def answer_question(facts: DataFrame, question: str, model: Callable[[str], dict] | None = None, k: int = QUESTION_K) -> DataFrame:
+def answer_question(facts: DataFrame, question: str, model: Callable[[str], object] | None = None, k: int = QUESTION_K) -> DataFrame:
     """One row: answer, unsupported, cited (array of facts).
 
-    At most k facts reach the driver for the prompt.  Without a model the answer lists the first five; ids that a
-    model cites are kept where they exist, and all facts are cited where none does.
+    At most k facts reach the driver for the prompt.  Without a model, or where it is down, the answer lists the first five
+    as they are.  Ids that a model cites are kept where they exist, and all facts are cited where none does; numbers of its
+    answer that no cited fact has are marked.  An answer that is no object is taken as its text.
     """
     if not question or not question.strip():
         raise ValueError("a question must not be blank")
     spark = facts.sparkSession
-    best = facts_for(facts, question, k).orderBy("rank").limit(k)
-    rows = best.collect()
-    line = "[{id}] {entity} | {metric} | {value} {unit} | {period}".format
-    listed = [line(**{f: r[f] if r[f] is not None else "" for f in ("id", "entity", "metric", "value", "unit", "period")}) for r in rows]
+    best = materialize(facts_for(facts, question, k), "best")  # at most k rows, read for the prompt, the citations and the numbers
+    rows = [r.asDict() for r in best.orderBy("rank").collect()]
+
+    def line(row: dict, *fields: str) -> str:
+        said = {f: "" if row.get(f) is None else str(row[f]) for f in fields}
+        return f"[{row['id']}] {said.pop('entity')} | {said.pop('metric')} | {said.pop('value')} {said.pop('unit')} | {said.pop('period')}" + "".join(f" | {f}: {v}" for f, v in said.items())
+
+    short = ("entity", "metric", "value", "unit", "period")
     said, cited = None, []
-    if model is not None:
-        reply = model(PROMPT.format(question=question, facts="\n".join(listed)))
-        said, cited = reply.get("answer"), [int(i) for i in reply.get("cited_fact_ids", [])]
-    if said is None:
-        said = "No model is available. Retrieved facts:\n" + "\n".join(listed[:5]) if rows else "No facts found."
-    schema = StructType([StructField("said", StringType())])
+    if model is not None and rows:
+        try:
+            reply = model(PROMPT.format(question=question, facts="\n".join(line(r, *short, "scope", "reporting_basis", "page_no", "quote") for r in rows)))
+        except (model_stage.TransientError, model_stage.QuotaError):
+            reply = None
+        if isinstance(reply, dict):
+            said, cited = str(reply.get("answer") or ""), {int(i) for i in reply.get("cited_fact_ids") or [] if str(i).isdigit()}
+        elif reply is not None:
+            said = str(reply)
+    by_model = said is not None
+    if not by_model:
+        said = "No model is available. Retrieved facts:\n" + "\n".join(line(r, *short) for r in rows[:5]) if rows else "No facts found."
     known = [r["id"] for r in rows if r["id"] in cited] or [r["id"] for r in rows]
     kept = best.where(F.col("id").isin(known)) if known else best.limit(0)
     columns = [c for c in CITED if c in facts.columns]
     citations = kept.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("cited"))
-    allowed = allowed_numbers(best)
-    row = spark.createDataFrame([(said,)], schema).join(allowed).join(citations)
-    return row.withColumn("_g", grounded(F.col("said"), F.coalesce("allowed", F.array().cast(ArrayType(StringType()))))).select("_g.*", "cited")
+    row = spark.createDataFrame([(said,)], StructType([StructField("said", StringType())])).join(allowed_numbers(kept)).join(citations)
+    none = F.array().cast(ArrayType(StringType()))
+    checked = grounded(F.col("said"), F.coalesce("allowed", none)) if by_model else F.struct(F.col("said").alias("answer"), none.alias("unsupported"))
+    return row.withColumn("_g", checked).select("_g.*", "cited")

@@ -115,3 +115,9 @@ def query_score(text: Column) -> Column:
 def document_chunks(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Pages to the chunks that go to extraction."""
     return top_chunks(chunks(candidate_pages(pages), separator), query_score(F.col("text")))
+
+
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks as their documents have them: by page, then by their number, which may have more digits than its text is padded to."""
+    number = F.regexp_extract("chunk_id", "_c([0-9]+)$", 1).cast("long")
+    return chunks.orderBy("document_id", "start_page", number)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions import coerce
 from ledgerloom.functions.normalize import canonical_unit, clean_entity
 from ledgerloom.operators import retrieve
+from ledgerloom.sources.storage import materialize
 
 #: Tolerances and unit families.
 SAME = 0.01
@@ -124,21 +125,26 @@ def compare_new_facts(new: DataFrame, facts: DataFrame, existing: DataFrame, mod
     fresh = found.withColumn("_pair", pair_key(F.col("fact_id"), F.col("cand_id"))).join(known, "_pair", "left_anti")
     first = Window.partitionBy("_pair").orderBy("fact_id", "rank")
     fresh = fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("fact_id", "cand_id", "rank")
+    fresh = materialize(fresh, "pairs")  # read for the settled and for the open pairs
     judged = classified(fresh, facts, new)
     settled = judged.where("relation_type IS NOT NULL").withColumn("source", F.lit("table"))
     open_pairs = judged.where("relation_type IS NULL")
     if model is None:
         answered = open_pairs.withColumns({"relation_type": F.lit("needs_review"), "confidence": F.lit(0.3), "reason": F.lit("none"), "source": F.lit("none")})
     else:
-        answered = model(open_pairs).withColumns({"relation_type": coerce.relation_type(F.col("relation_type")), "confidence": coerce.relation_confidence(F.col("confidence")), "reason": coerce.reason(F.col("reason")), "source": F.lit("model")})
+        said = model(open_pairs)
+        source = F.col("source") if "source" in said.columns else F.lit("model")
+        answered = said.withColumns({"relation_type": coerce.relation_type(F.col("relation_type")), "confidence": coerce.relation_confidence(F.col("confidence")), "reason": coerce.reason(F.col("reason")), "source": source})
     columns = [
         F.col("fact_id").alias("fact_a_id"),
         F.col("cand_id").alias("fact_b_id"),
         "relation_type",
         "confidence",
         "reason",
-        F.coalesce("a.quote", F.lit("")).alias("fact_a_evidence"),
-        F.coalesce("b.quote", F.lit("")).alias("fact_b_evidence"),
-        "source",
     ]
-    return settled.select(*columns).unionByName(answered.select(*columns)).where("relation_type <> 'unrelated'")
+
+    def evidence(df: DataFrame) -> list[Column]:
+        """The model's own evidence where it gives some."""
+        return [F.coalesce(F.col(f"fact_{x}_evidence") if f"fact_{x}_evidence" in df.columns else F.lit(None), F.col(f"{x}.quote"), F.lit("")).alias(f"fact_{x}_evidence") for x in "ab"]
+
+    return settled.select(*columns, *evidence(settled), "source").unionByName(answered.select(*columns, *evidence(answered), "source")).where("relation_type <> 'unrelated'")

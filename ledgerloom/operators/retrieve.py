@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.normalize import clean_entity
 from ledgerloom.functions.text import LEXICAL_FIELDS, fact_text, tokens
 from ledgerloom.functions.vectors import cosine
+from ledgerloom.sources.storage import materialize
 
 #: Fixed values of retrieval.
 VECTOR_K, LEXICAL_K, FINAL_K = 20, 20, 5
@@ -113,6 +114,42 @@ def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(scored, k)
 
 
+def bm25_pruned(queries: DataFrame, docs: DataFrame, k: int, leading: int = 3) -> DataFrame:
+    """``bm25_corpus`` by bounds on what a term can add, so that documents which can't be among the best are never scored.
+
+    Postings carry each document's weight for a term, and a term's greatest weight is its bound.  The ``leading`` terms
+    with the highest bounds give every query a k-th score to beat, at least.  Terms are then taken by ascending bound: those
+    whose bounds together stay below that score can't lift a document by themselves, so only documents with another
+    term are candidates, and of these only such whose score so far and the rest's bounds reach it.  Candidates alone get
+    the remaining terms.
+    """
+    asked = queries.select("fact_id", F.explode("_tokens").alias("token")).groupBy("fact_id", "token").agg(F.count(F.lit(1)).alias("qf"))
+    vocabulary = asked.select("token").distinct()
+    words = docs.select("cand_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token")).join(vocabulary, "token", "left_semi")
+    words = materialize(words.groupBy("cand_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "words")
+    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    shape = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tokens")).alias("avgdl"))  # one row
+    weighed = words.join(frequency, "token").join(F.broadcast(shape)).withColumn("qf", F.lit(1)).withColumn("w", bm25_term())
+    postings = materialize(weighed.select("token", "cand_id", "w"), "postings")
+    bounds = postings.groupBy("token").agg(F.max("w").alias("most"))
+    rising = Window.partitionBy("fact_id").orderBy("bound", "token")
+    terms = asked.join(bounds, "token").withColumn("bound", F.col("most") * F.col("qf"))
+    terms = terms.withColumn("below", F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    terms = materialize(terms.withColumn("nth", F.row_number().over(Window.partitionBy("fact_id").orderBy(F.col("bound").desc(), "token"))), "terms")
+    some = terms.where(F.col("nth") <= leading).join(postings, "token").groupBy("fact_id", "cand_id").agg(F.sum(F.col("w") * F.col("qf")).alias("part"))
+    least = some.withColumn("r", F.row_number().over(Window.partitionBy("fact_id").orderBy(F.col("part").desc()))).where(F.col("r") == k)
+    least = materialize(least.select("fact_id", (F.col("part") - 10.0**-DIGITS).alias("least")), "least")
+    held = terms.join(least, "fact_id", "left").withColumn("needed", F.coalesce(F.col("below") >= F.col("least"), F.lit(True)))
+    rest = held.where("NOT needed").groupBy("fact_id").agg(F.sum("bound").alias("rest"))
+    lifted = held.where("needed").join(postings, "token").groupBy("fact_id", "cand_id").agg(F.sum(F.col("w") * F.col("qf")).alias("part"), F.first("least").alias("least"))
+    chosen = lifted.join(rest, "fact_id", "left").where("least IS NULL OR part + coalesce(rest, 0D) >= least").select("fact_id", "cand_id", "part")
+    chosen = materialize(chosen, "chosen")
+    others = held.where("NOT needed").select("fact_id", "token", "qf")
+    more = chosen.select("fact_id", "cand_id").join(others, "fact_id").join(postings, ["token", "cand_id"]).groupBy("fact_id", "cand_id").agg(F.sum(F.col("w") * F.col("qf")).alias("more"))
+    scored = chosen.join(more, ["fact_id", "cand_id"], "left").select("fact_id", "cand_id", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"), F.lit(0).alias("tier"))
+    return ranked(scored, k)
+
+
 def fused(vector: DataFrame, lexical: DataFrame, new: DataFrame, facts: DataFrame, k: int = FINAL_K) -> DataFrame:
     """(fact_id, cand_id, score, rank): reciprocal ranks of both lists plus bonuses for equal fields."""
     both = vector.select("fact_id", "cand_id", F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("lexical_rank")).unionByName(
@@ -133,8 +170,10 @@ def fused(vector: DataFrame, lexical: DataFrame, new: DataFrame, facts: DataFram
 
 def candidates(new: DataFrame, facts: DataFrame, k: int = FINAL_K, vector_k: int = VECTOR_K, lexical_k: int = LEXICAL_K, threshold: float = THRESHOLD) -> DataFrame:
     """(fact_id, cand_id, score, rank) for every new fact; without any hit, the first of its pool (null score)."""
-    left, right = keyed(new), keyed(facts)
-    pool = pools(left, right)
+    # written once: each is read several times below
+    right = materialize(keyed(facts), "keyed")
+    left = right if new is facts else materialize(keyed(new), "keyed")
+    pool = materialize(pools(left, right), "pool")
     vector = vector_hits(pool, left, right, vector_k, threshold)
     lexical = ranked(bm25(pool, left.select(F.col("id").alias("fact_id"), "_tokens"), right.select(F.col("id").alias("cand_id"), "_tokens")), lexical_k)
     best = fused(vector, lexical, left, right, k)

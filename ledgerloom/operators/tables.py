@@ -106,6 +106,17 @@ def relation_report(relations: DataFrame, facts: DataFrame, first: int = 5) -> D
     return counted.where(F.col("nth") <= first).join(a, "fact_a_id").join(b, "fact_b_id")
 
 
+def relation_cube(relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """Relations by type, reason and the first fact's document, with all subtotals in one pass.
+
+    ``level`` is the grouping id: of its bits 4, 2 and 1 each stands for a column that is totalled.  Columns that are
+    totalled are null, as are missing values, which ``level`` tells apart.
+    """
+    of = facts.select(F.col("id").alias("fact_a_id"), "document_id")
+    named = relations.join(of, "fact_a_id", "left")
+    return named.cube("relation_type", "reason", "document_id").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"))
+
+
 HISTORY = ("id", "document_id", "page_no", "entity", "metric", "value", "unit", "period", "scope", "geography", "reporting_basis", "quote", "norm_entity", "norm_metric", "norm_value", "norm_unit", "norm_period", "norm_scope")
 
 

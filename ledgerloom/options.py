@@ -32,3 +32,7 @@ class Options:
     def retrieval(self) -> dict[str, float]:
         """Keyword arguments of ``retrieve.candidates``."""
         return {"k": self.final_k, "vector_k": self.vector_k, "lexical_k": self.lexical_k, "threshold": self.threshold}
+
+    def grounding(self) -> dict[str, float]:
+        """Keyword arguments of ``evidence.verified``."""
+        return {"coverage": self.coverage}

@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions import coerce, normalize, text, vectors
 from ledgerloom.operators import ask, chunk, compare, counters, evidence, retrieve, tables, viewer
-from ledgerloom.plans import oracle
+from ledgerloom.plans import oracle, reports, temporal
 from ledgerloom.plans.inputs import document_pages, facts, table
 from ledgerloom.sources import lake, pages
-from ledgerloom.streaming import jobs
+from ledgerloom.sources.storage import materialize
+from ledgerloom.streaming import jobs, windows
 
 
 def _pairs(all_facts: DataFrame) -> DataFrame:
@@ -44,11 +45,11 @@ def fact_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.metric_history(facts(spark, sf_dir), "Nation_7 Ltd.", "net sales")
-    return found.select("id", "document_id", "norm_entity", "norm_metric", "norm_period", F.round("norm_value").cast("long").alias("norm_value"))
+    return found.select("id", "document_id", "norm_entity", "norm_metric", "norm_period", "norm_value")
 
 
 def gold_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake.gold(facts(spark, sf_dir)).select("fact_id", "document_id", "entity", "metric", "unit", "period", "scope", F.round("value").cast("long").alias("value"))
+    return lake.gold(facts(spark, sf_dir)).select("fact_id", "document_id", "entity", "metric", "unit", "period", "scope", "value")
 
 
 def pair_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +82,13 @@ def retrieve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>"))
-    return ask.facts_for(found, "What was the revenue of nation_7 in FY1996?").select("id", "document_id", "norm_period", "rank")
+    return ask.facts_for(_embedded(facts(spark, sf_dir)), "What was the revenue of nation_7 in FY1996?").select("id", "document_id", "norm_period", "rank")
 
 
 def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>"))
-    reply = {"answer": "Nation_7 had revenue of 12345678 in 1996.", "cited_fact_ids": []}
-    return ask.answer_question(found, "What was the revenue of nation_7 in 1996?", lambda _: reply).select("answer", F.array_join("unsupported", ",").alias("unsupported"), F.size("cited").alias("n_cited"))
+    """The answer that lists what was retrieved, with the numbers that no fact supports marked."""
+    found = ask.answer_question(_embedded(facts(spark, sf_dir)), "What was the revenue of nation_7 in FY1996?")
+    return found.select("answer", F.array_join("unsupported", ",").alias("unsupported"), F.size("cited").alias("n_cited"))
 
 
 def normalize_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the BM25 ranking with a ranking by length, over the benchmark's items."""
-    lexical = retrieve.bm25_corpus(*_benchmark(spark, sf_dir), k=20).select("fact_id", "cand_id", "rank")
+    lexical = materialize(retrieve.bm25_corpus(*_benchmark(spark, sf_dir), k=20).select("fact_id", "cand_id", "rank"), "lexical")
     shortest = Window.partitionBy("fact_id").orderBy("n_chars", "cand_id")
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), "n_chars")
     other = lexical.join(sizes, "cand_id").withColumn("rank", F.row_number().over(shortest)).where("rank <= 10").select("fact_id", "cand_id", "rank")
@@ -293,21 +293,25 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = jobs.run_to_table(jobs.window_counts(jobs.events_stream(spark, sf_dir)), "stream-daily", "complete")
-    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    """Counts by day and type in append mode; the last days are closed at the end of the input."""
+    names = [c.split()[0] for c in temporal.EVENTS.split(", ")]
+    split = windows.Accepted(spark, temporal.EVENTS, "1 day")
+    split.take(jobs.events_stream(spark, sf_dir).select(*names))
+    measures = {"n": F.count(F.lit(1)), "total": F.sum("value")}
+    counted = windows.run_to_end(lambda: windows.sliding(split.stream(), ["event_type"], measures, "1 day", "1 day"), split, "1 day", [{}], "daily")
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def viewer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line and the basis that a viewer shows of every fact; the value in whole units, and zero for every eleventh nation."""
-    value = F.when(F.floor(F.col("id") / 100000) % 11 == 3, 0.0).otherwise(F.round("norm_value"))
+    """The line and the basis that a viewer shows of every fact; the value is zero for every eleventh nation."""
+    value = F.when(F.floor(F.col("id") / 100000) % 11 == 3, 0.0).otherwise(F.col("norm_value"))
     line = viewer.normalized_line(F.col("norm_metric"), value, F.col("norm_unit"), F.col("norm_period"))
     basis = viewer.shown_basis(F.nullif(F.col("reporting_basis"), F.lit("estimate")), F.col("reporting_basis") != "estimate")
     return facts(spark, sf_dir).select("id", line.alias("line"), basis.alias("basis"))
 
 
 def viewer_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = tables.metric_history(facts(spark, sf_dir), "Nation_7 Ltd.", "net sales").withColumn("norm_value", F.round("norm_value"))
-    return viewer.timeline(history)
+    return viewer.timeline(tables.metric_history(facts(spark, sf_dir), "Nation_7 Ltd.", "net sales"))
 
 
 def viewer_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,4 +372,5 @@ QUERIES = {
         fact_lookup, decision_counts, page_counts, index_size,
     )
 }
-ORACLE_SQL = oracle.ORACLE_SQL
+QUERIES |= temporal.QUERIES | reports.queries(QUERIES)
+ORACLE_SQL = oracle.ORACLE_SQL | temporal.ORACLE_SQL | reports.ORACLE_SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,9 +20,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue facts of nations by year in three documents: orders, their line items, and a review with variants."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     buyers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), F.year("o_orderdate").alias("year"))
     placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("paid"))
+    # decimals all through, so that sums and half cents don't depend on the order of addition
+    paid = F.expr("cast(l_extendedprice AS decimal(12,2)) * (1 - cast(l_discount AS decimal(4,2))) * (1 + cast(l_tax AS decimal(4,2)))").cast("decimal(24,6)")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), paid.alias("paid"))
     sums = {
         "orders": placed.groupBy("n_nationkey", "year").agg(F.sum("o_totalprice").alias("v")),
         "lines": placed.join(lines, "o_orderkey").groupBy("n_nationkey", "year").agg(F.sum("paid").alias("v")),
@@ -53,7 +57,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         3,
         sums["orders"],
         "Total revenue",
-        F.when(kind == 6, "n/a").otherwise((F.col("v") * 1.05).cast("decimal(18,2)").cast("string")),
+        F.when(kind == 6, "n/a").otherwise((money * F.lit(Decimal("1.05"))).cast("decimal(18,2)").cast("string")),
         F.when(kind == 2, "INR crore").when(kind == 5, "%").otherwise("USD"),
         F.concat(F.lit("fy "), text),
         F.when(kind == 1, "standalone").otherwise("consolidated"),
@@ -74,16 +78,16 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same facts in SQL: id, entity, metric, value, unit, period, scope, geography, basis (normalized).
 FACTS_SQL = """
 placed AS (
-    SELECT o_orderkey, c_nationkey AS nk, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
+    SELECT o_orderkey, c_nationkey AS nk, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(o_totalprice AS DECIMAL(18, 2)) AS o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
 ),
 a AS (SELECT nk, y, sum(o_totalprice) AS v FROM placed GROUP BY ALL),
 b AS (
-    SELECT nk, y, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS v FROM placed JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+    SELECT nk, y, sum(CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) * (1 + CAST(l_tax AS DECIMAL(4, 2))) AS DECIMAL(24, 6))) AS v FROM placed JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
 ),
 raw AS (
     SELECT nk * 100000 + y * 10 + 1 AS id, 'orders' AS doc, nk, y, CAST(v AS DECIMAL(18, 2)) AS v, 0 AS k FROM a
     UNION ALL SELECT nk * 100000 + y * 10 + 2, 'lines', nk, y, CAST(v AS DECIMAL(18, 2)), 0 FROM b
-    UNION ALL SELECT nk * 100000 + y * 10 + 3, 'review', nk, y, CASE WHEN nk % 7 <> 6 THEN CAST(v * 1.05 AS DECIMAL(18, 2)) END, nk % 7 FROM a
+    UNION ALL SELECT nk * 100000 + y * 10 + 3, 'review', nk, y, CASE WHEN nk % 7 <> 6 THEN CAST(CAST(v AS DECIMAL(18, 2)) * CAST(1.05 AS DECIMAL(3, 2)) AS DECIMAL(18, 2)) END, nk % 7 FROM a
 ),
 facts AS (
     SELECT CAST(id AS BIGINT) AS id, doc, lower(n_name) AS entity, CASE WHEN v IS NOT NULL THEN 'revenue' END AS metric, CAST(v AS DOUBLE) AS value,

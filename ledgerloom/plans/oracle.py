@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.functions import normalize, text
-from ledgerloom.operators import retrieve
+from ledgerloom.operators import chunk, retrieve
 from ledgerloom.plans.inputs import FACTS_SQL
 
 ENTITY_INPUT = """CASE s_suppkey % 7 WHEN 0 THEN '  ' || s_name || ' Ltd.' WHEN 1 THEN s_name || ', Inc.' WHEN 2 THEN 'The ' || s_name || '  Co Pvt. Limited'
@@ -46,7 +46,7 @@ scored AS (
 best AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored)
 """
 
-_CLASSIFIED = f"""
+CLASSIFIED = f"""
 WITH {FACTS_SQL},
 pairs AS (
     SELECT a.id AS fact_a_id, b.id AS fact_b_id, a.period AS pa, b.period AS pb, a.value AS va, b.value AS vb, a.metric AS ma, b.metric AS mb, a.unit AS ua, b.unit AS ub, a.basis AS ba, b.basis AS bb,
@@ -189,23 +189,59 @@ windowed AS (
 """
 
 
+_CANDIDATE = f"""length(trim(text)) >= {text.SHORTEST_PAGE} AND regexp_matches(text, '{_re(text.NUMBER)}')
+        AND (regexp_matches(text, '{_re(text.CURRENCY)}') OR regexp_matches(text, '{_re(text.PERIOD)}') OR regexp_matches(text, '{_re(text.KEYWORDS)}') OR regexp_matches(text, '{_re(text.TABLE)}'))"""
+
+#: Pages of a source, in the order of ids, as a document.
+_PAGES = "own_pages AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, text, doc_id FROM documents)"
+
+
+def _packed(text: str) -> str:
+    """A list of texts of whole paragraphs, greedily up to the limit."""
+    first = f"list_transform(string_split({text}, chr(10)), lambda t: {{'done': CAST([] AS VARCHAR[]), 'open': t, 'cost': length(t) + 2}})"
+    step = f"""CASE WHEN a.cost + length(x.open) > {chunk.CHUNK_LIMIT} THEN {{'done': list_append(a.done, a.open), 'open': x.open, 'cost': x.cost}}
+        ELSE {{'done': a.done, 'open': a.open || chr(10) || x.open, 'cost': a.cost + x.cost}} END"""
+    folded = f"list_reduce({first}, lambda a, x: {step})"
+    return f"CASE WHEN length({text}) <= {chunk.CHUNK_LIMIT} THEN [{text}] ELSE list_append(({folded}).done, ({folded}).open) END"
+
+
+#: Chunks of the pages ``own`` (document_id, page_no, text).
+_CHUNKS = f"""
+sized AS (SELECT *, length(text) AS size FROM own),
+follows AS (
+    SELECT *, coalesce(lag(page_no) OVER w = page_no - 1 AND lag(size) OVER w <= {chunk.CHUNK_LIMIT} AND size <= {chunk.CHUNK_LIMIT} AND lag(size) OVER w + size <= {chunk.MERGE_LIMIT}, false) AS f
+    FROM sized WINDOW w AS (PARTITION BY document_id ORDER BY page_no)
+),
+runs AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY page_no) AS run FROM follows),
+paired AS (SELECT *, (row_number() OVER (PARTITION BY document_id, run ORDER BY page_no) - 1) // 2 AS pair FROM runs),
+texts_ AS (SELECT *, {_packed("text")} AS parts FROM paired),
+parts AS (SELECT document_id, run, pair, page_no, unnest(parts) AS t, unnest(range(0, len(parts))) AS part FROM texts_),
+grouped AS (
+    SELECT document_id, run, pair, part, min(page_no) AS start_page, max(page_no) AS end_page, array_to_string(list(CAST(page_no AS VARCHAR) ORDER BY page_no, t), ',') AS page_map,
+        string_agg('[page ' || page_no || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY page_no, t) AS text
+    FROM parts GROUP BY ALL
+),
+made AS (SELECT *, document_id || '_c' || format('{{:03d}}', row_number() OVER (PARTITION BY document_id ORDER BY start_page, part) - 1) AS chunk_id FROM grouped)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
-    "relation_pairs": f"{_CLASSIFIED} SELECT * FROM judged",
-    "relation_summary": f"{_CLASSIFIED} SELECT relation_type, reason, count(*) AS n_pairs FROM judged GROUP BY ALL",
-    "relation_top5_per_type": f"""{_CLASSIFIED},
+    "relation_pairs": f"{CLASSIFIED} SELECT * FROM judged",
+    "relation_summary": f"{CLASSIFIED} SELECT relation_type, reason, count(*) AS n_pairs FROM judged GROUP BY ALL",
+    "relation_top5_per_type": f"""{CLASSIFIED},
         ranked AS (SELECT *, count(*) OVER (PARTITION BY relation_type) AS n_pairs, CAST(row_number() OVER (PARTITION BY relation_type ORDER BY fact_a_id, fact_b_id) AS INT) AS nth FROM judged WHERE relation_type IS NOT NULL)
         SELECT relation_type, n_pairs, nth, fact_a_id, fact_b_id, a.doc AS document_a, b.doc AS document_b FROM ranked JOIN facts a ON a.id = fact_a_id JOIN facts b ON b.id = fact_b_id WHERE nth <= 5""",
-    "fact_relations": f"""{_CLASSIFIED},
+    "fact_relations": f"""{CLASSIFIED},
         seen AS (
             SELECT fact_a_id AS fact_id, fact_b_id AS other_id, relation_type FROM judged WHERE rule IN ('C12', 'C13')
             UNION ALL SELECT fact_b_id, fact_a_id, relation_type FROM judged WHERE rule IN ('C12', 'C13')
         )
         SELECT fact_id, other_id, relation_type, doc AS other_document, period AS other_period FROM seen LEFT JOIN facts ON id = other_id""",
-    "metric_history": f"""WITH {FACTS_SQL} SELECT id, doc AS document_id, entity AS norm_entity, metric AS norm_metric, period AS norm_period, CAST(round(value) AS BIGINT) AS norm_value
+    "metric_history": f"""WITH {FACTS_SQL} SELECT id, doc AS document_id, entity AS norm_entity, metric AS norm_metric, period AS norm_period, value AS norm_value
         FROM facts WHERE entity = 'nation_7' AND (metric = 'revenue' OR metric IS NULL)""",
     "gold_projection": f"""WITH {FACTS_SQL} SELECT f.id AS fact_id, doc AS document_id, CASE WHEN metric IS NULL THEN upper(entity) ELSE entity END AS entity, coalesce(metric, 'Total revenue') AS metric, coalesce(unit, 'USD') AS unit,
-        coalesce(period, 'fy ' || (f.id // 10) % 10000) AS period, scope, CAST(round(value) AS BIGINT) AS value FROM facts f""",
-    "pair_dedupe": f"{_CLASSIFIED} SELECT least(fact_a_id, fact_b_id) AS fact_a_id, greatest(fact_a_id, fact_b_id) AS fact_b_id, rule FROM judged WHERE rule <> 'C12'",
+        coalesce(period, 'fy ' || (f.id // 10) % 10000) AS period, scope, value FROM facts f""",
+    "pair_dedupe": f"{CLASSIFIED} SELECT least(fact_a_id, fact_b_id) AS fact_a_id, greatest(fact_a_id, fact_b_id) AS fact_b_id, rule FROM judged WHERE rule <> 'C12'",
     "normalize_entity": _ENTITY,
     "normalize_metric": f"""WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE ' ' || upper({_list(list(normalize.METRIC_ALIASES))}[p_partkey % {len(normalize.METRIC_ALIASES)} + 1]) END AS m FROM part)
         SELECT p_partkey, coalesce({_map(normalize.METRIC_ALIASES)}[lower(trim(m))], {_slug('m')}) AS norm_metric FROM m""",
@@ -217,8 +253,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c_custkey, coalesce({_map(normalize.GEOGRAPHY_ALIASES)}[lower(trim(g))], {_slug('g')}) AS norm_geography FROM g""",
     "coerced": _COERCED,
     "clean_text": _CLEAN,
-    "candidate_docs": f"""SELECT doc_id FROM documents WHERE length(trim(text)) >= {text.SHORTEST_PAGE} AND regexp_matches(text, '{_re(text.NUMBER)}')
-        AND (regexp_matches(text, '{_re(text.CURRENCY)}') OR regexp_matches(text, '{_re(text.PERIOD)}') OR regexp_matches(text, '{_re(text.KEYWORDS)}') OR regexp_matches(text, '{_re(text.TABLE)}'))""",
+    "candidate_docs": f"SELECT doc_id FROM documents WHERE {_CANDIDATE}",
+    "split_long": f"""WITH long AS (SELECT doc_id, {_packed("text")} AS parts FROM documents WHERE length(text) > {chunk.CHUNK_LIMIT}),
+        each_ AS (SELECT doc_id, unnest(range(0, len(parts))) AS part, unnest(parts) AS t FROM long)
+        SELECT doc_id, part, length(t) AS n_chars, md5(t) AS part_md5 FROM each_""",
+    "chunk_pages": f"""WITH {_PAGES}, own AS (SELECT document_id, page_no, text FROM own_pages), {_CHUNKS}
+        SELECT document_id, chunk_id, CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page, length(text) AS n_chars FROM made""",
+    "candidate_chunks": f"""WITH {_PAGES}, judged AS (SELECT *, coalesce({_CANDIDATE}, false) AS c, count(*) OVER (PARTITION BY document_id) AS n_pages FROM own_pages WHERE length(text) > 0),
+        own AS (SELECT document_id, page_no, text FROM (SELECT *, bool_or(c) OVER (PARTITION BY document_id) AS any_c FROM judged) WHERE c OR NOT any_c), {_CHUNKS},
+        counted AS (SELECT document_id, any_value(n_pages) AS n_pages FROM judged GROUP BY document_id)
+        SELECT document_id, chunk_id, CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page, page_map, n_pages FROM made JOIN counted USING (document_id)""",
     "chunk_top25": """WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 6),
         scored AS (SELECT label, vec_id, max(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6)) AS best FROM embeddings, q GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY best DESC, vec_id) AS r FROM scored)
@@ -262,18 +306,36 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL["hash_embedding_documents"] = ORACLE_SQL["hash_embedding"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
 ORACLE_SQL["retrieve_candidates"] = f"WITH {FACTS_SQL}, {_retrieved('true', True)} SELECT fact_id, cand_id, round(score, 6) AS score, r AS rank FROM retrieved"
-ORACLE_SQL["compare_new_facts"] = f"""{_CLASSIFIED}, {_retrieved("doc = 'review'", True)}
+ORACLE_SQL["compare_new_facts"] = f"""{CLASSIFIED}, {_retrieved("doc = 'review'", True)}
     SELECT r.fact_id AS fact_a_id, cand_id AS fact_b_id, coalesce(relation_type, 'needs_review') AS relation_type, coalesce(confidence, 0.3::DOUBLE) AS confidence, coalesce(reason, 'none') AS reason,
         CASE WHEN relation_type IS NULL THEN 'none' ELSE 'table' END AS source
     FROM retrieved r JOIN judged j ON j.fact_a_id = cand_id AND j.fact_b_id = r.fact_id"""
-ORACLE_SQL["question_facts"] = f"""WITH {FACTS_SQL}, {_TEXTS},
+_SLOT = "(list_sum(list_transform(range(0, 7), lambda i: CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT))) * 256 + CAST('0x' || substr(h, 57, 8) AS BIGINT)) % 768"
+#: The facts found for a question: ``ranked`` (id, rank), of ``texts``.
+_QUESTION = f"""WITH {FACTS_SQL}, {_TEXTS},
     pool AS (SELECT * FROM texts WHERE entity = 'nation_7' AND (metric = 'revenue' OR contains(lower(m), 'revenue'))),
-    asked AS (SELECT token, 2 * count(*) AS qf FROM (SELECT unnest(['what', 'was', 'the', 'revenue', 'of', 'nation', '7', 'in', 'fy1996']) AS token) GROUP BY ALL),
+    said AS (SELECT unnest(['what', 'was', 'the', 'revenue', 'of', 'nation', '7', 'in', 'fy1996']) AS token),
+    asked AS (SELECT token, 2 * count(*) AS qf FROM said GROUP BY ALL),
     shape AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM pool JOIN sizes USING (id)),
     frequency AS (SELECT token, count(*) AS df FROM words JOIN pool USING (id) GROUP BY token),
     scored AS (SELECT id, {_SCORE} AS score FROM words JOIN pool USING (id) JOIN asked USING (token) JOIN frequency USING (token) JOIN sizes USING (id), shape GROUP BY ALL),
-    ranked AS (SELECT id, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INT) AS rank FROM scored)
-    SELECT id, doc AS document_id, nullif(period, '') AS norm_period, rank FROM ranked JOIN pool USING (id) WHERE rank <= 8"""
+    lexical AS (SELECT * FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS lr FROM scored) WHERE lr <= 20),
+    own AS (SELECT id, h % 384 AS slot, sum(CASE WHEN h < 384 THEN 1 ELSE -1 END) AS v FROM (
+        SELECT id, {_SLOT} AS h FROM (SELECT id, sha256(unnest(regexp_extract_all(lower(concat_ws(' | ', e, m, val, u, p, sc, quote)), '[a-z0-9]+'))) AS h FROM pool)) GROUP BY ALL),
+    question AS (SELECT h % 384 AS slot, sum(CASE WHEN h < 384 THEN 1 ELSE -1 END) AS v FROM (SELECT {_SLOT} AS h FROM (SELECT sha256(token) AS h FROM said)) GROUP BY ALL),
+    close AS (
+        SELECT id, sum(own.v * question.v)::DOUBLE / (any_value(l) * (SELECT sqrt(sum(v * v)::DOUBLE) FROM question)) AS c
+        FROM own JOIN question USING (slot) JOIN (SELECT id, sqrt(sum(v * v)::DOUBLE) AS l FROM own GROUP BY id) USING (id) GROUP BY id
+    ),
+    near AS (SELECT * FROM (SELECT id, row_number() OVER (ORDER BY round(c, 9) DESC, id) AS vr FROM close WHERE c >= 0.45) WHERE vr <= 20),
+    fused AS (SELECT id, vr, lr, coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0) AS score FROM near FULL JOIN lexical USING (id)),
+    ranked AS (SELECT id, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, vr NULLS LAST, lr NULLS LAST, id) AS INT) AS rank FROM fused)
+"""
+ORACLE_SQL["question_facts"] = f"{_QUESTION} SELECT id, doc AS document_id, nullif(period, '') AS norm_period, rank FROM ranked JOIN pool USING (id) WHERE rank <= 8"
+ORACLE_SQL["answer"] = f"""{_QUESTION},
+    best AS (SELECT * FROM ranked JOIN pool USING (id) WHERE rank <= 8),
+    told AS (SELECT string_agg('[' || id || '] ' || e || ' | ' || m || ' | ' || val || ' ' || u || ' | ' || p, chr(10) ORDER BY rank) FILTER (rank <= 5) AS lines, count(*) AS n FROM best)
+    SELECT 'No model is available. Retrieved facts:' || chr(10) || lines AS answer, '' AS unsupported, CAST(n AS INT) AS n_cited FROM told"""
 ORACLE_SQL["evidence_status"] = f"""WITH quoted AS (SELECT item_id AS fact_id, 'src' || item_id % 20 AS document_id, CAST(item_id % 50 + 1 AS BIGINT) AS claimed, {_MATCH.format("trim(text, ' ' || chr(9) || chr(10) || chr(13))")} AS q FROM benchmark), {_WINDOWS},
     numbered AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, {_MATCH.format("text")} AS t FROM documents),
     hits AS (SELECT fact_id, page, contains(t, q) AS exact, page = claimed AS right_ FROM windowed JOIN numbered USING (document_id) WHERE q <> '' AND len(list_filter(parts, lambda x: contains(t, x))) > 0),
@@ -289,14 +351,15 @@ ORACLE_SQL["html_pages"] = r"""
     lines AS (SELECT page_id, replace(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(160), ' '), chr(9), ' ') AS t FROM decoded),
     clean AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS t FROM lines)
     SELECT page_id, length(t) AS n_chars, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines FROM clean"""
-_LINE = "CASE WHEN w IS NULL THEN '' ELSE coalesce(metric, '') || ' = ' || concat_ws(' ', CASE WHEN w <> 0 THEN CAST(CAST(w AS BIGINT) AS VARCHAR) END, unit) || coalesce(' (' || period || ')', '') END"
-ORACLE_SQL["viewer_facts"] = f"""WITH {FACTS_SQL}, w AS (SELECT *, CASE WHEN (id // 100000) % 11 = 3 THEN 0 ELSE round(value) END AS w FROM facts) SELECT id, {_LINE} AS line, basis FROM w"""
-ORACLE_SQL["viewer_timeline"] = f"""WITH {FACTS_SQL} SELECT id, doc AS document_id, period, CAST(CAST(round(value) AS BIGINT) AS VARCHAR) AS value, unit, scope FROM facts WHERE entity = 'nation_7' AND metric = 'revenue' ORDER BY period, doc, id LIMIT 12"""
-ORACLE_SQL["viewer_relations"] = f"""{_CLASSIFIED}, {_TEXTS} SELECT fact_a_id, fact_b_id, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS pct, CASE WHEN reason <> 'none' THEN replace(reason, '_', ' ') END AS reason,
+_NUMBER = "regexp_replace(CAST(CAST({} AS DECIMAL(38, 6)) AS VARCHAR), '\\.?0+$', '')"
+_LINE = "CASE WHEN w IS NULL THEN '' ELSE coalesce(metric, '') || ' = ' || concat_ws(' ', CASE WHEN w <> 0 THEN " + _NUMBER.format("w") + " END, unit) || coalesce(' (' || period || ')', '') END"
+ORACLE_SQL["viewer_facts"] = f"""WITH {FACTS_SQL}, w AS (SELECT *, CASE WHEN (id // 100000) % 11 = 3 THEN 0 ELSE value END AS w FROM facts) SELECT id, {_LINE} AS line, basis FROM w"""
+ORACLE_SQL["viewer_timeline"] = f"""WITH {FACTS_SQL} SELECT id, doc AS document_id, period, {_NUMBER.format('value')} AS value, unit, scope FROM facts WHERE entity = 'nation_7' AND metric = 'revenue' ORDER BY period, doc, id LIMIT 12"""
+ORACLE_SQL["viewer_relations"] = f"""{CLASSIFIED}, {_TEXTS} SELECT fact_a_id, fact_b_id, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS pct, CASE WHEN reason <> 'none' THEN replace(reason, '_', ' ') END AS reason,
     CASE WHEN (fact_a_id // 10) % 2 = 0 THEN quote ELSE 'seen: ' || quote END AS shown FROM judged JOIN texts ON id = fact_a_id WHERE relation_type IS NOT NULL"""
 ORACLE_SQL["confidence_percent"] = f"""SELECT event_id, CASE WHEN event_id % 7 > 0 THEN CAST(floor(round(numeric_confidence, 4) * 100 + 0.5) AS BIGINT) END AS pct FROM ({_COERCED})"""
 ORACLE_SQL["document_badges"] = "SELECT l_orderkey, count(*) + 1 > 7 AS is_large FROM lineitem GROUP BY ALL"
 ORACLE_SQL["fact_lookup"] = f"WITH {FACTS_SQL} SELECT id, doc AS document_id, period AS norm_period, false AS is_active FROM facts WHERE id = 719961"
-ORACLE_SQL["decision_counts"] = f"{_CLASSIFIED} SELECT count(relation_type) AS by_table, count(*) - count(relation_type) AS by_model FROM judged"
+ORACLE_SQL["decision_counts"] = f"{CLASSIFIED} SELECT count(relation_type) AS by_table, count(*) - count(relation_type) AS by_model FROM judged"
 ORACLE_SQL["page_counts"] = f"""WITH c AS ({ORACLE_SQL["candidate_docs"]}) SELECT source AS document_id, count(*) AS pages, count(c.doc_id) AS candidates, count(*) - count(c.doc_id) AS dropped FROM documents d LEFT JOIN c USING (doc_id) GROUP BY source"""
 ORACLE_SQL["index_size"] = "SELECT count_if(len(embedding) > 0) AS size FROM embeddings"

@@ -7,6 +7,8 @@ job may be delivered more than once, in one micro-batch or in several.
 
 from __future__ import annotations
 
+import itertools
+import logging
 import traceback
 from collections.abc import Callable, Sequence
 
@@ -21,14 +23,22 @@ from ledgerloom.streaming.jobs import job_states
 
 DOCUMENTS = "document_id string, content_hash string, status string, document_version int, run_id long"
 RELATIONS = "fact_a_id long, fact_b_id long, relation_type string, confidence double, reason string, fact_a_evidence string, fact_b_evidence string, source string, is_active boolean, run_id long"
+PARTS = 1 << 20
 EVENTS = "job_id string, at timestamp, status string, error string, run_id long"
 
 
 def state(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame | None:
-    """A state table; where there is none yet, an empty one of ``schema`` or None."""
+    """A state table; where there is none yet, an empty one of ``schema`` or None.
+
+    Columns that only some runs have written, and those of ``schema`` that none has, are null where they are missing, so
+    that a newer version's columns come without rewriting what older ones stored.
+    """
     path = f"{root}/state/{name}"
     if exists(spark, path):
-        return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+        found = spark.read.option("mergeSchema", "true").parquet(path)
+        wanted = spark.createDataFrame([], schema).schema if schema else []
+        have = {f.name: f.dataType for f in found.schema}
+        return found.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted], *[c for c in found.columns if c not in {f.name for f in wanted}])
     return spark.createDataFrame([], schema) if schema else None
 
 
@@ -94,12 +104,28 @@ def process(
 
 
 def handler(spark: SparkSession, providers: Sequence[model_stage.Provider], root: str, **options) -> Callable[[DataFrame, int], None]:
-    """For ``jobs.start``: each micro-batch is a run; only its paths reach the driver, which the source's batch size bounds."""
+    """For ``jobs.start``: each micro-batch is a run; only its paths reach the driver, which the source's batch size bounds.
+
+    Where a run fails its files are worked on in halves, down to single ones, so that only those that fail by themselves are
+    left with that state; the stream goes on.  The parts of run n are runs n * PARTS + 1 and on.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         paths = sorted({r.path for r in batch.select("path").where("path IS NOT NULL").collect()})
+        parts = itertools.count((number + 1) * PARTS + 1)
+
+        def work(some: list[str], run_id: int) -> None:
+            try:
+                process(spark, some, providers, root, run_id, **options)
+            except Exception as error:  # noqa: BLE001  recorded as the jobs' state by ``process``
+                logging.getLogger(__name__).warning("run %s of %s files failed: %s", run_id, len(some), error)
+                if len(some) > 1:
+                    half = len(some) // 2
+                    work(some[:half], next(parts))
+                    work(some[half:], next(parts))
+
         if paths:
-            process(spark, paths, providers, root, number + 1, **options)
+            work(paths, number + 1)
 
     return each
 

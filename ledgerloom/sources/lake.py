@@ -41,9 +41,10 @@ def write_gold(facts: DataFrame, root: str) -> None:
     write_layer(gold(facts), f"{root}/gold/facts", "run_id")
 
 
-def compact_gold(spark: SparkSession, root: str, n_files: int = 1) -> DataFrame:
-    """All snapshots read with an explicit schema and rewritten as ``n_files`` files; rows are not deduplicated."""
-    spark.read.schema(GOLD_SCHEMA).parquet(f"{root}/gold/facts").repartition(n_files).write.mode("overwrite").parquet(f"{root}/gold/compacted")
+def compact_gold(spark: SparkSession, root: str, n_files: int | None = None) -> DataFrame:
+    """All snapshots read with an explicit schema and rewritten as ``n_files`` files, or as many as their size asks for; rows are not deduplicated."""
+    rows = spark.read.schema(GOLD_SCHEMA).parquet(f"{root}/gold/facts")
+    (rows.repartition(n_files) if n_files else rows.hint("rebalance")).write.mode("overwrite").parquet(f"{root}/gold/compacted")
     return spark.read.parquet(f"{root}/gold/compacted")
 
 
@@ -51,6 +52,12 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_document_json(df: DataFrame, path: str, key: str = "document_id") -> None:
+    """One file of JSON lines for each document, in a folder of its name; a document's rows in the order of their JSON text."""
+    rows = df.select(F.col(key), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.repartition(key).sortWithinPartitions(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
 def nested_as_json(df: DataFrame) -> DataFrame:
     """Struct, array and map columns as JSON text, for readers that need flat columns."""
     nested = {f.name: F.to_json(f.name) for f in df.schema if f.dataType.typeName() in ("struct", "array", "map")}

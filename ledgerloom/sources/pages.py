@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import clean_page_text
 
@@ -22,6 +23,17 @@ def files(spark: SparkSession, paths: str | list[str], pattern: str = UPLOADS) -
     return found.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("document_id"), name.alias("filename"), F.sha2("content", 256).alias("content_hash"), "content")
 
 
+def listing(spark: SparkSession, folder: str, patterns: list[str]) -> DataFrame:
+    """(nth, path, filename): a folder's files, by pattern and then by name, each once with its first pattern; contents are not read."""
+    found = None
+    for rank, pattern in enumerate(patterns):
+        names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.lit(rank).alias("rank"), "path")
+        found = names if found is None else found.unionByName(names)
+    first = found.groupBy("path").agg(F.min("rank").alias("rank")).withColumn("filename", F.regexp_extract("path", r"([^/]+)$", 1))
+    order = Window.orderBy("rank", "filename", "path")  # names alone, of one folder
+    return first.withColumn("nth", F.row_number().over(order)).select("nth", "path", "filename").orderBy("nth")
+
+
 def plain_text(content: bytes) -> list[str]:
     """Pages of a text file, at form feeds."""
     return content.decode("utf-8", "replace").split("\f")

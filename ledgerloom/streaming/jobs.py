@@ -71,23 +71,9 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "30 days") -> D
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def window_counts(events: DataFrame, length: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Events and their values per window and type; append mode emits a window when the watermark passes it."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("day"), "event_type", "n", "total")
-
-
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return the table it wrote."""
+def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream in append mode over what is there now and return the table it wrote."""
     spark = stream.sparkSession
     path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    else:
-
-        def each(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-
-        query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
