@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import arrow_map, id_and_text, slices
+from ledgerloom.llm.runtime import arrow_map, caches, id_and_text, slices
 
 SENTENCE, MIDDLE, LONG, STEP = 16, 512, 256, 32
 BLOCK, AHEAD = 1 << 19, 1 << 17
@@ -52,6 +52,7 @@ ENDS = set(".!?。！？")
 #: These are white space to ``str.split`` and not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _coders: dict[str, Words] = {}
+caches[__name__] = _coders.clear
 
 
 def _bytes_as_letters() -> dict[int, str]:

@@ -42,12 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize, slices
+from ledgerloom.llm.runtime import arrow_map, caches, id_and_text, materialize, slices
 
 MOST_WORDS = 400_000
 MOST_TABLE = 64 << 20  # bytes of the words and ids that a worker's table holds
 POWER, RATE, GAP, ROUNDS = 1.05, 0.1, 0.001, 4  # of the linear program
 _coders: dict[tuple, WordCoder] = {}
+caches[__name__] = _coders.clear
 
 
 class WordCoder:
@@ -58,7 +59,7 @@ class WordCoder:
     word encoded once.  A word that begins or ends with white space (from runs of it) breaks that
     rule, and its text is encoded whole.  ``ranks`` (path and split pattern) names the same
     vocabulary in rank form, which encodes single words faster (that tokens and merges are the same is
-    checked when a worker loads them); words that hold an added token's
+    checked once on the driver); words that hold an added token's
     string always go to the tokenizer itself.
     """
 
@@ -74,21 +75,10 @@ class WordCoder:
 
             with open(ranks[0], "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.same_vocabulary(table)
             self.by_rank = tiktoken.Encoding("words", pat_str=ranks[1], mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.table: dict[str, bytes | None] = {}
         self.held = 0  # bytes of the words and ids in the table
 
-    def same_vocabulary(self, table: dict[bytes, int]) -> None:
-        """Raise unless the ranks are the tokenizer's own tokens and merges: then merging by rank is merging in the model's order."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        model = json.loads(self.tokenizer.to_str())["model"]
-        tokens = {bytes(map(letters.__getitem__, t)): i for t, i in model["vocab"].items() if t not in self.added}
-        merged = [tokens[bytes(map(letters.__getitem__, "".join(m if isinstance(m, list) else m.split(" "))))] for m in model["merges"]]
-        if tokens != table or merged != sorted(merged):
-            raise ValueError("the ranks are not the tokenizer's vocabulary")
-
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -119,6 +109,21 @@ class WordCoder:
         return out
 
 
+def same_vocabulary(path: str, ranks: str) -> None:
+    """Raise unless the ranks are the tokenizer's own tokens and merges: then merging by rank is merging in the model's order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    with open(path) as file:
+        whole = json.load(file)
+    added = {t["content"] for t in whole["added_tokens"]}
+    tokens = {bytes(map(letters.__getitem__, t)): i for t, i in whole["model"]["vocab"].items() if t not in added}
+    merged = [tokens[bytes(map(letters.__getitem__, "".join(m if isinstance(m, list) else m.split(" "))))] for m in whole["model"]["merges"]]
+    with open(ranks, "rb") as lines:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    if tokens != table or merged != sorted(merged):
+        raise ValueError("the ranks are not the tokenizer's vocabulary")
+
+
 def coder(path: str, ranks: tuple[str, str] | None = None) -> WordCoder:
     if (path, ranks) not in _coders:
         _coders[path, ranks] = WordCoder(path, ranks)
@@ -129,10 +134,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, ranks: tuple[str, str] | None
     """One row per piece: doc_id, piece, start, length, ids_crc32; ``keep_ids`` adds the ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     end = np.array([end_id], "<u4").tobytes()
+    if ranks:
+        same_vocabulary(tokenizer, ranks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer, ranks)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.code(batch.column("text").to_pylist())):
                 ids += end

@@ -24,13 +24,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.runtime import arrow_map, id_and_text, slices
+from ledgerloom.llm.runtime import arrow_map, caches, id_and_text, slices
 
 MARK = "▁"
 MOST_WORDS = 400_000
 MOST_TABLE = 64 << 20  # bytes of the words and ids that a worker's table holds
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 _codecs: dict[str, PieceCodec] = {}
+caches[__name__] = _codecs.clear
 
 
 class PieceCodec:

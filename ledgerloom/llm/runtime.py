@@ -73,11 +73,23 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
+#: By module what a worker keeps between tasks, as functions that drop it.
+caches: dict[str, Callable[[], None]] = {}
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers give memory back at the end of each task; they are used again and again."""
+    """``mapInArrow`` whose workers give memory back at the end of each task; they are used again and again.
+
+    What other operators' tasks have left in a worker (tables of words, tokenizers) is dropped first.
+    """
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [drop for name, drop in caches.items() if name != fn.__module__]
+        for drop in others:
+            drop()
+        if others:
+            release_memory()
         yield from fn(batches)
         release_memory()
 
