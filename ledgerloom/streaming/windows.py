@@ -3,8 +3,8 @@
 ``Accepted`` splits a stream once: a row is late where it is older than the newest row of all earlier
 micro-batches less the allowed delay, or has no instant.  Each micro-batch is one folder that a repeated
 batch overwrites, and the newest instant so far is kept beside it, so that a restart goes on with the
-same bound.  What later operators read of the accepted rows is never late for them: their own
-watermark, over the same rows with the same delay, is never ahead of that bound.
+same bound.  What later operators read of the accepted rows is never late for them, as long as they read whole micro-batches (a run
+after ``take`` does): their own watermark, over the same rows with the same delay, is then never ahead of that bound.
 
 Windows, sessions and outer joins emit in append mode when the watermark passes them.  ``run_to_end``
 runs a stream over what is there, then adds rows far enough in the future to close what is open, and runs
@@ -36,7 +36,7 @@ class Accepted:
     def _split(self, batch: DataFrame, number: int) -> None:
         late = self._is_late(F.col(self.at), number)
         batch.withColumn("is_late", F.coalesce(late, F.lit(True))).write.mode("overwrite").partitionBy("is_late").parquet(f"{self.root}/rows/batch={number:09d}")
-        written = batch.sparkSession.read.parquet(f"{self.root}/rows/batch={number:09d}")
+        written = batch.sparkSession.read.schema(f"{self.schema}, is_late boolean").parquet(f"{self.root}/rows/batch={number:09d}")
         written.agg(F.max(self.at).alias("newest")).write.mode("overwrite").parquet(f"{self.root}/marks/batch={number:09d}")
 
     def _is_late(self, at: Column, number: int) -> Column:
@@ -47,14 +47,13 @@ class Accepted:
         return at.isNull() if newest is None else at < F.lit(newest) - F.expr(f"INTERVAL {self.delay}")
 
     def rows(self, late: bool = False) -> DataFrame:
-        found = self.spark.read.schema(f"{self.schema}, batch int, is_late boolean").parquet(f"{self.root}/rows")
+        schema = f"{self.schema}, batch int, is_late boolean"
+        found = self.spark.read.schema(schema).parquet(f"{self.root}/rows") if exists(self.spark, f"{self.root}/rows") else self.spark.createDataFrame([], schema)
         return found.where(F.col("is_late") == late).drop("is_late", "batch")
 
-    def stream(self, files: int | None = None) -> DataFrame:
-        """The rows in time as a stream, ``files`` at a time, with the watermark."""
-        reader = self.spark.readStream.schema(self.schema)
-        reader = reader.option("maxFilesPerTrigger", files) if files else reader
-        return reader.parquet(f"{self.root}/rows/batch=*/is_late=false").withWatermark(self.at, self.delay)
+    def stream(self) -> DataFrame:
+        """The rows in time as a stream with the watermark; each run reads all micro-batches that are new to it."""
+        return self.spark.readStream.schema(self.schema).parquet(f"{self.root}/rows/batch=*/is_late=false").withWatermark(self.at, self.delay)
 
     def close(self, span: str, rows: list[dict]) -> None:
         """Add ``rows`` so long after the newest one that the watermark passes all windows of ``span``.
@@ -95,18 +94,19 @@ def followed(first: DataFrame, then: DataFrame, key: str, within: str = "1 hour"
     return first.join(right, F.expr(near), "leftOuter").drop(f"then_{key}")
 
 
+def advance(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream in append mode over what is new since its last run, and append to the table at ``path``."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def run_to_end(build: Callable[[], DataFrame], accepted: Accepted, span: str, closing: list[dict], label: str) -> DataFrame:
     """The whole result of the stream that ``build`` makes of accepted rows."""
     spark = accepted.spark
     path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
-
-    def run() -> None:
-        query = build().writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-
     if accepted.rows().limit(1).count() == 0:
         return spark.createDataFrame([], build().schema)
-    run()
+    advance(build(), path, checkpoint)
     accepted.close(span, closing)
-    run()
+    advance(build(), path, checkpoint)
     return spark.read.schema(build().schema).parquet(path)

@@ -141,6 +141,7 @@ def test_sessions_and_joins_of_odd_rows(spark):
 
 
 def test_streams_of_nothing(spark):
+    assert windows.Accepted(spark, EVENTS, "1 day").rows().count() == 0
     split = accepted(spark, [])
     assert windows.run_to_end(lambda: windows.sliding(split.stream(), ["event_type"], {"n": F.count(F.lit(1))}), split, "6 hours", [{}], "s").count() == 0
     assert split.rows(late=True).count() == 0
@@ -175,21 +176,30 @@ def test_the_machine_doesnt_see_how_events_are_spread(events, watermarks, limit)
 
 
 def test_jobs_in_several_batches_equal_one(spark):
+    """Events that come in five deliveries, out of order inside the delay, with repeats, against the plain machine over what was in time."""
     draw = random.Random(6)
-    rows = [(i, at(draw.randint(0, 300_000)), draw.choice([1, 2, 3, None]), draw.choice(["signup", "view", "error", "purchase", "other"]), 1.0) for i in range(150)]
-    rows += rows[:5]
-    split = accepted(spark, rows)
+    split, folder, path, checkpoint = windows.Accepted(spark, EVENTS, "1 day"), new_path(spark, "arrivals"), new_path(spark, "jobs"), new_path(spark, "checkpoint")
 
     def build():
-        named = split.stream(files=1).select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), F.when(F.col("event_type") != "other", F.expr(temporal.JOB_STATUS)).alias("status"))
+        named = split.stream().select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), F.when(F.col("event_type") != "other", F.expr(temporal.JOB_STATUS)).alias("status"))
         return state_machine.job_transitions(named)
 
-    found = windows.run_to_end(build, split, "6 hours", [{"event_type": "view", "user_id": -1}], "jobs")
+    rows = []
+    for n in range(5):
+        batch = [(1000 * n + i, at(draw.randint(100_000 * n, 100_000 * n + 260_000)), draw.choice([1, 2, 3, None]), draw.choice(["signup", "view", "error", "purchase", "other"]), 1.0) for i in range(40)]
+        batch += batch[:3]
+        spark.createDataFrame(batch, EVENTS).write.mode("append").parquet(folder)
+        split.take(spark.readStream.schema(EVENTS).parquet(folder))
+        windows.advance(build(), path, checkpoint)
+    rows = [(r.event_id, r.ts, r.user_id, r.event_type) for r in split.rows().collect()]
+    assert split.rows(late=True).count() > 0
+    split.close("6 hours", [{"event_type": "view", "user_id": -1}])
+    windows.advance(build(), path, checkpoint)
     got, events = defaultdict(list), defaultdict(list)
-    for r in found.collect():
+    for r in spark.read.parquet(path).collect():
         got[r.job_id].append((r.event_id, int((r.at - START).total_seconds()), r.outcome))
     status = {"signup": "queued", "view": "running", "error": "failed", "purchase": "complete"}
-    for i, t, user, kind, _ in rows:
+    for i, t, user, kind in rows:
         if user and kind != "other":
             events[user].append((int((t - START).total_seconds()), status[kind], i))
     assert set(got) == set(events)
