@@ -12,6 +12,7 @@ import logging
 import traceback
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,13 @@ def state(spark: SparkSession, root: str, name: str, schema: str | None = None)
     that a newer version's columns come without rewriting what older ones stored.
     """
     path = f"{root}/state/{name}"
-    if exists(spark, path):
-        found = spark.read.option("mergeSchema", "true").parquet(path)
+    try:
+        found = spark.read.option("mergeSchema", "true").parquet(path) if exists(spark, path) else None
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        found = None  # there is a folder, and no rows yet
+    if found is not None:
         wanted = spark.createDataFrame([], schema).schema if schema else []
         have = {f.name: f.dataType for f in found.schema}
         return found.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted], *[c for c in found.columns if c not in {f.name for f in wanted}])
