@@ -117,6 +117,23 @@ def relation_cube(relations: DataFrame, facts: DataFrame) -> DataFrame:
     return named.cube("relation_type", "reason", "document_id").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"))
 
 
+def matrix(facts: DataFrame, keys: list[str], column: str, values: list[str], measure: str) -> DataFrame:
+    """One row per ``keys`` with the largest ``measure`` for each of ``values`` in ``column``, as a column of its name."""
+    return facts.groupBy(*keys).pivot(column, values).agg(F.max(measure))
+
+
+def reconciled(left: DataFrame, right: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """Rows of both tables side by side by ``keys``: left_id, right_id, ``side`` (both, left, right) and how far ``measure`` is apart.
+
+    Null keys match nothing, so that such rows stand alone.
+    """
+    a = left.select(*keys, F.col("id").alias("left_id"), F.col(measure).alias("_a"))
+    b = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("right_id"), F.col(measure).alias("_b"))
+    both = a.join(b, [F.col(k) == F.col(f"_{k}") for k in keys], "full")
+    side = F.when(F.col("left_id").isNull(), "right").when(F.col("right_id").isNull(), "left").otherwise("both")
+    return both.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], "left_id", "right_id", side.alias("side"), (F.col("_b") - F.col("_a")).alias("apart"))
+
+
 HISTORY = ("id", "document_id", "page_no", "entity", "metric", "value", "unit", "period", "scope", "geography", "reporting_basis", "quote", "norm_entity", "norm_metric", "norm_value", "norm_unit", "norm_period", "norm_scope")
 
 

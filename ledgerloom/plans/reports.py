@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import sql
-from ledgerloom.functions import text, vectors
+from ledgerloom.functions import normalize, text, vectors
 from ledgerloom.operators import clusters, compare, model_stage, retrieve, sketches, tables, vector_index, verdict
 from ledgerloom.plans import oracle
-from ledgerloom.plans.inputs import facts, table
-from ledgerloom.sources.storage import materialize
+from ledgerloom.plans.inputs import FACTS_SQL, facts, table
+from ledgerloom.sources import tabular
+from ledgerloom.sources.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +108,48 @@ def sql_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY doc_id""")
 
 
+def document_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's value by period, a column for each document."""
+    found = facts(spark, sf_dir).where("norm_value IS NOT NULL")
+    return tables.matrix(found, ["norm_entity", "norm_period"], "document_id", ["orders", "lines", "review"], "norm_value")
+
+
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' facts beside the review's, in cents, with those that stand alone."""
+    own = F.coalesce("norm_entity", normalize.clean_entity(F.col("entity")))
+    found = materialize(facts(spark, sf_dir).withColumns({"cents": F.round(F.col("norm_value") * 100).cast("long"), "norm_entity": own}), "cents")
+    left, right = (found.where(F.col("document_id") == name) for name in ("orders", "review"))
+    return tables.reconciled(left, right, ["norm_entity", "norm_metric", "norm_period"], "cents")
+
+
+ORDER_COLUMNS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
+def _imported(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Orders written as files of a kind and read back; every 50th price of the CSV is no number, every 70th priority has a quote, a comma and a line end."""
+    names = [c.split()[0] for c in ORDER_COLUMNS.split(", ")]
+    rows = table(spark, sf_dir, "orders").select(*names)
+    path = new_path(spark, f"orders-{kind}")
+    if kind == "csv":
+        odd = F.when(F.col("o_orderkey") % 70 == 0, F.concat(F.lit('"a", b\n'), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+        rows = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))).withColumn("o_orderpriority", odd)
+    tabular.write(rows, path, kind)
+    return tabular.read(spark, path, ORDER_COLUMNS, kind)
+
+
+def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read from CSV by priority, and the number of rejected lines."""
+    rows, rejected = _imported(spark, sf_dir, "csv")
+    counted = rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    lost = rejected.agg(F.lit("rejected").alias("o_orderpriority"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"))
+    return counted.unionByName(lost)
+
+
+def orc_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read from ORC files, as they were."""
+    return _imported(spark, sf_dir, "orc")[0]
+
+
 def queries(known: dict[str, Query]) -> dict[str, Query]:
     """This module's queries; some read what ``known`` ones give."""
 
@@ -119,7 +162,7 @@ def queries(known: dict[str, Query]) -> dict[str, Query]:
         """The cluster of every fact by corroborations."""
         return clusters.clusters(_corroborated(spark, sf_dir, known), facts(spark, sf_dir).select("id"))
 
-    own = (index_search, index_hits, bm25_pruned, sketch_tokens, sketch_quantiles, compare_by_model, sql_unsupported, relation_cube, fact_clusters)
+    own = (index_search, index_hits, bm25_pruned, sketch_tokens, sketch_quantiles, compare_by_model, sql_unsupported, relation_cube, fact_clusters, document_matrix, reconciliation, csv_import, orc_import)
     return {f.__name__: f for f in own}
 
 
@@ -143,5 +186,14 @@ ORACLE_SQL = {
         "SELECT r.fact_id AS fact_a_id, cand_id AS fact_b_id, coalesce(relation_type, CASE WHEN a.val = 'n/a' OR b.val = 'n/a' THEN 'needs_review' ELSE 'contradicts' END) AS relation_type,\n        coalesce(confidence, CASE WHEN a.val = 'n/a' OR b.val = 'n/a' THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END) AS confidence, coalesce(reason, 'none') AS reason,\n        CASE WHEN relation_type IS NOT NULL THEN 'table' WHEN a.val = 'n/a' OR b.val = 'n/a' THEN 'none' ELSE 'model' END AS source",
     )
     + " JOIN texts a ON a.id = r.fact_id JOIN texts b ON b.id = cand_id WHERE relation_type IS NOT NULL OR a.val = 'n/a' OR b.val = 'n/a' OR CAST(a.val AS DOUBLE) > CAST(b.val AS DOUBLE)",
+    "document_matrix": f"""WITH {FACTS_SQL} SELECT entity AS norm_entity, period AS norm_period, max(value) FILTER (doc = 'orders') AS orders, max(value) FILTER (doc = 'lines') AS lines, max(value) FILTER (doc = 'review') AS review
+        FROM facts WHERE value IS NOT NULL GROUP BY ALL""",
+    "reconciliation": f"""WITH {FACTS_SQL}, c AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM facts), o AS (SELECT * FROM c WHERE doc = 'orders'), r AS (SELECT * FROM c WHERE doc = 'review')
+        SELECT coalesce(o.entity, r.entity) AS norm_entity, coalesce(o.metric, r.metric) AS norm_metric, coalesce(o.period, r.period) AS norm_period, o.id AS left_id, r.id AS right_id,
+            CASE WHEN o.id IS NULL THEN 'right' WHEN r.id IS NULL THEN 'left' ELSE 'both' END AS side, r.cents - o.cents AS apart
+        FROM o FULL JOIN r ON o.entity = r.entity AND o.metric = r.metric AND o.period = r.period""",
+    "csv_import": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 70 = 0 THEN '"a", b' || chr(10) || o_orderpriority ELSE o_orderpriority END AS p FROM orders)
+        SELECT p AS o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o WHERE o_orderkey % 50 <> 0 GROUP BY p UNION ALL SELECT 'rejected', count(*), NULL FROM o WHERE o_orderkey % 50 = 0""",
+    "orc_import": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
     "sql_unsupported": oracle.ORACLE_SQL["unsupported_numbers"],
 }

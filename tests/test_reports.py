@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom import sql
 from ledgerloom.operators import clusters, compare, model_stage, retrieve, sketches, tables, vector_index, verdict
+from ledgerloom.sources import tabular
 from tests.test_catalogue import SF, duck, test_equals_sql  # noqa: F401
 
-NAMES = ["index_search", "index_hits", "bm25_pruned", "sketch_tokens", "sketch_quantiles", "compare_by_model", "sql_unsupported", "relation_cube", "fact_clusters", "split_long", "chunk_pages", "candidate_chunks"]
+NAMES = ["index_search", "index_hits", "bm25_pruned", "sketch_tokens", "sketch_quantiles", "compare_by_model", "sql_unsupported", "relation_cube", "fact_clusters", "split_long", "chunk_pages", "candidate_chunks", "document_matrix", "reconciliation", "csv_import", "orc_import"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -169,6 +170,41 @@ def test_cube_has_all_subtotals(spark):
     assert found == want
 
 
+def test_reconciled_keeps_both_sides(spark):
+    left = spark.createDataFrame([(1, "a", "x", 10), (2, "b", "x", 1), (3, None, "x", 5)], "id long, k string, j string, v int")
+    right = spark.createDataFrame([(7, "a", "x", 13), (8, None, "x", 5), (9, "c", "x", None)], "id long, k string, j string, v int")
+    found = {(r.k, r.left_id, r.right_id, r.side, r.apart) for r in tables.reconciled(left, right, ["k", "j"], "v").collect()}
+    assert found == {("a", 1, 7, "both", 3), ("b", 2, None, "left", None), (None, 3, None, "left", None), (None, None, 8, "right", None), ("c", None, 9, "right", None)}
+
+
+def test_matrix_has_a_column_for_each_value(spark):
+    df = spark.createDataFrame([("a", "p", 1.0), ("a", "q", 2.0), ("a", "p", 5.0), ("b", "other", 1.0)], "k string, c string, v double")
+    assert sorted(map(tuple, tables.matrix(df, ["k"], "c", ["p", "q"], "v").collect())) == [("a", 5.0, 2.0), ("b", None, None)]
+
+
+ODD = [(1, 'a "b", c\nd', 1.5), (2, "", None), (3, None, -2.0), (4, "é,;", 0.0)]
+
+
+@pytest.mark.parametrize("kind", tabular.FORMATS)
+def test_files_come_back_as_they_were(spark, tmp_path, kind):
+    path, schema = str(tmp_path / kind), "id long, t string, v double"
+    tabular.write(spark.createDataFrame(ODD, schema), path, kind)
+    rows, rejected = tabular.read(spark, path, schema, kind)
+    assert sorted(map(tuple, rows.collect())) == ODD and rejected.count() == 0
+    tabular.write(spark.createDataFrame([], schema), path, kind)
+    rows, rejected = tabular.read(spark, path, schema, kind)
+    assert rows.columns == ["id", "t", "v"] and rows.count() == 0 and rejected.count() == 0
+
+
+def test_lines_that_dont_fit_are_rejected(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,t,v\n1,a,2.5\n2,b\nthree,c,1\n4,d,1,9\n5,"e, f",\n6,g,x\n')
+    rows, rejected = tabular.read(spark, str(tmp_path / "x.csv"), "id long, t string, v double")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", 2.5), (5, "e, f", None)]
+    assert sorted(r.line for r in rejected.collect()) == ["2,b", "4,d,1,9", "6,g,x", "three,c,1"]
+    with pytest.raises(ValueError):
+        tabular.read(spark, "x", "id long", "xml")
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT bare_number('1,200'), is_year('1999'), is_year('2199'), numbers_of('b 2,000 a 7% 2,000'), match_form(' A’s  x '), page_text(' a  b \r\n\r\n\r\n\r\nc ')").first()
