@@ -8,7 +8,8 @@ pivot is no nearer to any of it than max(x - greatest, least - x, 0).
 
 Blocks lie on shelves of about ``SHELF_ROWS`` vectors, which is what a task holds and what a query is sent to.  A search
 reads for each query first its nearest blocks with enough vectors, which bounds the k-th distance, then all other blocks
-whose lower bound isn't beyond that, so that no neighbour is lost.  Queries go, as matrices, only to shelves with a block to read.
+whose lower bound isn't beyond that, so that no neighbour is lost.  Queries go only to shelves with a block to read; a shelf's
+vectors come before its queries in one sorted shuffle, and a task holds one shelf and QUERY_ROWS queries.
 
 Vectors that are null, empty or zero have no direction; they are not in the index and find nothing.
 """
@@ -24,24 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.operators.retrieve import DIGITS
+from ledgerloom.operators.retrieve import DIGITS, best_of_rows, first_of_rows, unit_rows
 from ledgerloom.sources.storage import materialize
 
 MOST_PIVOTS, SHELLS = 1024, 4
 SHELF_ROWS, COPIES = 8192, 2
-QUERY_ROWS = 1024  # with SHELF_ROWS the scores that a task holds
+QUERY_ROWS = 512  # with SHELF_ROWS the scores, with MOST_PIVOTS * SHELLS the bounds that a task holds
 SLACK = 1e-6  # distances are computed in doubles
 THRESHOLD = 0.55
 
 
-def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of the rows that have a direction."""
-    ids, rows = batch.column("vec_id").to_numpy(), batch.column("embedding").to_pylist()
-    if not rows:
-        return ids, np.zeros((0, 0))
-    matrix = np.array(rows, np.float64)
-    sizes = np.linalg.norm(matrix, axis=1)
-    return ids[sizes > 0], matrix[sizes > 0] / sizes[sizes > 0, None]
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """At most QUERY_ROWS rows (vec_id, embedding) at a time that have a direction, and their unit vectors."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, QUERY_ROWS):
+            part = batch.slice(at, QUERY_ROWS)
+            _, matrix = unit_rows(part)
+            kept = np.abs(matrix).sum(1) > 0
+            if kept.any():
+                yield part.filter(pa.array(kept)), matrix[kept]
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,10 +97,8 @@ def build(vectors: DataFrame, pivots: int | None = None) -> Index:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(first)
-        for batch in batches:
-            _, matrix = units(batch)
-            if len(matrix):
-                np.add.at(total, distances(matrix, first).argmin(1), matrix)
+        for _, matrix in units(batches):
+            np.add.at(total, distances(matrix, first).argmin(1), matrix)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     total = sum(np.frombuffer(r.total).reshape(first.shape) for r in own.coalesce(64).mapInArrow(sums, "total binary").collect())  # at most 64 sums
@@ -106,13 +106,11 @@ def build(vectors: DataFrame, pivots: int | None = None) -> Index:
     centres = np.divide(total, sizes, out=first.copy(), where=sizes > 0)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, matrix = units(batch)
-            if len(matrix):
-                far = distances(matrix, centres)
-                pivot = far.argmin(1)
-                arrays = [pa.array(pivot.astype(np.int32)), pa.array(ids), pa.array(far[np.arange(len(ids)), pivot]), pa.array([row.tobytes() for row in matrix], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["pivot", "vec_id", "far", "unit"])
+        for part, matrix in units(batches):
+            far = distances(matrix, centres)
+            pivot = far.argmin(1)
+            arrays = [pa.array(pivot.astype(np.int32)), part.column("vec_id"), pa.array(far[np.arange(len(pivot)), pivot]), pa.array([row.tobytes() for row in matrix], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["pivot", "vec_id", "far", "unit"])
 
     placed = materialize(own.mapInArrow(assigned, "pivot int, vec_id long, far double, unit binary"), "placed")
     limits = placed.groupBy("pivot").agg(F.percentile_approx("far", [i / SHELLS for i in range(1, SHELLS)], 1000).alias("limits"))
@@ -137,32 +135,6 @@ def build(vectors: DataFrame, pivots: int | None = None) -> Index:
     return Index(materialize(dealt, "index"), centres, *columns)
 
 
-def _shelves(rows: DataFrame) -> DataFrame:
-    """(shelf, copy, blocks, ids, matrix): each shelf as one matrix, COPIES times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks, ids, units_ = None, [], [], []
-
-        def made() -> pa.RecordBatch:
-            n = COPIES
-            arrays = [pa.array([now] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([np.array(blocks, np.int32).tobytes()] * n, pa.binary()), pa.array([np.array(ids, np.int64).tobytes()] * n, pa.binary()), pa.array([b"".join(units_)] * n, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["shelf", "copy", "blocks", "v_ids", "v_matrix"])
-
-        for batch in batches:
-            for shelf, block, i, unit in zip(*(batch.column(c).to_pylist() for c in ("shelf", "block", "vec_id", "unit"))):
-                if ids and shelf != now:
-                    yield made()
-                    blocks, ids, units_ = [], [], []
-                now = shelf
-                blocks.append(block)
-                ids.append(i)
-                units_.append(unit)
-        if ids:
-            yield made()
-
-    return rows.repartition("shelf").sortWithinPartitions("shelf", "block").mapInArrow(run, "shelf int, copy int, blocks binary, v_ids binary, v_matrix binary")
-
-
 def _wanted(index: Index, k: int, widest: float, matrix: np.ndarray, reach: np.ndarray | None) -> np.ndarray:
     """Which blocks a query reads: without ``reach`` its nearest ones, with it all others within it."""
     bound = index.bounds(matrix)
@@ -170,58 +142,76 @@ def _wanted(index: Index, k: int, widest: float, matrix: np.ndarray, reach: np.n
     return near if reach is None else ~near & (bound <= np.minimum(reach, widest)[:, None] + SLACK)
 
 
+def _reach(part: pa.RecordBatch) -> np.ndarray:
+    reach = part.column("reach").to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(reach), np.inf, reach)
+
+
 def _asked(queries: DataFrame, index: Index, k: int, widest: float, later: bool) -> DataFrame:
-    """(shelf, copy, ids, reach, matrix): the queries for each shelf that has a block to read."""
+    """(shelf, copy, vec_id, unit, wanted): each query for each shelf that has a block to read, and which of the shelf's blocks, as bits."""
     about = dataclasses.replace(index, rows=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, QUERY_ROWS):
-                part = batch.slice(at, QUERY_ROWS)
-                ids, matrix = units(part)
-                if not len(matrix) or not len(about.sizes):
-                    continue
-                known = dict(zip(part.column("vec_id").to_pylist(), part.column("reach").to_pylist()))
-                reach = np.array([np.inf if known[i] is None else known[i] for i in ids.tolist()])
-                wanted = _wanted(about, k, widest, matrix, reach if later else None)
-                for shelf in np.unique(about.shelf_of[wanted.any(0)]).tolist():
-                    some = wanted[:, about.shelf_of == shelf].any(1)
-                    arrays = [pa.array([shelf], pa.int32()), pa.array([int(ids[0]) % COPIES], pa.int32()), pa.array([ids[some].tobytes()], pa.binary()), pa.array([reach[some].tobytes()], pa.binary()), pa.array([matrix[some].tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["shelf", "copy", "ids", "reach", "matrix"])
-
-    return queries.select("vec_id", "embedding", "reach").mapInArrow(run, "shelf int, copy int, ids binary, reach binary, matrix binary")
-
-
-def _read(asked: DataFrame, index: Index, k: int, widest: float, least: float, later: bool) -> DataFrame:
+        for part, matrix in units(batches) if len(about.sizes) else []:
+            ids = part.column("vec_id").to_numpy()
+            wanted = _wanted(about, k, widest, matrix, _reach(part) if later else None)
+            for shelf in np.unique(about.shelf_of[wanted.any(0)]).tolist():
+                bits = wanted[:, about.shelf_of == shelf]
+                some = np.flatnonzero(bits.any(1))
+                arrays = [pa.array(np.full(len(some), shelf, np.int32)), pa.array((ids[some] % COPIES).astype(np.int32)), pa.array(ids[some]), pa.array([matrix[i].tobytes() for i in some], pa.binary()), pa.array([np.packbits(bits[i]).tobytes() for i in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["shelf", "copy", "vec_id", "unit", "wanted"])
+
+    return queries.select("vec_id", "embedding", "reach").mapInArrow(run, "shelf int, copy int, vec_id long, unit binary, wanted binary")
+
+
+def _read(asked: DataFrame, index: Index, k: int, least: float) -> DataFrame:
     """(query_id, vec_id, score): the best k of each shelf for each query that asks it."""
-    about = dataclasses.replace(index, rows=None)
+    blocks_of = [np.flatnonzero(index.shelf_of == shelf) for shelf in range(int(index.shelf_of.max(initial=-1)) + 1)]
+
+    def matrix_of(part: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(part.num_rows, -1)
+
+    def matched(part: pa.RecordBatch, blocks: np.ndarray, v: np.ndarray, block: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        q, own = part.column("vec_id").to_numpy(), matrix_of(part)
+        bits = np.frombuffer(b"".join(part.column("wanted").to_pylist()), np.uint8).reshape(len(q), -1)
+        wanted = np.unpackbits(bits, axis=1, count=len(blocks)).astype(bool)
+        scores = np.full((len(q), len(v)), -np.inf)
+        for i, b in enumerate(blocks.tolist()):
+            rows, columns = np.flatnonzero(wanted[:, i]), slice(*np.searchsorted(block, [b, b + 1]).tolist())
+            if len(rows):
+                scores[rows, columns] = np.round(own[rows] @ held[columns].T, DIGITS)
+        scores[q[:, None] == v[None, :]] = -np.inf
+        scores[scores < least] = -np.inf
+        row, column = best_of_rows(scores, k)
+        first = first_of_rows(row, v[column], scores[row, column], k)
+        row, column = row[first], column[first]
+        return pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(v[column]), pa.array(scores[row, column])], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, block, rows = None, [], [], []
         for batch in batches:
-            for ids, reach, matrix, blocks, v_ids, v_matrix in zip(*(batch.column(c).to_pylist() for c in ("ids", "reach", "matrix", "blocks", "v_ids", "v_matrix"))):
-                q, v, block = np.frombuffer(ids, np.int64), np.frombuffer(v_ids, np.int64), np.frombuffer(blocks, np.int32)
-                own, held = np.frombuffer(matrix).reshape(len(q), -1), np.frombuffer(v_matrix).reshape(len(v), -1)
-                wanted = _wanted(about, k, widest, own, np.frombuffer(reach) if later else None)
-                scores = np.full((len(q), len(v)), -np.inf)
-                for b in np.unique(block).tolist():
-                    rows, columns = np.flatnonzero(wanted[:, b]), slice(*np.searchsorted(block, [b, b + 1]).tolist())
-                    if len(rows):
-                        scores[rows, columns] = np.round(own[rows] @ held[columns].T, DIGITS)
-                scores[q[:, None] == v[None, :]] = -np.inf
-                scores[scores < least] = -np.inf
-                if scores.shape[1] > 4 * k:  # all that reach the k-th score, so that ids can break ties
-                    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                    scores[scores < kth] = -np.inf
-                row, column = np.nonzero(scores > -np.inf)
-                found = scores[row, column]
-                order = np.lexsort((v[column], -found, row))
-                row, column, found = row[order], column[order], found[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield pa.RecordBatch.from_arrays([pa.array(q[row[first]]), pa.array(v[column[first]]), pa.array(found[first])], ["query_id", "vec_id", "score"])
-
-    held = _shelves(index.rows)
-    both = asked.join(held, ["shelf", "copy"]).select("ids", "reach", "matrix", "blocks", "v_ids", "v_matrix")
-    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+            places = np.stack([batch.column(c).to_numpy() for c in ("shelf", "copy", "side")])
+            cuts = [0, *(np.flatnonzero((np.diff(places) != 0).any(0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                shelf, copy, side = places[:, start].tolist() if start < end else (None, None, None)
+                if start < end and (shelf, copy) != now:
+                    now, ids, block, rows = (shelf, copy), [], [], []
+                for at in range(start, end, QUERY_ROWS):
+                    part = batch.slice(at, min(QUERY_ROWS, end - at))
+                    if side == 0:
+                        ids.append(part.column("vec_id").to_numpy())
+                        block.append(part.column("block").to_numpy())
+                        rows.append(matrix_of(part))
+                    elif ids:
+                        if len(ids) > 1:  # all of the shelf's vectors are here
+                            ids, block, rows = [np.concatenate(ids)], [np.concatenate(block)], [np.concatenate(rows)]
+                        yield matched(part, blocks_of[shelf], ids[0], block[0], rows[0])
+
+    copies = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
+    held = index.rows.select("shelf", copies.alias("copy"), F.lit(0).alias("side"), F.coalesce("block", F.lit(-1)).alias("block"), "vec_id", "unit", F.lit(None).cast("binary").alias("wanted"))
+    asked = asked.select("shelf", "copy", F.lit(1).alias("side"), F.lit(-1).alias("block"), "vec_id", "unit", "wanted")
+    dealt = held.unionByName(asked).repartition("shelf", "copy").sortWithinPartitions("shelf", "copy", "side", "block")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -235,7 +225,7 @@ def _phases(queries: DataFrame, index: Index, k: int, threshold: float | None) -
     widest = float("inf") if threshold is None else float(np.sqrt(2 - 2 * threshold))
     own = usable(queries)
     first = _asked(own.withColumn("reach", F.lit(None).cast("double")), index, k, widest, later=False)
-    found = materialize(_ranked(_read(first, index, k, widest, least, later=False), k).drop("rank"), "found")
+    found = materialize(_ranked(_read(first, index, k, least), k).drop("rank"), "found")
     reach = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
     limit = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))))
     return found, own.join(reach.select("vec_id", limit.alias("reach")), "vec_id", "left"), widest, least
@@ -247,7 +237,7 @@ def search(queries: DataFrame, index: Index, k: int = 5, threshold: float | None
     With a ``threshold`` only scores that reach it, clamped to [0, 1].
     """
     found, farther, widest, least = _phases(queries, index, k, threshold)
-    more = _read(_asked(farther, index, k, widest, later=True), index, k, widest, least, later=True)
+    more = _read(_asked(farther, index, k, widest, later=True), index, k, least)
     result = _ranked(found.unionByName(more), k)
     if threshold is not None:
         result = result.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
@@ -260,13 +250,9 @@ def probed(queries: DataFrame, index: Index, k: int = 5, threshold: float | None
     about = dataclasses.replace(index, rows=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, matrix = units(batch)
-            if len(matrix) and len(about.sizes):
-                known = dict(zip(batch.column("vec_id").to_pylist(), batch.column("reach").to_pylist()))
-                reach = np.array([np.inf if known[i] is None else known[i] for i in ids.tolist()])
-                n = _wanted(about, k, widest, matrix, None).sum() + _wanted(about, k, widest, matrix, reach).sum()
-                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([int(n)], pa.int64())], ["n", "read"])
+        for part, matrix in units(batches) if len(about.sizes) else []:
+            n = _wanted(about, k, widest, matrix, None).sum() + _wanted(about, k, widest, matrix, _reach(part)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64()), pa.array([int(n)], pa.int64())], ["n", "read"])
 
     counts = farther.select("vec_id", "embedding", "reach").mapInArrow(run, "n long, read long")
     return counts.agg(F.sum("n").alias("n_queries"), F.lit(len(index.sizes)).alias("n_blocks"), F.sum("read").alias("n_read"))
