@@ -182,8 +182,9 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_id"), text.tokens(F.col("text")).alias("_tokens"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), text.tokens(F.col("text")).alias("_tokens"))
-    return items, docs
+    # dealt by document while they are whole texts: words, counts and scores of a document then stay in one task
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), "text").repartition("cand_id")
+    return items, docs.select("cand_id", text.tokens(F.col("text")).alias("_tokens"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
