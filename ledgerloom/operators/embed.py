@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import stripped
+from ledgerloom.functions.text import stripped, tokens
 from ledgerloom.functions.vectors import DIMENSION
 
 #: A model gets texts and returns a vector for each; it runs in executors, so it must be picklable.
@@ -64,3 +66,40 @@ def embedded(df: DataFrame, text: Column, model: Model, name: str, dimension: in
     joined = rows.join(found, "_key", "left").withColumn("embedding_error", F.when(F.col("_key").isNull(), "blank text").otherwise(F.col("embedding_error")))
     status = F.when(F.col("embedding").isNotNull(), "success").otherwise("failed")
     return joined.select(*[c for c in df.columns if c not in added], "embedding", status.alias("embedding_status"), F.when(F.col("embedding").isNotNull(), name).alias("embedding_model"), "embedding_error")
+
+
+MOST_AT_ONCE = 1 << 20  # tokens that are counted at once
+MOST_KNOWN = 200_000  # tokens whose slot a task remembers
+
+
+def slot_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, slot, v): the slots of ``hashed_counts`` that aren't zero, for long texts.
+
+    Tokens are made in the JVM; a task hashes each distinct one it meets once and counts whole batches as arrays.
+    """
+
+    def counted(keys: pa.Array, row: np.ndarray, words: pa.Array, known: dict[str, int]) -> pa.RecordBatch:
+        met = words.dictionary_encode()
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        slots = [known[w] if w in known else known.setdefault(w, int(hashlib.sha256(w.encode()).hexdigest(), 16) % (2 * DIMENSION)) for w in met.dictionary.to_pylist()]
+        slot = np.array(slots, np.int64)[met.indices.to_numpy()]
+        place, at = np.unique(row * DIMENSION + slot % DIMENSION, return_inverse=True)
+        total = np.bincount(at, np.where(slot < DIMENSION, 1, -1), len(place)).astype(np.int64)
+        place, total = place[total != 0], total[total != 0]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(place // DIMENSION)), pa.array(place % DIMENSION), pa.array(total)], [key, "slot", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            start = 0
+            while start < len(ends):  # at least one row, so that a text is counted whole
+                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MOST_AT_ONCE, "right")))
+                part = lists.slice(start, end - start)
+                if len(words := part.flatten()):
+                    yield counted(keys.slice(start, end - start), np.repeat(np.arange(end - start), part.value_lengths().to_numpy()), words, known)
+                start = end
+
+    return df.select(key, tokens(text).alias("_tokens")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, slot long, v long")

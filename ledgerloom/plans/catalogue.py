@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import coerce, normalize, text, vectors
-from ledgerloom.operators import ask, chunk, compare, counters, evidence, retrieve, tables, viewer
+from ledgerloom.operators import ask, chunk, compare, counters, embed, evidence, retrieve, tables, viewer
 from ledgerloom.plans import oracle, reports, temporal
 from ledgerloom.plans.inputs import document_pages, facts, table
 from ledgerloom.sources import lake, pages
@@ -216,8 +216,7 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_embedding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed slot counts of the whole text of every document, where not zero."""
-    slots = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hashed_counts(F.col("text"))).alias("slot", "v"))
-    return slots.where("v <> 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("v").cast("long").alias("v"))
+    return embed.slot_rows(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
