@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -80,10 +80,29 @@ def without_fences(text: Column) -> Column:
     return stripped(F.regexp_replace(bare, "^json", ""))
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no built-in for it."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _unchanging(least: int) -> str:
+    """The larger ranges of characters that compatibility composition leaves as they are beside any other such characters."""
+    seconds = {int(parts[1], 16) for c in range(0x10000) if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and parts[0][0] != "<"}
+    joined = {*seconds, *range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xAC00, 0xE000)}  # Hangul joins without a table; surrogates
+    kept = [c for c in range(0x10000) if c not in joined and not unicodedata.combining(chr(c)) and unicodedata.category(chr(c)) != "Cn" and unicodedata.is_normalized("NFKC", chr(c))]
+    starts = [c for c, before in zip(kept, [-2, *kept]) if c != before + 1]
+    ends = [c for c, after in zip(kept, [*kept[1:], -2]) if after != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends) if b - a >= least and a > 0)
+
+
+#: A text without such a character is composed already.  ASCII is told first and ranges are few, because a search tries one after the other; other texts are merely composed for nothing.
+CHANGING = f"[[^\\u0000-\\u009f]&&[^{_unchanging(100)}]]"
+
+
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    parts = [texts.slice(at, 64) for at in range(0, max(1, len(texts)), 64)]  # few Python strings at once
+    return pa.concat_arrays([pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part.to_pylist()], pa.string()) for part in parts])
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition; Spark has no built-in for it, so texts that it may change go to Python, a few at once."""
+    return F.coalesce(_composed(F.when(text.rlike(CHANGING), text)), text)
 
 
 def match_form(text: Column, composed: bool = True) -> Column:

@@ -1,10 +1,13 @@
 import hashlib
 import math
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import coerce, normalize, text, vectors
+from ledgerloom.operators import embed
 
 
 def values(spark, column, rows, kind="string"):
@@ -79,3 +82,29 @@ def test_hashed_embedding(spark, words):
     got = values(spark, vectors.hashed_embedding, [words])[0]
     assert got == pytest.approx([x / size for x in want])
     assert vectors.counts_of(words) == want
+
+
+def test_composition_only_where_it_may_change(spark):
+    """Composed texts don't go to Python; all others do, also those that compose with a neighbour only."""
+    odd = ["plain", "Größe “ñ” — ж 中文 かな", "e\u0301", "\ufb01n", "\u1100\u1161\u11a8", "\uac00\u11a8", "か\u3099", "①", "\u0915\u093c", "𝐀𝟙", "a\u0327\u0301", "\u09c7\u09be", "", None, "Ａ\u00a0b"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    found = {r.i: (r.done, r.sent) for r in rows.select("i", text.nfkc(F.col("t")).alias("done"), F.col("t").rlike(text.CHANGING).alias("sent")).collect()}
+    for i, t in enumerate(odd):
+        assert found[i][0] == (None if t is None else unicodedata.normalize("NFKC", t)), t
+    assert [found[i][1] for i in (0, 12)] == [False, False] and all(found[i][1] for i in range(2, 12))
+    draw = random.Random(7)
+    mixed = ["".join(chr(draw.choice([draw.randrange(1, 0xD800), draw.randrange(0x300, 0x370), draw.randrange(32, 127)])) for _ in range(6)) for _ in range(400)]
+    mixed = [t for t in mixed if all(unicodedata.category(c) != "Cn" for c in t)]
+    rows = spark.createDataFrame([(t,) for t in mixed], "t string")
+    assert all(r.done == unicodedata.normalize("NFKC", r.t) for r in rows.select("t", text.nfkc(F.col("t")).alias("done")).collect())
+
+
+def test_slot_rows_are_the_hashed_counts(spark, monkeypatch):
+    monkeypatch.setattr(embed, "MOST_AT_ONCE", 50)
+    draw = random.Random(3)
+    texts = [None, "", " - ", "Ünï", "a a b", *[" ".join(draw.choices([f"w{i}" for i in range(90)], k=draw.randrange(200))) for _ in range(40)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    want = sorted((i, at, int(v)) for i, t in enumerate(texts) for at, v in enumerate(vectors.counts_of(t or "")) if v)
+    found = embed.slot_rows(df, "doc_id", F.col("t"))
+    assert sorted(map(tuple, found.collect())) == want
+    assert "aggregate(" not in found._jdf.queryExecution().executedPlan().toString()
