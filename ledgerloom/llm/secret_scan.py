@@ -6,12 +6,13 @@ base32 and base36 of either case, base62, base64) is inferred from its character
 tests: chi-squared uniformity of the character counts over that encoding, runs, and lag-1 serial
 correlation.  Against a uniform draw, with runs above and below the median character, all three must
 be kept at a level of ``KEEP / 3``.  Against ordinary text, with runs of character classes, each
-test's value is compared with its mean and deviation over the corpus' own prose of such a length: one
-stretch of every document with gaps and candidates taken out, cut to a length of one band.  The three scores
-are combined into one p-value, weighted by how far the test tells prose from a uniform draw, and
-Benjamini and Hochberg's rule controls these within bands of length over all candidates of the
-corpus, so that a short string needs stronger evidence where there are many short strings.  p-values
-are kept in tenths of a decade, so the table behind the rule has at most bands x 301 rows.
+test's value is compared with its mean and deviation over the corpus' own prose of such a length: every
+document with gaps and candidates taken out, cut from its first to its last character into stretches of
+the bands' lengths in turn.  The three scores are combined into one p-value, weighted by how far the test
+tells prose from a uniform draw, and Benjamini and Hochberg's rule controls these within bands of length
+over all candidates of the corpus, so that a short string needs stronger evidence where there are many
+short strings.  p-values are kept in tenths of a decade, so the table behind the rule has at most bands x
+301 rows.
 
 Everything is DataFrame expressions on the row; no text is shuffled.
 
@@ -90,9 +91,14 @@ def _upper_tail(z: str) -> str:
     return f"(exp(-0.5D * ({z}) * ({z})) / 2.5066282746310002D * ({series}))"
 
 
+def _size(value: str) -> str:
+    """The number of symbols of the narrowest encoding of ``value``."""
+    return "CASE " + " ".join(f"WHEN {value} RLIKE '{pattern}' THEN {size}D" for pattern, size in ALPHABETS) + " ELSE 64D END"
+
+
 def _scored(candidates: str) -> Column:
     """Candidates as struct(start, rank, end, kind, band, bin, random): the battery on each value."""
-    size = "CASE " + " ".join(f"WHEN s.value RLIKE '{pattern}' THEN {size}D" for pattern, size in ALPHABETS) + " ELSE 64D END"
+    size = _size("s.value")
     codes = "transform(filter(split(s.value, ''), c -> c <> ''), c -> cast(ascii(c) AS double))"
     body = f"""transform(CANDIDATES, s -> struct(s.start AS start, s.rank AS rank, s.end AS end, s.kind AS kind, s.value AS value, {codes} AS codes, {size} AS size))"""
     steps = [
@@ -129,19 +135,50 @@ def marked(texts: DataFrame) -> DataFrame:
     return df.withColumn("_scores", _scored("_candidates")).drop("_runs", "_candidates")
 
 
-def _prose(text: str) -> Column:
-    """The tests of a stretch of the text without its gaps and candidates, of the length of one band; none where it is too short."""
-    length = "element_at(array(" + ", ".join(map(str, PROSE)) + f"), cast(pmod(xxhash64({text}, 1), {len(PROSE)}) AS int) + 1)"
-    piece = f"regexp_replace(substring({text}, cast(pmod(xxhash64({text}, 2), greatest(length({text}) - 300, 1)) AS int) + 1, 300), '[A-Za-z0-9+/_=-]{{{SHORTEST},}}|[^A-Za-z0-9+/_=-]', '')"
-    made = f"array(struct(0L AS start, 3 AS rank, cast({length} AS bigint) AS end, 'prose' AS kind, left({piece}, {length}) AS value))"
-    return _scored(f"filter({made}, s -> length(s.value) = s.end)")
+def stretches(texts: DataFrame) -> DataFrame:
+    """(band, n, value): the texts (column ``_text``) without gaps and candidates, cut whole into stretches of the bands' lengths in turn.
+
+    A text is dealt in rounds of one stretch a band; its last round is longer, so that the stretch which would pass
+    the end lies within the round: it ends with the text, and is of the shortest length where the text has no more.
+    No stretch is left out but those of texts of fewer characters than the shortest.
+    """
+    prose = f"regexp_replace(_text, '(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}|[^A-Za-z0-9+/_=-]+', '')"
+    rounds = texts.select(F.expr(f"explode(regexp_extract_all({prose}, '.{{{sum(PROSE)}}}(?=.{{{PROSE[-1]}}})|.+', 0))").alias("part"))
+    turns = [(sum(PROSE) * again + sum(PROSE[:band]), band) for again in (0, 1) for band in range(len(PROSE))]
+    places = "array(" + ", ".join(f"struct({at} AS at, {band} AS band, {PROSE[band]} AS n)" for at, band in turns if at < sum(PROSE) + PROSE[-1]) + ")"
+    placed = rounds.select("part", F.expr(f"inline({places})")).where(f"at < length(part) AND length(part) >= {PROSE[0]}")
+    placed = placed.select("part", "at", F.expr("if(n <= length(part), band, 0)").alias("band"), F.expr(f"if(n <= length(part), n, {PROSE[0]})").alias("n"))
+    return placed.select("band", "n", F.expr("substring(part, least(at, length(part) - n) + 1, n)").alias("value"))
+
+
+def prose_tests(pieces: DataFrame) -> DataFrame:
+    """(band, uniform, turns, serial) of each of the ``stretches``: the tests of ``_scored``, from sums over equal characters and neighbours."""
+    runs = r"regexp_extract_all(array_join(sort_array(split(value, '')), ''), '(.)\\1*', 0)"
+    codes = "transform(split(value, ''), c -> cast(ascii(c) AS bigint))"
+    found = pieces.select("band", "n", "value", F.expr(_size("value")).alias("size"), F.expr(runs).alias("runs"), F.expr(codes).alias("codes"))
+    sums = {
+        "squares": "aggregate(runs, 0L, (t, r) -> t + length(r) * length(r))",
+        "total": "aggregate(runs, 0L, (t, r) -> t + length(r) * ascii(r))",
+        "powers": "aggregate(runs, 0L, (t, r) -> t + length(r) * ascii(r) * ascii(r))",
+        "products": "aggregate(zip_with(slice(codes, 1, n - 1), slice(codes, 2, n - 1), (a, b) -> a * b), 0L, (t, x) -> t + x)",
+        "ends": "get(codes, 0) + get(codes, n - 1)",
+        "changes": "size(regexp_extract_all(value, '[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+', 0)) - 1",
+    }
+    found = found.select("band", "n", "size", *[F.expr(e).alias(name) for name, e in sums.items()])
+    return found.select(
+        "band",
+        F.expr("(size * squares / n - n - (size - 1)) / sqrt(2 * (size - 1) * (1 - 1 / n))").alias("uniform"),
+        F.expr("changes / (n - 1)").alias("turns"),
+        # whole numbers: n * n times the products of deviations, n times their squares
+        F.expr("abs((n * n * products - n * total * (2 * total - ends) + (n - 1) * total * total) / (n * n)) / greatest(1e-9D, (n * powers - total * total) / n)").alias("serial"),
+    )
 
 
-def prose_model(scores: DataFrame) -> dict[int, dict[str, tuple[float, float, float]]]:
-    """Mean, deviation and weight of each test in prose, for every band; ``scores`` has ``_prose``."""
-    rows = scores.select(F.explode("_prose").alias("s"))
-    values = [f(F.col(f"s.{t}")).alias(f"{n}_{t}") for t in TESTS for n, f in (("mean", F.avg), ("spread", F.stddev_pop))]
-    by_band = {r.band: r for r in rows.rollup(F.col("s.band").alias("band")).agg(F.count(F.lit(1)).alias("n"), *values).collect()}
+def prose_model(texts: DataFrame) -> dict[int, dict[str, tuple[float, float, float]]]:
+    """Mean, deviation and weight of each test in all prose of ``texts`` (column ``_text`` without nulls), for every band."""
+    rows = prose_tests(stretches(texts))
+    values = [f(F.col(t)).alias(f"{n}_{t}") for t in TESTS for n, f in (("mean", F.avg), ("spread", F.stddev_pop))]
+    by_band = {r.band: r for r in rows.rollup("band").agg(F.count(F.lit(1)).alias("n"), *values).collect()}
     model = {}
     for band in range(len(PROSE)):
         row = by_band.get(band)
@@ -186,8 +223,8 @@ def thresholds(scores: DataFrame, model: dict) -> dict[int, int]:
 def found_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(_row, _text, _spans): each row as one column, its text and its sorted spans, base ones and accepted random ones."""
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    scores = materialize(marked(texts).select("_scores", _prose("_text").alias("_prose")), "scores")  # a filter here would repeat the expressions
-    model = prose_model(scores)
+    scores = materialize(marked(texts).select("_scores"), "scores")  # a filter here would repeat the expressions
+    model = prose_model(texts)
     least = thresholds(scores, model)
     discard(scores)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))

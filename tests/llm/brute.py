@@ -84,6 +84,43 @@ def base_spans(text):
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
 
 
+ENCODINGS = (("[0-9a-fA-F]+", 16), ("([A-Z2-7]+|[a-z2-7]+)=*", 32), ("[A-Z0-9]+|[a-z0-9]+", 36), ("[A-Za-z0-9]+", 62), (".*", 64))
+
+
+def prose_tests(value):
+    """Uniformity, changes of class, and lag-1 correlation of a stretch of prose."""
+    n, size = len(value), next(k for pattern, k in ENCODINGS if re.fullmatch(pattern, value))
+    uniform = (size * sum(value.count(c) ** 2 for c in set(value)) / n - n - (size - 1)) / (2 * (size - 1) * (1 - 1 / n)) ** 0.5
+    classes = [0 if c in "0123456789" else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
+    mean = sum(map(ord, value)) / n
+    apart = [ord(c) - mean for c in value]
+    serial = abs(sum(a * b for a, b in zip(apart, apart[1:]))) / max(1e-9, sum(a * a for a in apart))
+    return {"uniform": uniform, "turns": sum(a != b for a, b in zip(classes, classes[1:])) / (n - 1), "serial": serial}
+
+
+def prose_model(texts, lengths=(22, 28, 40, 64, 96)):
+    """{band: {test: (mean, deviation)}} over all prose, cut into stretches of each length in turn; the last one ends with the text."""
+    found = defaultdict(list)
+    for text in texts:
+        left = "".join(run for run in re.findall("[A-Za-z0-9+/_=-]+", text) if len(run) < 20)
+        at, turn, seen = 0, 0, set()
+        while at < len(left) and len(left) >= lengths[0]:
+            band = turn % len(lengths) if lengths[turn % len(lengths)] <= len(left) else 0
+            start = min(at, len(left) - lengths[band])
+            found[band].append(prose_tests(left[start : start + lengths[band]]))
+            seen |= set(range(start, start + lengths[band]))
+            at, turn = at + lengths[turn % len(lengths)], turn + 1
+        assert len(seen) in (0, len(left))
+    model = {}
+    for band in range(len(lengths)):
+        rows = found[band] if len(found[band]) >= 30 else [r for rs in found.values() for r in rs]
+        model[band] = {}
+        for test in ("uniform", "turns", "serial"):
+            mean = sum(r[test] for r in rows) / len(rows)
+            model[band][test] = (mean, (sum((r[test] - mean) ** 2 for r in rows) / len(rows)) ** 0.5)
+    return model
+
+
 def repeated_passages(rows, words=50):
     """(doc_id, text) rows with distinct ids: {doc_id: numbers of lines in a run that is in an earlier place too}.
 

@@ -190,6 +190,25 @@ def test_random_strings_of_narrow_alphabets_are_found(spark):
     assert not any(found[d] for d in range(len(keys), len(found)))
 
 
+def test_prose_model_is_of_all_text(spark, monkeypatch):
+    draw = random.Random(13)
+    texts = [None, "", " . ", "x" * 21, "ab cd" * 8000]
+    for size in (22, 23, 27, 28, 29, 50, 51, 90, 91, 154, 155, 250, 272, 345, 346, 347, 500, 595, 596, 597, 900, 5000):
+        letters = "".join(draw.choices("eeeetttaaoinshrdlu" + draw.choice(["", "EMN", "0123456789", "-/+_="]), k=size))
+        key = "".join(draw.choices(string.ascii_letters + string.digits, k=30))
+        words = " ".join(letters[at : at + 7] for at in range(0, size, 7))
+        texts += [words, words.replace(" ", ",\n", 3) + f" é {key}."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    models, rule = [], secret_scan.thresholds
+    monkeypatch.setattr(secret_scan, "thresholds", lambda scores, model: models.append(model) or rule(scores, model))
+    secret_scan.scan(docs).count()
+    want = brute.prose_model([t or "" for t in texts])
+    assert len(models) == 1 and models[0].keys() == want.keys()
+    for band, tests in want.items():
+        for test, (mean, spread) in tests.items():
+            assert models[0][band][test][:2] == pytest.approx((mean, max(spread, 0.02)), rel=1e-9), (band, test)
+
+
 def page_rows():
     fake = "text\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n broken"
     htmls = [None, "", "same", "same", fake, fake, "héllo 😀", "x" * 3000, "WARC/1.1\r\nContent-Length: 99999\r\n\r\n"]
