@@ -73,6 +73,20 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
+#: Bytes of an Arrow batch for Python; one row may be longer.
+MOST_BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark cut batches for Python by bytes, unless the session has a bound of its own.
+
+    By rows alone (10,000) a batch of texts has tens of MB, which the executor holds several times
+    over while it is written and a worker while it is read, and neither gives all of it back.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MOST_BATCH))
+
+
 #: By module what a worker keeps between tasks, as functions that drop it.
 caches: dict[str, Callable[[], None]] = {}
 
@@ -83,6 +97,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     What other operators' tasks have left in a worker (tables of words, tokenizers) is dropped first.
     """
     importable(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [drop for name, drop in caches.items() if name != fn.__module__]

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import iblt, media, packing, pieces, quality
+from ledgerloom.llm.runtime import arrow_map
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -190,6 +192,21 @@ def test_tables_are_bounded_by_bytes(monkeypatch):
     assert len(codec.ids) <= 4
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """A batch for Python has a few MB, however long its rows are, and every row comes once."""
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "held"])
+
+    rows = spark.range(0, 61, 1, 1).select(F.expr("repeat('x', if(id = 60, 9000000, 500000))").alias("text"))
+    batches = arrow_map(rows, seen, "n long, held long").collect()
+    assert sum(b.n for b in batches) == 61
+    assert sum(b.held for b in batches) >= 60 * 500_000 + 9_000_000
+    assert max(b.held for b in batches) < 9_000_000 + 2 * (4 << 20)
+    assert sorted(b.held for b in batches)[-2] < 2 * (4 << 20)
+
+
 def test_fingerprints(docs, spark):
     order = sorted((i for i in range(len(TEXTS))), reverse=True) + [None]
     rows = {r.doc_id: r for r in iblt.fingerprints(docs, keep_difference=True).collect()}
