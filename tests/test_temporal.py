@@ -67,6 +67,33 @@ def test_hot_buckets_are_salted(spark, monkeypatch):
     assert found.groupBy("span").count().orderBy("span").collect() == [(1, 400), (2, 400)]
 
 
+def test_pairs_of_equal_instants_are_written_small(spark, tmp_path):
+    """Copies at the same instants: pairs grow with their square, the bytes of the written result far less."""
+    copies = spark.range(150).select(F.col("id").alias("copy"))
+    instants = spark.range(40).select((F.col("id") * 60).alias("second"))
+    left = instants.crossJoin(copies).select((F.col("copy") * 1000 + F.col("second") / 60).cast("long").alias("id"), F.timestamp_seconds("second").alias("at"))
+    right = left.where("id % 2 = 0").select(F.col("id").alias("span"), F.col("at").alias("since"), (F.col("at") + F.expr("INTERVAL 20 MINUTES")).alias("until"))
+    intervals.interval_join(left, right, "at", "since", "until").select("id", "span").write.parquet(f"{tmp_path}/pairs")
+    n = 150 * 150 * sum(min(20, 40 - i) for i in range(0, 40, 2))
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.count() == found.distinct().count() == n
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.2 * n
+
+
+def test_small_blocks_of_hot_buckets(spark, monkeypatch):
+    """Blocks, parts, salts and tasks of a few points each, on both sides of 1970, with null columns."""
+    for name, value in (("BLOCK", 4), ("TASK", 50), ("LEAST", 20), ("HOT", 50)):
+        monkeypatch.setattr(intervals, name, value)
+    draw, base = random.Random(4), dt.datetime(1970, 1, 1)
+    points = [(draw.choice([i, None]), base + dt.timedelta(seconds=draw.choice([0, -1, draw.randint(-20_000, 20_000)]))) for i in range(300)]
+    held = [(i, base + dt.timedelta(seconds=(begin := draw.randint(-20_000, 20_000))), base + dt.timedelta(seconds=begin + draw.choice([1, 600, 3000, 30_000]))) for i in range(80)]
+    left = spark.createDataFrame(points, "`an id` long, at timestamp")
+    right = spark.createDataFrame(held, "span long, since timestamp, until timestamp")
+    want = [(i, t, s) for i, t in points for s, a, b in held if a <= t < b]
+    found = [(r[0], r[1], r[2]) for r in intervals.interval_join(left, right, "at", "since", "until").collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_interval_join_of_nothing(spark):
     points, held = spans()
     left = spark.createDataFrame([(i, at(t)) for i, _, t in points], "id long, at timestamp")
